@@ -23,6 +23,38 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("idx_a"), F.greatest("id", "neighbour").alias("idx_b")).distinct()
 
 
+def _typed(spark: SparkSession, d: str, which: str) -> tuple[DataFrame, list[dict]]:
+    from quillstone.llm.canonical import listed, typed_values
+
+    sections = _read(spark, d, "parsed_sections")
+    if which == "agency":
+        names = listed(_read(spark, d, "agency_list"), "agency_id", "name", acronym="acronym", former_names="former_names")
+        return typed_values(sections, "section_key", F.col("agencies"), "agency", names), names
+    names = listed(_read(spark, d, "reference_list"), "ref_id", "reference")
+    return typed_values(sections, "section_key", F.col("citations.reference"), "citation", names), names
+
+
+def p3_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every typed value that is not a listed one letter for letter, with the entry it denotes."""
+    from quillstone.llm.canonical import body_entries, citation_entries, map_values, resolve_body, resolve_citation
+
+    bodies, names = _typed(spark, d, "agency")
+    citations, references = _typed(spark, d, "citation")
+    found = map_values(bodies, "value", names, body_entries, resolve_body)
+    return found.unionByName(map_values(citations, "value", references, citation_entries, resolve_citation)).distinct()
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_values(spark, d).select("section_key", "field", "pos", "entry_id").distinct()
+
+
+def p3_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """Values that name no entry, with how often they occur."""
+    none = p3_values(spark, d).where("entry_id = 'none'")
+    return none.groupBy("field", "value").agg(F.count("*").alias("n"))
+
+
+
 def _groups(spark: SparkSession, d: str) -> DataFrame:
     from quillstone.llm.clusters import similarity_groups
 
@@ -80,7 +112,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(_mix(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p4_found, p4_clusters, p5_found, p6_found, p6_spans, p7_found, p7_mix, p7_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_values, p3_unmatched, p4_found, p4_clusters, p5_found, p6_found, p6_spans, p7_found, p7_mix, p7_shares)}
 
 ORACLES: dict[str, str] = {}
 
