@@ -12,6 +12,27 @@ def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
+def _sections_texts(spark: SparkSession, d: str) -> DataFrame:
+    parsed = _read(spark, d, "parsed_sections").select(F.lit("text").alias("field"), F.col("section_key").alias("key"), "text")
+    previews = _read(spark, d, "sections").select(F.lit("text_preview").alias("field"), F.col("global_idx").cast("long").alias("key"), F.col("text_preview").alias("text"))
+    return parsed.unionByName(previews)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from quillstone.llm.neardup import expanded, near_duplicates
+
+    found = near_duplicates(_sections_texts(spark, d), "key", "text", within="field", k=3, similarity=0.6, least_words=12)
+    return expanded(found).withColumnRenamed("within", "field")
+
+
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Near-duplicates by the defaults, five words and 0.8: each text's class of copies and its number of links."""
+    from quillstone.llm.neardup import classes_with_links, near_duplicates
+
+    return classes_with_links(near_duplicates(_sections_texts(spark, d), "key", "text", within="field")).withColumnRenamed("within", "field")
+
+
+
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
     from quillstone.llm.vectors import most_similar
 
@@ -112,7 +133,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(_mix(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_neighbours, p3_found, p3_values, p3_unmatched, p4_found, p4_clusters, p5_found, p6_found, p6_spans, p7_found, p7_mix, p7_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_neighbours, p3_found, p3_values, p3_unmatched, p4_found, p4_clusters, p5_found, p6_found, p6_spans, p7_found, p7_mix, p7_shares)}
 
 ORACLES: dict[str, str] = {}
 
