@@ -133,7 +133,25 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(_mix(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_neighbours, p3_found, p3_values, p3_unmatched, p4_found, p4_clusters, p5_found, p6_found, p6_spans, p7_found, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    labels = _read(spark, d, "subject_labels")
+    found = p8_subjects(spark, d)
+    return found.join(labels.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select("doc_id", "subject_id").distinct()
+
+
+def p8_subjects(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's subjects with their shares of its subject-bearing sentences."""
+    from quillstone.llm.subjects import assign_subjects
+
+    return assign_subjects(_read(spark, d, "documents"), _read(spark, d, "subject_labels"), _read(spark, d, "subject_areas"))
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus by subject: documents, their sentences and the mean share."""
+    return p8_subjects(spark, d).groupBy("subject_id").agg(F.count("*").alias("documents"), F.sum("sentences").alias("sentences"), F.round(F.avg("share"), 6).alias("mean_share"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_neighbours, p3_found, p3_values, p3_unmatched, p4_found, p4_clusters, p5_found, p6_found, p6_spans, p7_found, p7_mix, p7_shares, p8_found, p8_subjects, p8_composition)}
 
 ORACLES: dict[str, str] = {}
 
