@@ -164,7 +164,7 @@ def similarity_groups(df: DataFrame, id_col: str, vector_col: str, heading_col:
     index = build_index(df, id_col, vector_col, dim, keep_copies=1, link=threshold, seed=seed)
     members, edges = links(index, threshold)
     members = materialize(members, "members")
-    joined = reciprocal_merge(edges, threshold - 1e-9, "single")
+    joined = reciprocal_merge(edges, threshold - 1e-5, "single")  # w is in single precision; links were told exactly
     members = members.join(joined.withColumnRenamed("node", "label"), "label", "left").select("id", F.coalesce("cluster", "label").alias("cluster"))
     if index.copies is not None:
         members = materialize(members, "members")

@@ -411,32 +411,47 @@ def links(index: VectorIndex, link: float, z: float = 4.0) -> tuple[DataFrame, D
 def _links_of(group: list[int], blocks: Blocks, turn: Rotation, link: float, z: float) -> Iterator[pa.RecordBatch]:
     loaded = [blocks.load(i) for i in group]
     label = np.concatenate([x[1] for x in loaded])
+    home = np.repeat(group, [len(x[1]) for x in loaded])
     x = units(np.concatenate([x[2] for x in loaded]))
     order = np.argsort(label, kind="stable")
-    label, x = label[order], x[order]
+    label, x, home = label[order], x[order], home[order]
     x32 = x.astype(np.float32)
     u = signed(turn(x))
     angle = _angles(x32, blocks)
     away = np.arccos(link) + 1e-6
+    low, high = np.float32(link - 4e-6), np.float32(link + 4e-6)
     for i in range(len(blocks.n)):
         least = _least_coordinate(np.array(link), blocks.top[i], blocks.spread[i], turn.width, z)
-        rows = np.flatnonzero((u[:, blocks.cell[i]] >= least) & (angle[:, i] - blocks.hi[i] <= away) & (blocks.lo[i] - angle[:, i] <= away))
+        near = (angle[:, i] - blocks.hi[i] <= away) & (blocks.lo[i] - angle[:, i] <= away) & (home != i)
+        rows = np.flatnonzero((u[:, blocks.cell[i]] >= least) & near)
         if not len(rows):
             continue
         _, y_label, raw = blocks.load(i)
         by = np.argsort(y_label, kind="stable")
         y_label, y = y_label[by], units(raw[by])
         y32 = y.astype(np.float32)
-        y_head = np.flatnonzero(np.concatenate([[True], y_label[1:] != y_label[:-1]]))
         for a in range(0, len(rows), 2048):
             r = rows[a : a + 2048]
             s = x32[r] @ y32.T
-            s[~_exact(s, x[r], y, link)] = -1
+            over = s >= low
+            some = over.any(1)
+            if not some.any():
+                continue
+            r, s, over = r[some], s[some], over[some]
+            c = np.flatnonzero(over.any(0))
+            if len(c) < 0.5 * s.shape[1]:
+                s, over = s[:, c], over[:, c]
+            else:
+                c = np.arange(s.shape[1])
+            p, q = np.nonzero(over & (s < high))  # too near to tell in single precision
+            if len(p):
+                s[p, q] = np.where(np.einsum("ij,ij->i", x[r[p]], y[c[q]]) >= link, s[p, q], -1)
             head = np.flatnonzero(np.concatenate([[True], label[r][1:] != label[r][:-1]]))
-            s = np.maximum.reduceat(np.maximum.reduceat(s, head, 0), y_head, 1)
-            p, q = np.nonzero(s > -1)
-            la, lb = label[r][head][p], y_label[y_head][q]
+            y_head = np.flatnonzero(np.concatenate([[True], y_label[c][1:] != y_label[c][:-1]]))
+            best = np.maximum.reduceat(np.maximum.reduceat(s, head, 0), y_head, 1)
+            p, q = np.nonzero(best >= low)
+            la, lb = label[r][head][p], y_label[c][y_head][q]
             keep = la != lb
             if keep.any():
-                la, lb, w = la[keep], lb[keep], s[p, q][keep]
+                la, lb, w = la[keep], lb[keep], best[p, q][keep]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(la, lb)), pa.array(np.maximum(la, lb)), pa.array(w.astype(np.float64))], names=["a", "b", "w"])
