@@ -120,16 +120,18 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
 
 def match_starts(text: Column, pattern: str) -> Column:
     """Position from 0 of each match: what lies between matches, and the matches, in turn."""
-    gaps, found = F.split(text, pattern, -1), _all(text, pattern)
-    step = F.transform(F.sequence(F.lit(0), F.size(found) - 1), lambda i: F.length(gaps[i]) + F.when(i > 0, F.length(F.get(found, i - 1))).otherwise(0))
-    steps = F.when(F.size(found) > 0, step).otherwise(F.array().cast("array<int>"))
-    return F.transform(steps, lambda x, i: F.aggregate(F.slice(steps, 1, i + 1), F.lit(0), lambda s, y: s + y))
+    found = _all(text, pattern)
+    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+    parts = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("own")))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    step = lambda s, x: F.struct((s["at"] + x["gap"] + x["own"]).alias("at"), F.concat(s["starts"], F.array(s["at"] + x["gap"])).alias("starts"))
+    return F.aggregate(parts, none, step, lambda s: s["starts"])
 
 
-def _first_by(items: Column, field: str) -> Column:
-    """Without items whose field an earlier one has."""
-    fields = F.transform(items, lambda x: x[field])
-    return F.filter(items, lambda x, i: F.array_position(fields, x[field]) == i + 1)
+def _first_by(items: Column, field: str, kind: str) -> Column:
+    """Without items whose field an earlier one has. A fold, so that ``items`` is computed once."""
+    none = F.array().cast(f"array<struct<{kind}>>")
+    return F.aggregate(items, none, lambda kept, x: F.when(F.exists(kept, lambda y: y[field] == x[field]), kept).otherwise(F.concat(kept, F.array(x))))
 
 
 def _named(text: Column, kind: str) -> Column:
@@ -156,7 +158,7 @@ def _cited(text: Column, kind: str) -> Column:
 def citations(text: Column) -> Column:
     """``array<struct<cit_type, reference, context>>``: kinds in turn, each reference once, with 40 characters on both
     sides of its first place."""
-    return _first_by(F.concat(*[_cited(text, kind) for kind in CITATIONS]), "reference")
+    return _first_by(F.concat(*[_cited(text, kind) for kind in CITATIONS]), "reference", "cit_type:string,reference:string,context:string")
 
 
 def references(text: Column, kind: str) -> Column:
@@ -170,13 +172,13 @@ def obligations(text: Column) -> Column:
     sentences = F.filter(_all(text, SENTENCE), lambda s: s.rlike(MODAL))
     kept = F.filter(F.transform(sentences, strip), lambda s: F.length(s).between(15, 600))
     pairs = F.transform(kept, lambda s: F.struct(F.when(s.rlike(SHALL), "shall").otherwise("must").alias("modal"), F.translate(s, "\n", " ").alias("sentence")))
-    return _first_by(pairs, "sentence")
+    return _first_by(pairs, "sentence", "modal:string,sentence:string")
 
 
 def definitions(text: Column) -> Column:
     """``array<struct<term, definition>>``: quoted terms, terms in capitals, then "the term ..."; each term once."""
     parts = [F.zip_with(_all(text, p, 1), _all(text, p, 2), lambda a, b: F.struct(strip(a).alias("term"), strip(b).alias("definition"))) for p in DEFINITIONS]
-    return _first_by(F.concat(*parts), "term")
+    return _first_by(F.concat(*parts), "term", "term:string,definition:string")
 
 
 def dates(text: Column) -> Column:
