@@ -86,7 +86,7 @@ GRAPHS = {
     "random": ([(rng.randrange(25), rng.randrange(25), rng.randrange(1, 9) / 8) for _ in range(60)], 25),
     "star": ([(0, i, 1 + i / 100) for i in range(1, 20)], 21),
 }
-SMALL = ("cycle with a tail", "clusters", "multi", "random")
+SMALL = ("multi", "random")
 
 
 @pytest.mark.parametrize("engine", ["local", "distributed"])
