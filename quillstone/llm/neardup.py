@@ -6,8 +6,9 @@ Method: a prefix-tree join, in parts.
 2. The shingles of all texts get one global order, the rarest first, from exact counts over all texts. Counts are
    summed within chunks of texts before they move, and come back as one byte for each distinct shingle of a chunk.
 3. The top of the tree is spread over tasks by shingle: two ordered sets that are similar enough share a shingle in
-   their prefixes, and from its places in both the remaining lengths bound what they can still share. Shingles of one
-   text only can't be shared and are skipped. Very frequent shingles are dealt to several tasks in blocks.
+   their prefixes, and from its places in both the remaining lengths bound what they can still share; so does a
+   sketch of what follows it in the prefixes. Shingles of one text only can't be shared and are skipped. Very
+   frequent shingles are dealt to several tasks in blocks.
 4. Pairs that are left are gathered by one of their texts. The sets of the others are stored in a tree with shared
    beginnings, which is traversed once against that text: an edge's overlap is counted once for all sets below it,
    and a subtree ends where its remaining lengths no longer suffice. The result is exact.
@@ -33,6 +34,7 @@ from quillstone.session import materialize, shared_path
 
 _BITS = 44  #: of a shingle's hash in steps 2 and 3; step 4 takes 64
 _MASK = np.uint64((1 << _BITS) - 1)
+_ROWS = 20  #: bits of a row's number in its chunk; the rest of a text's address is the chunk
 _HOT = 20_000  #: a shingle of more texts than this is dealt to several tasks
 _BUCKET = 2_000_000  #: shingles for each task of steps 2 and 3
 
@@ -143,7 +145,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, within: str | None = Non
     counted = _count(ordered, folder, buckets, k, least_words)
     levels = materialize(counted, "levels")
     candidates = materialize(_candidates(levels, folder, buckets, k, similarity), "candidates")
-    links = materialize(_verified(candidates, rows, k, similarity), "links")
+    links = materialize(_verified(candidates, folder, k, similarity), "links")
     return NearDuplicates(members.select("within", "key", "rep", "n_words").distinct(), links)
 
 
@@ -151,21 +153,21 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def _write_chunk(folder: str, name: str, rows: pa.Table) -> None:
+def _write_chunk(folder: str, name: int, rows: pa.Table) -> None:
     fs, path = _filesystem(folder)
     fs.create_dir(path, recursive=True)
     out = io.BytesIO()
     with pa.ipc.new_file(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
         writer.write_table(rows)
-    tries = f"{path}/.{name}.{np.random.default_rng().integers(1 << 62)}"
+    tries = f"{path}/.{name:x}.{np.random.default_rng().integers(1 << 62)}"
     with fs.open_output_stream(tries) as stream:
         stream.write(out.getvalue())
-    fs.move(tries, f"{path}/{name}")
+    fs.move(tries, f"{path}/{name:x}")
 
 
-def _read_chunk(folder: str, name: str) -> pa.Table:
+def _read_chunk(folder: str, name: int) -> pa.Table:
     fs, path = _filesystem(folder)
-    with fs.open_input_file(f"{path}/{name}") as f:
+    with fs.open_input_file(f"{path}/{name:x}") as f:
         return pa.ipc.open_file(f).read_all()
 
 
@@ -184,14 +186,15 @@ def _count(ordered: DataFrame, folder: str, buckets: int, k: int, least_words: i
                 if not len(table):
                     continue
                 # named by content: a repeated task writes the same file
-                name = f"{int(mix(Words(table['text']).sequence_keys(3) + table['key'].to_numpy().view(np.uint64)).sum(dtype=np.uint64)):016x}-{table['key'][0]}-{len(table)}"
+                content = Words(table["text"]).sequence_keys(3) + mix(table["key"].to_numpy().view(np.uint64)) + table["salt"].to_numpy().view(np.uint64)
+                name = int(mix(mix(content).sum(keepdims=True))[0] >> np.uint64(_ROWS + 1))
                 _write_chunk(folder, name, table)
-                chunk = Chunk(table.combine_chunks(), k)
+                chunk = Chunk(table, k)
                 edges = chunk.edges(buckets)
                 counts = np.bincount(chunk.which, minlength=len(chunk.distinct))
                 used = [b for b in range(buckets) if edges[b] < edges[b + 1]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array([_planes(chunk.distinct[edges[b] : edges[b + 1]], 6) for b in used], pa.binary()), pa.array([_planes(counts[edges[b] : edges[b + 1]], 4) for b in used], pa.binary())],
+                    [pa.array([name] * len(used), pa.int64()), pa.array(used, pa.int32()), pa.array([_planes(chunk.distinct[edges[b] : edges[b + 1]], 6) for b in used], pa.binary()), pa.array([_planes(counts[edges[b] : edges[b + 1]], 4) for b in used], pa.binary())],
                     names=["chunk", "bucket", "tokens", "counts"],
                 )
 
@@ -203,16 +206,25 @@ def _count(ordered: DataFrame, folder: str, buckets: int, k: int, least_words: i
         ends = np.cumsum([len(t) for t in tokens])
         return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "level": pa.array([level[e - len(t) : e].tobytes() for e, t in zip(ends, tokens, strict=True)], pa.binary())})
 
-    sent = ordered.mapInArrow(chunks, "chunk string, bucket int, tokens binary, counts binary")
-    return sent.groupBy("bucket").applyInArrow(add, "chunk string, bucket int, level binary")
+    sent = ordered.mapInArrow(chunks, "chunk long, bucket int, tokens binary, counts binary")
+    return sent.groupBy("bucket").applyInArrow(add, "chunk long, bucket int, level binary")
+
+
+def _bits(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of 128 bits for each token, as two words."""
+    bit = mix(token) & np.uint64(127)
+    one = np.uint64(1) << (bit & np.uint64(63))
+    low = bit < 64
+    return np.where(low, one, np.uint64(0)), np.where(low, np.uint64(0), one)
 
 
 def _candidates(levels: DataFrame, folder: str, buckets: int, k: int, similarity: float) -> DataFrame:
-    """Pairs of representatives that share a shingle early enough in the global order: (within, a, b)."""
+    """Pairs of representatives, by their addresses, that share a shingle early enough in the global order."""
+    widths = {"tokens": 4, "rows": 3, "sizes": 4, "places": 4, "after": 4, "sketch1": 8, "sketch2": 8}
 
     def prefixes(table: pa.Table) -> pa.Table:
         rows = _read_chunk(folder, table["chunk"][0].as_py())
-        chunk = Chunk(rows.combine_chunks(), k)
+        chunk = Chunk(rows, k)
         level = np.zeros(len(chunk.distinct), np.uint8)
         edges = chunk.edges(buckets)
         for b, x in zip(table["bucket"].to_pylist(), table["level"].to_pylist(), strict=True):
@@ -226,33 +238,40 @@ def _candidates(levels: DataFrame, folder: str, buckets: int, k: int, similarity
         n = chunk.size[set_of]
         early = place <= n - np.ceil(similarity * n - 1e-9)
         set_of, token, place, n, member = set_of[early], token[early], place[early], n[early], member[early]
-        key = rows["key"].to_numpy()[set_of]
+        # what follows each shingle in its set's prefix: how many, and their bits added up without carry
+        end = np.searchsorted(set_of, set_of, "right") - 1
+        after = end - np.arange(len(end))
+        sketch = []
+        for bits in _bits(token):
+            sums = np.bitwise_xor.accumulate(bits) if len(bits) else bits
+            sketch.append(sums[end] ^ sums)
         # a very frequent shingle's texts are dealt to pairs of blocks; each text goes to all pairs with its own block
         parts = -(-_least_count(member) // _HOT)
-        own = (mix(key.view(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
-        times = np.where(parts > 1, parts, 1)
-        at = np.repeat(np.arange(len(token)), times)
-        other = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-        pair = np.minimum(own[at], other) * 4096 + np.maximum(own[at], other)
-        token = mix(token[at] + (pair.astype(np.uint64) << np.uint64(_BITS))) & _MASK
-        key, n, place, set_of = key[at], n[at], place[at], set_of[at]
-        within = rows["within"].combine_chunks().dictionary_encode()
-        code = within.indices.to_numpy()[set_of]
-        where = (token * np.uint64(buckets) >> np.uint64(_BITS)).astype(np.int64)
-        order = np.lexsort((token, code, where))
-        out = {c: [] for c in ("bucket", "within", "tokens", "keys", "sizes", "places")}
-        heads = np.flatnonzero(np.diff(where[order] * len(within.dictionary) + code[order], prepend=-1))
-        for s, e in zip(heads, np.append(heads[1:], len(order)), strict=True):
-            i = order[s:e]
-            for c, v in zip(out, (int(where[i[0]]), within.dictionary[int(code[i[0]])].as_py(), _planes(token[i], 6), _planes(key[i].view(np.uint64), 8), _planes(n[i], 4), _planes(place[i], 4)), strict=True):
-                out[c].append(v)
-        return pa.table(out, schema=pa.schema([("bucket", pa.int32()), ("within", pa.string()), *[(c, pa.binary()) for c in ("tokens", "keys", "sizes", "places")]]))
+        own = (mix(set_of.astype(np.uint64) + np.uint64(table["chunk"][0].as_py())) % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64)
+        at = np.repeat(np.arange(len(token)), parts)
+        other = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+        pair = np.minimum(own[at], other) * 65536 + np.maximum(own[at], other)
+        spread = mix(token[at] + (pair.astype(np.uint64) << np.uint64(_BITS)))
+        where = (spread >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        order = np.argsort(where, kind="stable")
+        at, where = at[order], where[order].astype(np.int64)
+        columns = (spread[order] & np.uint64(0xFFFFFFFF), set_of[at], n[at], place[at], after[at], sketch[0][at], sketch[1][at])
+        heads = np.searchsorted(where, np.arange(buckets + 1))
+        used = [b for b in range(buckets) if heads[b] < heads[b + 1]]
+        out = {"chunk": pa.array([table["chunk"][0].as_py()] * len(used), pa.int64()), "bucket": pa.array(used, pa.int32())}
+        for (name, width), values in zip(widths.items(), columns, strict=True):
+            out[name] = pa.array([_planes(values[heads[b] : heads[b + 1]], width) for b in used], pa.binary())
+        return pa.table(out)
 
     def meet(table: pa.Table) -> pa.Table:
-        token, key, n, place = (np.concatenate([_from_planes(x, w) for x in table[c].to_pylist()]) for c, w in (("tokens", 6), ("keys", 8), ("sizes", 4), ("places", 4)))
-        key, n, place = key.view(np.int64), n.astype(np.int64), place.astype(np.int64)
-        order = np.lexsort((key, n, token))
-        token, key, n, place = token[order], key[order], n[order], place[order]
+        got = {c: [_from_planes(x, w) for x in table[c].to_pylist()] for c, w in widths.items()}
+        chunk = np.repeat(table["chunk"].to_numpy(), [len(x) for x in got["rows"]])
+        token, row, n, place, after, s1, s2 = (np.concatenate(x) for x in got.values())
+        text = (chunk << _ROWS) + row.astype(np.int64)
+        n, place, after = n.astype(np.int64), place.astype(np.int64), after.astype(np.int64)
+        order = np.lexsort((text, n, token))
+        token, text, n, place, after, s1, s2 = token[order], text[order], n[order], place[order], after[order], s1[order], s2[order]
+        rest = np.ceil(similarity * n - 1e-9).astype(np.int64) - 1  # members behind the prefix
         found, pending = [], 0
         i, step = np.arange(len(token)), 0
         while len(i):
@@ -261,17 +280,26 @@ def _candidates(levels: DataFrame, folder: str, buckets: int, k: int, similarity
             j = i + step
             go = (token[i] == token[j]) & (n[i] >= similarity * n[j] - 1e-9)  # sizes rise within a token: no later one fits either
             i, j = i[go], j[go]
-            can = (np.minimum(n[i] - place[i], n[j] - place[j]) >= needed(n[i], n[j], similarity)) & (key[i] != key[j])
-            if can.any():
-                found.append(np.stack([np.minimum(key[i[can]], key[j[can]]), np.maximum(key[i[can]], key[j[can]])], 1))
-                pending += len(found[-1])
+            least = needed(n[i], n[j], similarity)
+            can = np.flatnonzero((np.minimum(n[i] - place[i], n[j] - place[j]) >= least) & (text[i] != text[j]))
+            p, q = i[can], j[can]
+            # the rest of what they share lies in both prefixes, of which the sketches tell how much differs, or
+            # behind the prefix that ends first
+            differ = np.bitwise_count(s1[p] ^ s1[q]).astype(np.int64) + np.bitwise_count(s2[p] ^ s2[q])
+            both = np.minimum(np.minimum(after[p], after[q]), (after[p] + after[q] - differ) // 2)
+            can = 1 + both + np.maximum(rest[p], rest[q]) >= least[can]
+            p, q = text[p[can]], text[q[can]]
+            if len(p):
+                found.append(np.stack([np.minimum(p, q), np.maximum(p, q)], 1))
+                pending += len(p)
                 if pending > 4_000_000:
                     found, pending = [np.unique(np.concatenate(found), axis=0)], 0
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"within": pa.array([table["within"][0].as_py()] * len(pairs), pa.string()), "a": pairs[:, 0], "b": pairs[:, 1]})
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    sent = levels.groupBy("chunk").applyInArrow(prefixes, "bucket int, within string, tokens binary, keys binary, sizes binary, places binary")
-    return sent.groupBy("bucket", "within").applyInArrow(meet, "within string, a long, b long").distinct()
+    fields = ", ".join(f"{c} binary" for c in widths)
+    sent = levels.groupBy("chunk").applyInArrow(prefixes, f"chunk long, bucket int, {fields}")
+    return sent.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
 class SetTree:
@@ -325,48 +353,53 @@ class SetTree:
         return found
 
 
-def _verified(candidates: DataFrame, rows: DataFrame, k: int, similarity: float, together: int = 512) -> DataFrame:
+def _verified(candidates: DataFrame, folder: str, k: int, similarity: float, together: int = 512) -> DataFrame:
     """Candidates that are similar enough, with the similarity. A text with many candidates meets them in parts."""
-    many = candidates.groupBy("within", "a").agg(F.ceil(F.count("*") / together).alias("parts"))
-    spread = candidates.join(many, ["within", "a"]).withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).drop("parts")
-    asked = spread.select("within", "a", "part", F.col("b").alias("key"), F.lit(1).alias("role")).unionByName(spread.select("within", "a", "part", F.col("a").alias("key"), F.lit(0).alias("role")).distinct())
-    texts = rows.join(candidates.select("within", F.explode(F.array("a", "b")).alias("key")).distinct(), ["within", "key"], "left_semi").distinct()
-    full = asked.join(texts, ["within", "key"]).repartition("within", "a", "part").sortWithinPartitions("within", "a", "part", "role", "key")
+    many = candidates.groupBy("a").agg(F.ceil(F.count("*") / together).alias("parts"))
+    spread = candidates.join(many, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).drop("parts")
+    asked = spread.select("a", "part", F.col("b").alias("text"), F.lit(1).alias("role")).unionByName(spread.select("a", "part", F.col("a").alias("text"), F.lit(0).alias("role")).distinct())
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("text")).distinct().withColumn("chunk", F.shiftright("text", _ROWS))
+
+    def fetch(table: pa.Table) -> pa.Table:
+        rows = _read_chunk(folder, table["chunk"][0].as_py())
+        own = rows.take(pa.array(table["text"].to_numpy() & ((1 << _ROWS) - 1)))
+        return pa.table({"text": table["text"], "within": own["within"], "key": own["key"], "body": own["text"]})
+
+    texts = wanted.groupBy("chunk").applyInArrow(fetch, "text long, within string, key long, body string")
+    full = asked.join(texts, "text").repartition("a", "part").sortWithinPartitions("a", "part", "role")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, hubs, others = None, [], []
+        group, hub, others = None, None, []
 
         def close() -> list[tuple]:
-            if group is None:
+            if hub is None:
                 return []
-            best: dict[int, float] = {}
-            for hub in hubs:
-                for i, s in SetTree([x for _, x in others]).similar(hub, similarity):
-                    best[others[i][0]] = max(s, best.get(others[i][0], 0.0))
-            return [(group[0], group[1], b, s) for b, s in best.items()]
+            tree = SetTree([x for _, x in others])
+            return [(hub[0], *sorted((hub[1], others[i][0])), s) for i, s in tree.similar(hub[2], similarity)]
 
         def batch_of(found: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*found, strict=True)) if found else [(), (), (), ()]
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.float64())], names=["within", "a", "b", "similarity"])
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "body"):
                 found = []
-                token, first = Words(part.column("text")).shingles(k)
-                names = zip(part.column("within").to_pylist(), part.column("a").to_pylist(), part.column("part").to_pylist(), strict=True)
-                for i, (name, key, role) in enumerate(zip(names, part.column("key").to_pylist(), part.column("role").to_pylist(), strict=True)):
+                token, first = Words(part.column("body")).shingles(k)
+                names = zip(part.column("a").to_pylist(), part.column("part").to_pylist(), strict=True)
+                for i, (name, within, key, role) in enumerate(zip(names, part.column("within").to_pylist(), part.column("key").to_pylist(), part.column("role").to_pylist(), strict=True)):
                     if name != group:
                         found += close()
-                        group, hubs, others = name, [], []
+                        group, hub, others = name, None, []
                     x = token[first[i] : first[i + 1]]
                     if role:
                         others.append((key, x))
                     else:
-                        hubs.append(x)
+                        hub = (within, key, x)
                 yield batch_of(found)
         yield batch_of(close())
 
-    return full.mapInArrow(verify, "within string, a long, b long, similarity double")
+    links = full.mapInArrow(verify, "within string, a long, b long, similarity double")
+    return links.groupBy("within", "a", "b").agg(F.max("similarity").alias("similarity")).where("a < b")
 
 
 def expanded(found: NearDuplicates) -> DataFrame:
