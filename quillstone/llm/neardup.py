@@ -144,7 +144,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, within: str | None = Non
 
     counted = _count(ordered, folder, buckets, k, least_words)
     levels = materialize(counted, "levels")
-    candidates = materialize(_candidates(levels, folder, buckets, k, similarity), "candidates")
+    met = materialize(_candidates(levels, folder, buckets, k, similarity), "met")
+    candidates = materialize(_sketched(met, folder, similarity), "candidates")
     links = materialize(_verified(candidates, folder, k, similarity), "links")
     return NearDuplicates(members.select("within", "key", "rep", "n_words").distinct(), links)
 
@@ -153,21 +154,21 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def _write_chunk(folder: str, name: int, rows: pa.Table) -> None:
+def _write_chunk(folder: str, name: int, rows: pa.Table, kind: str = "") -> None:
     fs, path = _filesystem(folder)
     fs.create_dir(path, recursive=True)
     out = io.BytesIO()
     with pa.ipc.new_file(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
         writer.write_table(rows)
-    tries = f"{path}/.{name:x}.{np.random.default_rng().integers(1 << 62)}"
+    tries = f"{path}/.{name:x}{kind}.{np.random.default_rng().integers(1 << 62)}"
     with fs.open_output_stream(tries) as stream:
         stream.write(out.getvalue())
-    fs.move(tries, f"{path}/{name:x}")
+    fs.move(tries, f"{path}/{name:x}{kind}")
 
 
-def _read_chunk(folder: str, name: int) -> pa.Table:
+def _read_chunk(folder: str, name: int, kind: str = "") -> pa.Table:
     fs, path = _filesystem(folder)
-    with fs.open_input_file(f"{path}/{name:x}") as f:
+    with fs.open_input_file(f"{path}/{name:x}{kind}") as f:
         return pa.ipc.open_file(f).read_all()
 
 
@@ -218,6 +219,36 @@ def _bits(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(low, one, np.uint64(0)), np.where(low, np.uint64(0), one)
 
 
+_WORDS = 8  #: words of 64 bits in the sketch of a whole set
+
+
+def _sketches(chunk: Chunk) -> pa.Table:
+    """Size and sketch of each set: one bit for each member, added up without carry."""
+    out = np.zeros((len(chunk.size), _WORDS), np.uint64)
+    bit = mix(chunk.token ^ np.uint64(0x5DEECE66D)) % np.uint64(64 * _WORDS)
+    np.bitwise_xor.at(out, (chunk.set_of, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    return pa.table({"n": chunk.size.astype(np.int32)} | {f"s{i}": out[:, i].view(np.int64) for i in range(_WORDS)})
+
+
+def _sketched(met: DataFrame, folder: str, similarity: float) -> DataFrame:
+    """Pairs whose sketches leave room for enough shared members: each member that only one of two sets has changes
+    at most one bit, so sketches that differ in d bits have at most (n + m - d) / 2 members in common."""
+    names = ["n", *(f"s{i}" for i in range(_WORDS))]
+    wanted = met.select(F.explode(F.array("a", "b")).alias("text")).distinct().withColumn("chunk", F.shiftright("text", _ROWS))
+
+    def fetch(table: pa.Table) -> pa.Table:
+        own = _read_chunk(folder, table["chunk"][0].as_py(), ".sketch").take(pa.array(table["text"].to_numpy() & ((1 << _ROWS) - 1)))
+        return pa.table({"text": table["text"]} | {c: own[c] for c in names})
+
+    known = materialize(wanted.groupBy("chunk").applyInArrow(fetch, "text long, n int, " + ", ".join(f"{c} long" for c in names[1:])), "sketches")
+    one = known.select(F.col("text").alias("a"), *[F.col(c).alias(f"{c}_a") for c in names])
+    two = known.select(F.col("text").alias("b"), *[F.col(c).alias(f"{c}_b") for c in names])
+    both = met.join(one, "a").join(two, "b")
+    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in names[2:]), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
+    total = F.col("n_a") + F.col("n_b")
+    return both.where(F.floor((total - differ) / 2) >= F.ceil(similarity / (1 + similarity) * total - 1e-9)).select("a", "b")
+
+
 def _candidates(levels: DataFrame, folder: str, buckets: int, k: int, similarity: float) -> DataFrame:
     """Pairs of representatives, by their addresses, that share a shingle early enough in the global order."""
     widths = {"tokens": 4, "rows": 3, "sizes": 4, "places": 4, "after": 4, "sketch1": 8, "sketch2": 8}
@@ -229,6 +260,7 @@ def _candidates(levels: DataFrame, folder: str, buckets: int, k: int, similarity
         edges = chunk.edges(buckets)
         for b, x in zip(table["bucket"].to_pylist(), table["level"].to_pylist(), strict=True):
             level[edges[b] : edges[b + 1]] = np.frombuffer(x, np.uint8)
+        _write_chunk(folder, table["chunk"][0].as_py(), _sketches(chunk), ".sketch")
         member = level[chunk.which]
         single = np.bincount(chunk.set_of[member == 1], minlength=len(rows))
         keep = np.flatnonzero(member > 1)
