@@ -118,10 +118,16 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def match_starts(text: Column, pattern: str) -> Column:
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def match_starts(text: Column, pattern: str, found: Column | None = None) -> Column:
     """Position from 0 of each match: what lies between matches, and the matches, in turn."""
-    found = _all(text, pattern)
-    gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+    if found is None:
+        return _let(_all(text, pattern), lambda f: match_starts(text, pattern, f))
+    gaps = F.when(F.size(found) > 0, F.slice(F.split(text, pattern, -1), 1, F.size(found))).otherwise(F.array().cast("array<string>"))
     parts = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("own")))
     none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
     step = lambda s, x: F.struct((s["at"] + x["gap"] + x["own"]).alias("at"), F.concat(s["starts"], F.array(s["at"] + x["gap"])).alias("starts"))
@@ -134,25 +140,36 @@ def _first_by(items: Column, field: str, kind: str) -> Column:
     return F.aggregate(items, none, lambda kept, x: F.when(F.exists(kept, lambda y: y[field] == x[field]), kept).otherwise(F.concat(kept, F.array(x))))
 
 
-def _named(text: Column, kind: str) -> Column:
-    """The references of one kind, one for each match."""
+def _may_cite(text: Column, kind: str) -> Column:
+    """A quick test that every text with a reference of the kind passes: most have none, and are spared the search."""
+    small = F.translate(F.lower(text), "ſıİ", "sii")
+    if kind in ("cfr", "usc"):
+        return text.rlike({"cfr": r"C\.?F\.?R", "usc": r"U\.?S\.?C"}[kind])
+    if kind == "pl":
+        return small.rlike(r"(?U)[lw]\.?\s+\d")
+    return small.contains({"doe": "doe", "eo": "executive", "hspd": "hspd"}[kind])
+
+
+def _matches(text: Column, kind: str) -> Column:
+    return F.when(_may_cite(text, kind), _all(text, CITATIONS[kind][0])).otherwise(F.array().cast("array<string>"))
+
+
+def _name(match: Column, kind: str) -> Column:
+    """The reference that a match stands for."""
     pattern, form = CITATIONS[kind]
     if kind == "doe":
-        return F.transform(_all(text, pattern), strip)
-    if kind in ("cfr", "usc"):
-        return F.zip_with(_all(text, pattern, 1), _all(text, pattern, 2), lambda a, b: F.concat(a, F.lit(form), b))
-    return F.transform(_all(text, pattern, 1), lambda a: F.concat(F.lit(form), a))
+        return strip(match)
+    groups = [F.regexp_extract(match, pattern, i) for i in (1, 2)]
+    return F.concat(groups[0], F.lit(form), groups[1]) if kind in ("cfr", "usc") else F.concat(F.lit(form), groups[0])
 
 
 def _cited(text: Column, kind: str) -> Column:
-    pattern = CITATIONS[kind][0]
-
-    def context(match: Column, start: Column) -> Column:
+    def one(match: Column, start: Column) -> Column:
         a = F.greatest(start - CONTEXT, F.lit(0))
-        return strip(F.translate(F.substring(text, a + 1, start + F.length(match) + CONTEXT - a), "\n", " "))
+        around = strip(F.translate(F.substring(text, a + 1, start + F.length(match) + CONTEXT - a), "\n", " "))
+        return F.struct(F.lit(kind).alias("cit_type"), _name(match, kind).alias("reference"), around.alias("context"))
 
-    around = F.zip_with(_all(text, pattern), match_starts(text, pattern), context)
-    return F.zip_with(_named(text, kind), around, lambda n, c: F.struct(F.lit(kind).alias("cit_type"), n.alias("reference"), c.alias("context")))
+    return _let(_matches(text, kind), lambda found: F.zip_with(found, match_starts(text, CITATIONS[kind][0], found), one))
 
 
 def citations(text: Column) -> Column:
@@ -163,7 +180,7 @@ def citations(text: Column) -> Column:
 
 def references(text: Column, kind: str) -> Column:
     """The distinct references of one kind, in order."""
-    return F.array_distinct(_named(text, kind))
+    return F.array_distinct(F.transform(_matches(text, kind), lambda m: _name(m, kind)))
 
 
 def obligations(text: Column) -> Column:

@@ -352,15 +352,24 @@ def apsp(edges: DataFrame, nodes: DataFrame, engine: str = "auto") -> DataFrame:
             dist = np.full((n, n), np.inf)
             np.minimum.at(dist, (src, dst), w)
             np.fill_diagonal(dist, 0)
-            if len(src) * 8 < n * n:  # sparse: extend all sources' ways by one edge at a time
+            if len(src) * 8 < n * n:  # sparse: all sources' ways grow by one edge at a time, where they changed
                 order = np.argsort(dst, kind="stable")
                 s, d, w_ = src[order], dst[order], w[order]
-                heads = np.flatnonzero(np.diff(d, prepend=-1)) if len(d) else np.zeros(0, np.int64)
-                for _ in range(n if len(d) else 0):
-                    new = np.minimum(dist[:, d[heads]], np.minimum.reduceat(dist[:, s] + w_, heads, axis=1))
-                    if (new == dist[:, d[heads]]).all():
+                ways = np.ascontiguousarray(dist.T)  # a row for each end
+                moved = np.ones(n, bool)
+                while moved.any():
+                    use = np.flatnonzero(moved[s])
+                    if not len(use):
                         break
-                    dist[:, d[heads]] = new
+                    heads = np.flatnonzero(np.diff(d[use], prepend=-1))
+                    moved = np.zeros(n, bool)
+                    for a, e in zip(heads, np.append(heads[1:], len(use)), strict=True):
+                        at = use[a:e]
+                        new = np.minimum((ways[s[at]] + w_[at, None]).min(0), ways[d[at[0]]])
+                        if (new < ways[d[at[0]]]).any():
+                            ways[d[at[0]]] = new
+                            moved[d[at[0]]] = True
+                dist = ways.T
             else:
                 for m in range(n):
                     np.minimum(dist, dist[:, m : m + 1] + dist[m : m + 1], out=dist)
