@@ -62,6 +62,7 @@ def test_table_against_brute_force(spark):
             at = rng.randrange(0, len(w) + 1)
             w[at:at] = v[a : a + rng.choice([8, 11, 12, 20, 50])]
         docs.append((d, rng.choice([" ", "  ", "\n", ", "]).join(x.upper() if rng.random() < 0.3 else x for x in w)))
+    docs += [(600, "w1 other, " * 40_000 + items[0][1] + " w2" * 40_000)]  # a very long text
     docs += [(500, None), (501, ""), (502, "é"), (None, items[1][1]), (503, items[2][1]), (504, items[2][1]), (504, items[2][1])]
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     i = spark.createDataFrame(items, "item_id long, text string")

@@ -11,7 +11,7 @@ PATTERN = re.compile(r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\r\f\v]+")
 
 
 def test_tokens():
-    texts = ["a b", "a", "b!", None, "", "..", "..a__9 é, x\x0by\x1cz", "  ", "ä", "ä", "a-b_c\n\n(d)"]
+    texts = ["a b", "a", "b!", None, "", "..", "..a__9 é, x\x0by\x1cz", "  ", "ä", "ä", "a-b_c\n\n(d)", "ab, é! " * 100_000, "x" * 1_000_000]
     assert count_tokens(pa.array(texts)).tolist() == [len(PATTERN.findall(t or "")) for t in texts]
     assert count_tokens(pa.array(texts).slice(2, 6)).tolist() == [len(PATTERN.findall(t or "")) for t in texts[2:8]]
 
