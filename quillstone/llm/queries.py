@@ -161,3 +161,42 @@ s as (select t.source, max(t.target_share) as share, max(t.max_passes) as most,
 m as (select *, sum(tokens) over () as size from s)
 select source, cast(least(most, floor(share * size / tokens)) as integer) as full_passes from m where tokens > 0
 """
+
+_WORDS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
+
+ORACLES["p1_found"] = f"""
+with texts as (
+  select 'text' as field, section_key as key, {_WORDS.format("text")} as w from (select distinct section_key, text from parsed_sections where text is not null)
+  union all select 'text_preview', cast(global_idx as bigint), {_WORDS.format("text_preview")} from (select distinct global_idx, text_preview from sections where text_preview is not null)),
+sets as (select distinct field, key, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as s from (select field, key, w, unnest(range(1, len(w) - 1)) as i from texts where len(w) >= 12)),
+sizes as (select field, key, count(*) as n from sets group by field, key),
+met as (select a.field, a.key as key_a, b.key as key_b, count(*) as k from sets a join sets b on a.field = b.field and a.s = b.s and a.key < b.key group by all)
+select b.field, key_a, key_b from met b join sizes x on x.field = b.field and x.key = key_a join sizes y on y.field = b.field and y.key = key_b where k >= 0.6 * (x.n + y.n - k) - 1e-9
+"""
+
+ORACLES["p6_found"] = f"""
+with items as (select item_id, {_WORDS.format("text")} as w from eval_items where text is not null),
+phrases as (
+  select distinct item_id, 12 as n, array_to_string(w[i:i + 11], ' ') as p from (select item_id, w, unnest(range(1, len(w) - 10)) as i from items where len(w) >= 12)
+  union select item_id, len(w), array_to_string(w, ' ') from items where len(w) between 1 and 11),
+docs as (select doc_id, {_WORDS.format("text")} as w from documents where text is not null),
+runs as (select doc_id, n, array_to_string(w[i:i + n - 1], ' ') as p from (select doc_id, w, n, unnest(range(1, cast(len(w) - n + 2 as bigint))) as i from docs, (select distinct n from phrases)))
+select distinct doc_id, item_id from runs join phrases using (n, p)
+"""
+
+_LAST = "list_max(list_filter(range(s + 1025, s + 2049), lambda x: {0}))"
+_BLANK = "c[{0}] in (' ', chr(9), chr(10), chr(13))"
+_END = (
+    "case when n - s <= 2048 then n else coalesce("
+    + ", ".join(_LAST.format(x) for x in ("c[x] = chr(10) and c[x - 1] = chr(10)", "c[x] = chr(10)", _BLANK.format("x") + " and c[x - 1] in ('.', '!', '?')", _BLANK.format("x")))
+    + ", s + 2048) end"
+)
+
+ORACLES["p5_found"] = f"""
+with recursive t as materialized (select section_key, regexp_extract_all(text, '(?s).') as c, cast(length(text) as bigint) as n from (select distinct section_key, text from parsed_sections where length(text) > 2048)),
+r(section_key, piece_no, s, e) as (
+  select section_key, 0, s, {_END} from (select *, cast(0 as bigint) as s from t)
+  union all
+  select section_key, piece_no + 1, s, {_END} from (select t.section_key, r.piece_no, t.c, t.n, coalesce(list_min(list_filter(range(r.e - 200, r.e), lambda x: {_BLANK.format("x")})), r.e - 200) as s from r join t on t.section_key = r.section_key where r.e < t.n))
+select section_key, cast(piece_no as integer) as piece_no, s as start_pos, e as end_pos from r
+"""
