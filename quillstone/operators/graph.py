@@ -54,6 +54,12 @@ def _one_task(edges: DataFrame, nodes: DataFrame, run: Local, schema: str) -> Da
     return rows.repartition(1).mapInArrow(task, schema)
 
 
+def _out(first: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Places of the nodes' outgoing edges, which are sorted by source and begin at ``first``."""
+    size = first[nodes + 1] - first[nodes]
+    return np.repeat(first[nodes], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+
+
 def _levels(n: int, src: np.ndarray, dst: np.ndarray, start: np.ndarray) -> np.ndarray:
     level = np.full(n, -1, np.int64)
     level[start] = 0
@@ -61,9 +67,7 @@ def _levels(n: int, src: np.ndarray, dst: np.ndarray, start: np.ndarray) -> np.n
     first = np.searchsorted(src, np.arange(n + 1))
     while len(frontier):
         depth += 1
-        size = first[frontier + 1] - first[frontier]
-        at = np.repeat(first[frontier], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        reached = np.unique(dst[at])
+        reached = np.unique(dst[_out(first, frontier)])
         frontier = reached[level[reached] < 0]
         level[frontier] = depth
     return level
@@ -116,6 +120,12 @@ def bfs_levels(dist: DataFrame) -> DataFrame:
     return dist.groupBy("dist").agg(F.count("*").alias("nodes"))
 
 
+def bfs_coverage(dist: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(covered, targets, coverage_pct)``: targets that the search reaches."""
+    r = bfs_gaps(dist, nodes).agg(F.count_if(~F.col("is_gap")).alias("covered"), F.count("*").alias("targets"))
+    return r.withColumn("coverage_pct", 100.0 * F.col("covered") / F.greatest("targets", F.lit(1)))
+
+
 def topological_sort(edges: DataFrame, nodes: DataFrame, engine: str = "auto") -> DataFrame:
     """``(id, level, pos)``: nodes in the rounds in which they lose their last incoming edge; within a round by id.
     Nodes on a cycle or behind one have no row."""
@@ -129,11 +139,9 @@ def topological_sort(edges: DataFrame, nodes: DataFrame, engine: str = "auto") -
             frontier, depth = np.flatnonzero(left == 0), 0
             while len(frontier):
                 level[frontier] = depth
-                size = first[frontier + 1] - first[frontier]
-                at = np.repeat(first[frontier], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                lost = np.bincount(dst[at], minlength=n)
-                left -= lost
-                frontier, depth = np.flatnonzero((lost > 0) & (left == 0)), depth + 1
+                met, lost = np.unique(dst[_out(first, frontier)], return_counts=True)
+                left[met] -= lost
+                frontier, depth = met[left[met] == 0], depth + 1
             order = np.lexsort((ids, level))
             order = order[level[order] >= 0]
             return {"id": pa.array(ids[order]), "level": pa.array(level[order].astype(np.int32)), "pos": pa.array(np.arange(len(order), dtype=np.int32))}
@@ -200,6 +208,12 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, max_iter
     return rank.select("id", "rank")
 
 
+def top_ranked(ranks: DataFrame, k: int = 10) -> DataFrame:
+    """The k best of all nodes, ``(place, id, rank)``; equal ranks by id."""
+    top = ranks.orderBy(F.desc("rank"), "id").limit(k)
+    return top.select(F.expr("row_number() over (order by rank desc, id)").alias("place"), "id", "rank")  # k rows
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """The edges and their reverses."""
     cols = [c for c in edges.columns if c not in ("src", "dst")]
@@ -272,21 +286,25 @@ def top_links(forest: DataFrame, k: int = 10) -> DataFrame:
 
 
 def _distances(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Only nodes whose distance fell in the last round send it on. Edges are sorted by source."""
     dist = np.full(n, np.inf)
     dist[start] = 0
-    for _ in range(n):
-        new = dist.copy()
-        np.minimum.at(new, dst, dist[src] + w)
-        if (new == dist).all():
-            break
-        dist = new
+    first = np.searchsorted(src, np.arange(n + 1))
+    changed = start
+    while len(changed):
+        at = _out(first, changed)
+        to, offer = dst[at], dist[src[at]] + w[at]
+        better = offer < dist[to]
+        to, offer = to[better], offer[better]
+        np.minimum.at(dist, to, offer)
+        changed = np.unique(to)
     return dist
 
 
 def sssp(edges: DataFrame, nodes: DataFrame, source: int = 0, engine: str = "auto") -> DataFrame:
-    """``(id, dist, pred, path)`` of the nodes that can be reached from ``source`` over non-negative weights. Of
-    several predecessors on shortest ways the one with the fewest hops counts, then the smallest. ``path`` is the
-    list of nodes from the source."""
+    """``(id, dist, pred, hops)`` of the nodes that can be reached from ``source`` over non-negative weights. Of
+    several predecessors on shortest ways the one with the fewest hops counts, then the smallest. ``shortest_paths``
+    follows the predecessors. ValueError if a weight is below 0."""
     if edges.where("weight < 0").limit(1).count():
         raise ValueError("negative weights")
     if _is_local(edges, nodes, engine):
@@ -300,34 +318,45 @@ def sssp(edges: DataFrame, nodes: DataFrame, source: int = 0, engine: str = "aut
             use = hops[d] == hops[s] + 1
             pred = np.full(n, np.iinfo(np.int64).max)
             np.minimum.at(pred, d[use], s[use])
-            paths: dict[int, list[int]] = {int(i): [int(ids[i])] for i in start}
-            for i in np.argsort(hops, kind="stable").tolist():
-                if hops[i] > 0:
-                    paths[i] = [*paths[int(pred[i])], int(ids[i])]
             hit = np.flatnonzero(hops >= 0)
-            before = [int(ids[pred[i]]) if hops[i] > 0 else None for i in hit]
-            return {"id": pa.array(ids[hit]), "dist": pa.array(dist[hit]), "pred": pa.array(before, pa.int64()), "path": pa.array([paths[int(i)] for i in hit], pa.list_(pa.int64()))}
+            before = pa.array(ids[np.where(hops[hit] > 0, pred[hit], 0)], mask=hops[hit] == 0)
+            return {"id": pa.array(ids[hit]), "dist": pa.array(dist[hit]), "pred": before, "hops": pa.array(hops[hit].astype(np.int32))}
 
-        return _one_task(edges, nodes, run, "id long, dist double, pred long, path array<long>")
+        return _one_task(edges, nodes, run, "id long, dist double, pred long, hops int")
     ids = nodes.select(F.col("id").cast("long").alias("id"))
     links = materialize(edges.groupBy(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).agg(F.min("weight").alias("weight")), "links")
-    best = materialize(ids.where(F.col("id") == source).select("id", F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("pred"), F.array("id").alias("path")), "best")
+    best = materialize(ids.where(F.col("id") == source).select("id", F.lit(0.0).alias("dist"), F.lit(None).cast("long").alias("pred"), F.lit(0).alias("hops")), "best")
     changed = best
     for _ in range(max(ids.count(), 1)):
         # only nodes whose distance fell last round send it on
-        sent = changed.select(F.col("id").alias("src"), "dist", "path").join(links, "src").select(F.col("dst").alias("id"), (F.col("dist") + F.col("weight")).alias("dist"), F.col("src").alias("pred"), F.concat("path", F.array("dst")).alias("path"))
+        sent = changed.select(F.col("id").alias("src"), "dist", "hops").join(links, "src").select(F.col("dst").alias("id"), (F.col("dist") + F.col("weight")).alias("dist"), F.col("src").alias("pred"), (F.col("hops") + 1).alias("hops"))
         sent = sent.join(ids, "id", "left_semi")
-        key = F.struct("dist", F.size("path"), "pred")
-        offers = sent.groupBy("id").agg(F.min_by(F.struct("dist", "pred", "path"), key).alias("o")).select("id", "o.*")
-        known = best.select("id", F.col("dist").alias("d0"), F.size("path").alias("h0"), F.col("pred").alias("p0"))
-        better = (F.col("d0").isNull()) | (F.col("dist") < F.col("d0")) | ((F.col("dist") == F.col("d0")) & ((F.size("path") < F.col("h0")) | ((F.size("path") == F.col("h0")) & (F.col("pred") < F.col("p0")))))
-        changed = materialize(offers.join(known, "id", "left").where(better).select("id", "dist", "pred", "path"), "changed")
+        key = F.struct("dist", "hops", "pred")
+        offers = sent.groupBy("id").agg(F.min(key).alias("o")).select("id", "o.*")
+        known = best.select("id", F.struct("dist", "hops", F.coalesce("pred", F.lit(-(1 << 63))).alias("pred")).alias("k"))
+        changed = materialize(offers.join(known, "id", "left").where(F.col("k").isNull() | (key < F.col("k"))).select("id", "dist", "pred", "hops"), "changed")
         if changed.isEmpty():
             return best
-        best = materialize(best.join(changed, "id", "left_anti").unionByName(changed), "best")
+        old, best = best, materialize(best.join(changed, "id", "left_anti").unionByName(changed), "best")
+        release(best.sparkSession, old._quillstone_path)
     return best
 
 
+def shortest_paths(found: DataFrame, ends: DataFrame) -> DataFrame:
+    """``(id, path)``: the nodes from the source to each of ``ends`` (id) that ``sssp`` found. Predecessors are
+    followed for these ends only, all at once, a step in each round; longer ways have been left out of the search."""
+    back = found.select(F.col("id").alias("at"), "pred")
+    step = ends.select(F.col("id").cast("long").alias("id")).distinct().join(found.select("id"), "id").select("id", F.col("id").alias("at"), F.array("id").alias("path"))
+    done = None
+    while True:
+        step = materialize(step.join(back, "at"), "paths")
+        here = step.where("pred is null").select("id", "path")
+        done = here if done is None else done.unionByName(here)
+        if step.where("pred is not null").isEmpty():
+            return done
+        step = step.where("pred is not null").select("id", F.col("pred").alias("at"), F.concat(F.array("pred"), "path").alias("path"))
+
+
 def strongest_paths(dist: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame:
     """The k nearest targets with ``1 - dist`` as their similarity; equal distances by id."""
     return dist.join(nodes.where("kind = 'PROC'"), "id").orderBy("dist", "id").limit(k).select("id", "local_idx", "dist", (1 - F.col("dist")).alias("similarity"))

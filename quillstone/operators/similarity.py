@@ -3,45 +3,101 @@
 All pairs are computed block by block with BLAS inside ``mapInArrow``; what a caller needs of them (the pairs above a
 threshold, each source's best target) is taken within the block, so the M x N pairs are never materialised unless
 they are asked for. A target side of a checked size goes to every task; beyond that, packed blocks of both sides are
-paired.
+written to the shared folder and their places are paired.
 """
 
 from __future__ import annotations
 
+import itertools
+import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COSINE_EPS = 1e-8  #: added to the product of the norms
 BROADCAST_BYTES = 64 << 20  #: a target side up to this size is sent to every task
 PACK_ROWS = 2048  #: rows of a packed block
+PACK_BLOCKS = 64  #: blocks in a file of them
 
 
-def sequential_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """``df`` with 0, 1, 2, ... in the order of unique columns. Distributed: a range sort of those columns and the sizes
-    of its partitions, of which there are few, take the place of one large window."""
+def _placed(df: DataFrame, order: list[str]) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """The rows range-sorted and written down, with their partition ``p_`` and place in it ``i_``; and the partitions
+    with their sizes, of which there are few. Rows are only carried along, never joined back: nulls and repeated keys
+    keep theirs."""
     from quillstone.session import materialize
 
-    keys = df.select(*order).sort(*order)
-    placed = materialize(keys.select(*order, F.spark_partition_id().alias("p_"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("i_")), "index")
-    sizes = sorted((r.p_, r["count"]) for r in placed.groupBy("p_").count().collect())
-    starts, at = [], 0
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = materialize(df.sort(*order).select("*", F.spark_partition_id().alias("p_"), at.alias("i_")), "index")
+    return rows, sorted((r.p_, r["count"]) for r in rows.groupBy("p_").count().collect())
+
+
+def _with_base(rows: DataFrame, bases: list[tuple[int, int]]) -> DataFrame:
+    table = rows.sparkSession.createDataFrame(bases, "p_ int, base_ long")
+    return rows.join(F.broadcast(table), "p_")  # a row for each partition
+
+
+def sequential_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``df`` with 0, 1, 2, ... (int) in the order of the columns, nulls first; every row gets one number, and rows
+    that are equal in all of them are numbered in any order. Distributed: a range sort and the sizes of its
+    partitions take the place of one large window. OverflowError beyond 2^31 - 1 rows."""
+    rows, sizes = _placed(df, order)
+    if sum(n for _, n in sizes) >= 1 << 31:
+        raise OverflowError("more rows than an int can number")
+    bases, at = [], 0
     for p, n in sizes:
-        starts += [F.lit(p), F.lit(at)]
+        bases.append((p, at))
         at += n
-    base = F.create_map(*starts)[F.col("p_")] if starts else F.lit(0)
-    return df.join(placed.select(*order, (base + F.col("i_")).cast("int").alias(name)), order)
+    return _with_base(rows, bases).select(*df.columns, (F.col("base_") + F.col("i_")).cast("int").alias(name))
+
+
+def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows before each one in the order of a unique column: a range sort,
+    running sums within its partitions, and the sums of the partitions before."""
+    rows, _ = _placed(df, [order])
+    bases, at = [], 0
+    for p, n in sorted((r.p_, r.n) for r in rows.groupBy("p_").agg(F.sum(value).alias("n")).collect()):
+        bases.append((p, at))
+        at += n or 0
+    inside = F.sum(value).over(Window.partitionBy("p_").orderBy("i_").rowsBetween(Window.unboundedPreceding, -1))
+    return _with_base(rows.withColumn("inside_", F.coalesce(inside, F.lit(0))), bases).select(*df.columns, (F.col("base_") + F.col("inside_")).alias(name))
+
+
+def vector_problem(v: Column, dim: int | None = None) -> Column:
+    """Why a vector can't be compared: ``null``, ``length`` (it isn't ``dim``), ``element`` (one is null, NaN or
+    infinite); null for a good one. A zero vector is good, its cosines are 0."""
+    inf = F.lit(float("inf"))
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf))
+    wrong = F.size(v) != dim if dim is not None else F.size(v) == 0
+    return F.when(v.isNull(), "null").when(wrong, "length").when(~finite, "element")
+
+
+def set_apart(df: DataFrame, dim: int, vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
+    """The rows that can be compared, and the others with their ``problem``: no row is lost."""
+    told = df.withColumn("problem", vector_problem(F.col(vector).cast("array<double>"), dim))
+    return told.where("problem is null").drop("problem"), told.where("problem is not null")
 
 
 def check_dimensions(regs: DataFrame, procs: DataFrame, vector: str = "embedding") -> int:
-    """The one length of all vectors on both sides; ValueError if there are several."""
-    sizes = regs.select(F.size(vector).alias("d")).union(procs.select(F.size(vector).alias("d"))).distinct().limit(3).collect()
-    if len(sizes) > 1:
-        raise ValueError(f"vectors of different lengths: {sorted(r.d for r in sizes)}")
-    return sizes[0].d if sizes else 0
+    """The one length of all vectors on both sides. ValueError if there are several, or a vector that can't be
+    compared: take those out with ``set_apart``."""
+    return _sizes(regs.select(F.col(vector).alias("v")), procs.select(F.col(vector).alias("v")))[0]
+
+
+def _sizes(left: DataFrame, right: DataFrame) -> tuple[int, int]:
+    """Length of the vectors and rows on the right, checked in one pass over both sides."""
+    both = left.select("v", F.lit(0).alias("side")).unionByName(right.select("v", F.lit(1).alias("side")))
+    v = F.col("v").cast("array<double>")
+    r = both.agg(F.min(F.size(v)).alias("lo"), F.max(F.size(v)).alias("hi"), F.count_if(vector_problem(v).isNotNull()).alias("bad"), F.coalesce(F.sum("side"), F.lit(0)).alias("n")).first()
+    if r.bad:
+        raise ValueError(f"{r.bad} vectors are null, empty or have elements that are no numbers")
+    if r.lo != r.hi:
+        raise ValueError(f"vectors of different lengths: {r.lo} to {r.hi}")
+    return r.lo or 0, r.n
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -58,13 +114,14 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 Emit = Callable[[np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch]
 
 
-def _over_blocks(regs: DataFrame, procs: DataFrame, emit: Emit, schema: str, vector: str) -> DataFrame:
-    """Applies ``emit(reg_idx, proc_idx, cosines)`` to blocks that cover all pairs."""
+def _over_blocks(regs: DataFrame, procs: DataFrame, emit: Emit, schema: str, vector: str, upper: bool = False) -> DataFrame:
+    """Applies ``emit(reg_idx, proc_idx, cosines)`` to blocks that cover all pairs; with ``upper``, at least those
+    with reg_idx < proc_idx."""
     spark = regs.sparkSession
     left = regs.select("reg_idx", F.col(vector).cast("array<double>").alias("v"))
     right = procs.select("proc_idx", F.col(vector).cast("array<double>").alias("v"))
-    size = right.agg(F.coalesce(F.sum(F.size("v")), F.lit(0))).first()[0] * 8
-    if size <= BROADCAST_BYTES:
+    dim, n = _sizes(left, right)
+    if dim * n * 8 <= BROADCAST_BYTES:
         table = right.toArrow()
         ids = table["proc_idx"].to_numpy()
         order = np.argsort(ids)
@@ -77,42 +134,91 @@ def _over_blocks(regs: DataFrame, procs: DataFrame, emit: Emit, schema: str, vec
                 step = max(1, 4_000_000 // max(1, len(ids)))
                 for a in range(0, len(batch) if len(ids) else 0, step):
                     part = batch.slice(a, step)
-                    yield emit(part.column("reg_idx").to_numpy(), ids, _cosines(_matrix(part.column("v")), target))
+                    own = part.column("reg_idx").to_numpy()
+                    at = int(np.searchsorted(ids, own.min(), "right")) if upper else 0
+                    yield emit(own, ids[at:], _cosines(_matrix(part.column("v")), target[at:]))
 
         return left.mapInArrow(run, schema)
+    a, b = _packed(left, "reg_idx", dim), _packed(right, "proc_idx", dim)
+    # what is paired are places of blocks; a task reads one block of the left and the blocks of a file of the right
+    b = b.groupBy("file").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))  # a file has at most PACK_BLOCKS
+    pairs = a.select(F.col("file").alias("file_a"), "batch", F.col("lo").alias("lo_a")).crossJoin(b.select(F.col("file").alias("file_b"), F.col("hi").alias("hi_b")))
+    if upper:
+        pairs = pairs.where("lo_a < hi_b")
+
+    def run_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fa, k, fb in zip(*(batch.column(c).to_pylist() for c in ("file_a", "batch", "file_b")), strict=True):
+                own, x = _read_blocks(fa, k)[0]
+                for ids, y in _read_blocks(fb):
+                    if not upper or own.min() < ids.max():
+                        yield emit(own, ids, _cosines(x, y))
 
-    def pack(key: str) -> Callable:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for a in range(0, len(batch), PACK_ROWS):
-                    part = batch.slice(a, PACK_ROWS)
-                    x = _matrix(part.column("v"))
-                    yield pa.RecordBatch.from_arrays([pa.array([part.column(key).to_numpy().astype(np.int64).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["ids", "x"])
-
-        return run
-
-    packed_left = left.mapInArrow(pack("reg_idx"), "ids binary, x binary").select(F.col("ids").alias("a"), F.col("x").alias("x"))
-    packed_right = right.mapInArrow(pack("proc_idx"), "ids binary, x binary").select(F.col("ids").alias("b"), F.col("x").alias("y"))
+    return pairs.repartition("file_a", "batch", "file_b").mapInArrow(run_pairs, schema)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, x, b, y in zip(*(batch.column(c).to_pylist() for c in ("a", "x", "b", "y")), strict=True):
-                a, b = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
-                yield emit(a, b, _cosines(np.frombuffer(x).reshape(len(a), -1), np.frombuffer(y).reshape(len(b), -1)))
 
-    # blocks, not rows, are paired: a two-thousandth of the rows on either side
-    return packed_left.crossJoin(packed_right).mapInArrow(pairs, schema)
+def _packed(df: DataFrame, key: str, dim: int) -> DataFrame:
+    """Writes (key, v) in blocks of PACK_ROWS to the shared folder: ``(file, batch, lo, hi, n)`` of each block. A file
+    is named by its attempt, and only the names of attempts that ended come out."""
+    from quillstone.session import materialize, shared_path
 
+    uri = shared_path(df.sparkSession, "vectors")
+    kind = pa.schema([("id", pa.int64()), ("x", pa.binary(8 * dim))])
 
-def pairwise_cosine(regs: DataFrame, procs: DataFrame, min_sim: float | None = None, vector: str = "embedding") -> DataFrame:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        ids, xs, have = [], [], 0
+        for batch in batches:
+            ids.append(batch.column(key).to_numpy().astype(np.int64))
+            xs.append(_matrix(batch.column("v")))
+            have += len(batch)
+            if have >= PACK_ROWS:
+                i, x = np.concatenate(ids), np.concatenate(xs)
+                for a in range(0, have - have % PACK_ROWS, PACK_ROWS):
+                    yield i[a : a + PACK_ROWS], x[a : a + PACK_ROWS]
+                ids, xs, have = [i[have - have % PACK_ROWS :]], [x[have - have % PACK_ROWS :]], have % PACK_ROWS
+        if have:
+            yield np.concatenate(ids), np.concatenate(xs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = pafs.FileSystem.from_uri(uri)
+        made = blocks(batches)
+        while True:
+            some = list(itertools.islice(made, PACK_BLOCKS))
+            if not some:
+                return
+            fs.create_dir(path, recursive=True)
+            name = f"{uri}/{uuid.uuid4().hex}"
+            with fs.open_output_stream(f"{path}/{name.rsplit('/', 1)[1]}") as out, pa.ipc.new_file(out, kind) as writer:
+                for ids, x in some:
+                    packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * dim), len(ids), [None, pa.py_buffer(np.ascontiguousarray(x))])
+                    writer.write_batch(pa.RecordBatch.from_arrays([pa.array(ids), packed], schema=kind))
+            columns = [[name] * len(some), list(range(len(some))), [int(i.min()) for i, _ in some], [int(i.max()) for i, _ in some], [len(i) for i, _ in some]]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[2:])], names=["file", "batch", "lo", "hi", "n"])
+
+    return materialize(df.mapInArrow(run, "file string, batch int, lo long, hi long, n long"), "blocks")
+
+
+def _read_blocks(file: str, batch: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    fs, path = pafs.FileSystem.from_uri(file)
+    with fs.open_input_file(path) as f:
+        reader = pa.ipc.open_file(f)
+        got = [reader.get_batch(i) for i in (range(reader.num_record_batches) if batch is None else [batch])]
+    return [(b.column(0).to_numpy(), np.frombuffer(b.column(1).buffers()[1], np.float64).reshape(len(b), -1)) for b in got]
+
+
+def pairwise_cosine(regs: DataFrame, procs: DataFrame, min_sim: float | None = None, vector: str = "embedding", upper: bool = False) -> DataFrame:
     """``(reg_idx, proc_idx, sim)`` of all pairs, or of those with at least ``min_sim``:
-    dot / (|a| * |b| + 1e-8), so a zero vector has 0. Not clamped."""
+    dot / (|a| * |b| + 1e-8), so a zero vector has 0. Not clamped. With ``upper``, of a corpus with itself, only pairs
+    with reg_idx < proc_idx are computed. All vectors must be good and of one length, else ValueError."""
 
     def emit(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-        i, j = np.nonzero(s >= min_sim) if min_sim is not None else (x.ravel() for x in np.indices(s.shape))
+        keep = s >= min_sim if min_sim is not None else np.ones(s.shape, bool)
+        if upper:
+            keep &= a[:, None] < b[None, :]
+        i, j = np.nonzero(keep)
         return pa.RecordBatch.from_arrays([pa.array(a[i].astype(np.int32)), pa.array(b[j].astype(np.int32)), pa.array(s[i, j])], names=["reg_idx", "proc_idx", "sim"])
 
-    return _over_blocks(regs, procs, emit, "reg_idx int, proc_idx int, sim double", vector)
+    return _over_blocks(regs, procs, emit, "reg_idx int, proc_idx int, sim double", vector, upper)
 
 
 def best_matches(regs: DataFrame, procs: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -140,6 +246,41 @@ def similarity_range(regs: DataFrame, procs: DataFrame, vector: str = "embedding
     return blocks.agg(F.min("lo").alias("min_sim"), F.max("hi").alias("max_sim"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
 
 
+@dataclass
+class Compared:
+    """What reports need of two corpora, from one pass over all pairs: ``best`` and ``pairs`` (reg_idx, proc_idx, sim),
+    the latter with at least the threshold; ``span`` (min_sim, max_sim, pairs)."""
+
+    best: DataFrame
+    pairs: DataFrame
+    span: DataFrame
+
+
+def compare(regs: DataFrame, procs: DataFrame, threshold: float, vector: str = "embedding") -> Compared:
+    """All pairs are computed once; their blocks send best matches, pairs above the threshold and the range, which are
+    written to the shared folder."""
+    from quillstone.session import materialize
+
+    def emit(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+        i, j = np.nonzero(s >= threshold)
+        if not s.size:
+            return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int8(), pa.int32(), pa.int32(), pa.float64())], names=["what", "reg_idx", "proc_idx", "sim"])
+        order = np.argsort(b, kind="stable")
+        top = order[s[:, order].argmax(1)]
+        rows = np.arange(len(a))
+        size = np.array([len(a)] * 2, np.int32), np.array([len(b)] * 2, np.int32)  # of the block, beside its least and greatest
+        what = np.repeat(np.array([0, 1, 2, 3], np.int8), [len(a), len(i), 1, 1])
+        columns = [what, np.concatenate([a, a[i], size[0]]).astype(np.int32), np.concatenate([b[top], b[j], size[1]]).astype(np.int32), np.concatenate([s[rows, top], s[i, j], [s.min(), s.max()]])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["what", "reg_idx", "proc_idx", "sim"])
+
+    made = materialize(_over_blocks(regs, procs, emit, "what byte, reg_idx int, proc_idx int, sim double", vector), "compared")
+    best = made.where("what = 0").groupBy("reg_idx").agg(F.max_by("proc_idx", F.struct(F.col("sim"), -F.col("proc_idx"))).alias("proc_idx"), F.max("sim").alias("sim"))
+    pairs = made.where("what = 1").select("reg_idx", "proc_idx", "sim")
+    size = F.when(F.col("what") == 2, F.col("reg_idx").cast("long") * F.col("proc_idx"))
+    span = made.where("what >= 2").agg(F.min("sim").alias("min_sim"), F.max("sim").alias("max_sim"), F.coalesce(F.sum(size), F.lit(0)).alias("pairs"))
+    return Compared(best, pairs, span)
+
+
 def edge_weight(sim: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - sim)
 
@@ -169,12 +310,8 @@ def csr(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     row order, targets rising within a row. Zero edges give an empty second table."""
     placed = sequential_index(edges.select("src", "dst", "sim"), ["src", "dst"], "pos")
     degrees = out_degrees(edges, nodes)
-    # a node's row begins behind all edges of smaller nodes: where its first edge is, or the next node's that has one
-    first = placed.groupBy(F.col("src").alias("id")).agg(F.min("pos").alias("at"))
-    total = edges.count()
-    # gaps are filled over node ids only: (id, at) pairs in one window, no edge passes through it
-    known = degrees.select("id").join(first, "id", "left").unionByName(degrees.agg((F.coalesce(F.max("id"), F.lit(-1)) + 1).cast("int").alias("id")).withColumn("at", F.lit(total)))
-    filled = known.withColumn("row_ptr", F.expr("first_value(at) ignore nulls over (order by id rows between current row and unbounded following)"))
+    behind = degrees.agg((F.coalesce(F.max("id"), F.lit(-1)) + 1).cast("int").alias("id")).withColumn("degree", F.lit(0).cast("long"))
+    filled = running_total(degrees.select(F.col("id").cast("int").alias("id"), F.col("degree").cast("long").alias("degree")).unionByName(behind), "id", "degree", "row_ptr")
     return filled.select("id", F.col("row_ptr").cast("int").alias("row_ptr")), placed.select("pos", "src", "dst", "sim")
 
 

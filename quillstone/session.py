@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,17 +26,43 @@ def build_session(app: str = "quillstone", master: str | None = None, **conf: st
         "spark.ui.enabled": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | {k: str(v) for k, v in conf.items()}
-    return builder.config(map=settings).getOrCreate()
+    spark = builder.config(map=settings).getOrCreate()
+    if not is_local(spark):
+        ship_package(spark)
+    return spark
+
+
+def is_local(spark: SparkSession) -> bool:
+    """Whether all executors are threads of this machine's one JVM."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, whose Python needs it, where it isn't installed on them."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    path = os.path.join(tempfile.mkdtemp(prefix="quillstone-package-"), "quillstone.zip")
+    with open(path, "wb") as f:  # read by this driver only, which serves it to the executors
+        f.write(packed.getvalue())
+    spark.sparkContext.addPyFile(path)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can read.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset, as in tests on one machine, a
-    temporary folder is made and kept for the session.
+    It is what ``spark.checkpoint.dir`` names. Where that is unset, a session on one machine gets a temporary folder,
+    kept for the session; on a cluster there would be no folder that all executors see, so a RuntimeError is raised.
     """
     named = spark.sparkContext.getConf().get(CHECKPOINT_CONF) or spark.conf.get(CHECKPOINT_CONF, None)
     if not named:
+        if not is_local(spark):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quillstone-")
         spark.conf.set(CHECKPOINT_CONF, named)
     return named.rstrip("/")
