@@ -21,7 +21,7 @@ KERNELS = ("cosine", "graph", "full")
 
 
 def parser() -> argparse.ArgumentParser:
-    p = argparse.ArgumentParser(prog="quillstone", description="Compare two document corpora.")
+    p = argparse.ArgumentParser(prog="quillstone", description="How two corpora of documents relate.")
     commands = p.add_subparsers(dest="command", required=True)
     for name in ("analyze", "report"):
         c = commands.add_parser(name)
@@ -40,7 +40,11 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--input-dir", required=True)
     c.add_argument("--output-dir", required=True)
     c.add_argument("--checkpoint")
-    c.add_argument("--batch-size", type=int, default=200, help="files in a batch")
+    c.add_argument("--files-per-batch", type=int, default=200, help="files in a batch of the stream")
+    c.add_argument("--batch-size", type=int, help="texts that the model gets at once")
+    c.add_argument("--workers", type=int, help="tasks that decode and parse at the same time")
+    c.add_argument("--section-limit", type=int, help="cut sections to so many characters before facts are looked for")
+    c.add_argument("--timeout", type=float, help="seconds after which a file's decoding is given up")
     c.add_argument("--follow", action="store_true", help="wait for more files")
     return p
 
@@ -62,36 +66,37 @@ class Session:
         self.threshold = threshold
         self.regs, self.m = _load(spark, regs, "reg_idx", "source corpus")
         self.procs, self.n = _load(spark, procs, "proc_idx", "target corpus")
-        similarity.check_dimensions(self.regs, self.procs)
         self.nodes = similarity.graph_nodes(spark, self.m, self.n)
-        self.best = materialize(similarity.best_matches(self.regs, self.procs), "best")
-        self.pairs = materialize(similarity.pairwise_cosine(self.regs, self.procs, threshold), "pairs")
+        seen = similarity.compare(self.regs, self.procs, threshold)  # checks the vectors; one pass over all pairs
+        self.best, self.pairs, self.span = seen.best, seen.pairs, seen.span
+        report.check_best(self.best, self.m, self.n)
         self.edges = similarity.similarity_edges(self.pairs, self.m, threshold)
 
     def coverage(self) -> list[str]:
         covered = report.coverage(self.best, self.threshold)
         s = report.coverage_summary(covered).first()
-        head = [f"SIMILARITY MATRIX  (threshold: {self.threshold:.2f})", f"Source corpus: {self.m} sections   Target corpus: {self.n} sections"]
-        return [*head, *_text(report.matrix_lines(covered, self.regs, self.procs), "reg_idx"), f"COVERED: {s.covered}  PARTIAL: {s.partial}  GAP: {s.gaps}  Coverage: {s.coverage_pct:.1f}%"]
+        head = [f"Best matches at threshold {self.threshold:.2f}", f"{self.m} source sections, {self.n} target sections"]
+        return [*head, *_text(report.matrix_lines(covered, self.regs, self.procs), "reg_idx"), f"Covered {s.covered}, partial {s.partial}, gap {s.gaps}; coverage {s.coverage_pct:.1f} %"]
 
     def gaps(self) -> list[str]:
         found = materialize(report.gaps(self.best, self.regs, self.procs, self.threshold), "gaps")
         totals = {r.severity: r.n for r in report.gap_totals(found).collect()}
         total = sum(totals.values())
-        head = [f"GAP ANALYSIS  (threshold: {self.threshold:.2f})", f"{total} of {self.m} source sections are not covered"]
+        head = [f"Gaps at threshold {self.threshold:.2f}", f"{total} of {self.m} source sections lack a match"]
         if not total:
-            return [*head, "All source sections are covered."]
-        return [*head, *_text(report.gap_lines(found, self.regs), "reg_idx"), f"Critical gaps (sim < 0.5): {totals.get('NO MATCH', 0)}   Partial gaps: {totals.get('PARTIAL', 0)}"]
+            return [*head, "Every source section has a match."]
+        return [*head, *_text(report.gap_lines(found, self.regs), "reg_idx"), f"{totals.get('NO MATCH', 0)} below {report.PARTIAL_FLOOR:g}, {totals.get('PARTIAL', 0)} between"]
 
     def rankings(self, top: int) -> list[str]:
         if self.pairs.isEmpty():
             return ["No edges: nothing to rank."]
         ranks = materialize(graph.pagerank(self.edges, self.nodes), "ranks")
-        out = [f"CRITICAL DOCUMENTS  (PageRank, top {top})", *_text(report.ranking_lines(report.rankings(ranks, self.regs, "reg_idx", 0, top)), "place")]
+        report.check_ranks(ranks, self.m, self.n)
+        out = [f"Source sections by PageRank, the first {top}", *_text(report.ranking_lines(report.rankings(ranks, self.regs, "reg_idx", 0, top)), "place")]
         if self.m > top:
             out.append(f"  ... {self.m - top} more source sections")
         few = min(top, 10)
-        return [*out, f"MOST-CONNECTED TARGETS  (top {few})", *_text(report.ranking_lines(report.rankings(ranks, self.procs, "proc_idx", self.m, few)), "place")]
+        return [*out, f"Target sections by PageRank, the first {few}", *_text(report.ranking_lines(report.rankings(ranks, self.procs, "proc_idx", self.m, few)), "place")]
 
     def hierarchy(self) -> list[str]:
         if self.pairs.isEmpty():
@@ -155,13 +160,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(*benchmark(spark, args.kernel), sep="\n")
         return 0
     if args.command == "ingest":
-        from quillstone.streaming.ingest import Progress, start_ingest
+        from quillstone.streaming.ingest import Progress, ingest_state, start_ingest
 
         progress = Progress()
         spark.streams.addListener(progress)
-        q = start_ingest(spark, args.input_dir, args.output_dir, args.checkpoint or f"{args.output_dir}/checkpoint", files_per_batch=args.batch_size, once=not args.follow)
+        q = start_ingest(spark, args.input_dir, args.output_dir, args.checkpoint or f"{args.output_dir}/checkpoint", files_per_batch=args.files_per_batch, once=not args.follow, limit=args.section_limit, workers=args.workers, batch=args.batch_size, timeout=args.timeout)
         q.awaitTermination()
-        print(f"{progress.rows} files in {progress.batches} batches, {progress.files_per_minute:.0f} a minute")
+        state = ingest_state(spark, args.input_dir, args.output_dir)
+        print(f"{state.done} of {state.files} files done ({state.percent:.0f} %), {state.failed} failed, {state.backlog} waiting, {state.sections} sections; {progress.batches} batches, {progress.files_per_minute:.0f} files a minute")
         return 0
     try:
         s = Session(spark, args.regs, args.procs, args.threshold)
@@ -176,7 +182,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         else:
             print(*lines, sep="\n")
         return 0
-    stats = similarity.similarity_range(s.regs, s.procs).first()
+    stats = s.span.first()
     n = s.pairs.count()
     print(f"Similarity: {s.m} x {s.n}, range [{stats.min_sim:.4f}, {stats.max_sim:.4f}]; {n} edges, density {100 * n / max(s.m * s.n, 1):.2f}%")
     parts = [s.coverage(), s.gaps(), s.rankings(15), *([s.distances()] if args.verbose and n else [])]

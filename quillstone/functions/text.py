@@ -1,6 +1,7 @@
 """Regulatory text: cleaning, header metadata, sections and facts, as column expressions.
 
-Everything but the section splitter is made of built-in expressions and stays in the JVM. Character classes are
+Everything but the section splitter and the surroundings of citations is made of built-in expressions and stays in
+the JVM. Character classes are
 Unicode ones, as documents come with no-break spaces and accented letters.
 """
 
@@ -9,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,21 +125,12 @@ def _let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def match_starts(text: Column, pattern: str, found: Column | None = None) -> Column:
-    """Position from 0 of each match: what lies between matches, and the matches, in turn."""
-    if found is None:
-        return _let(_all(text, pattern), lambda f: match_starts(text, pattern, f))
-    gaps = F.when(F.size(found) > 0, F.slice(F.split(text, pattern, -1), 1, F.size(found))).otherwise(F.array().cast("array<string>"))
-    parts = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("own")))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    step = lambda s, x: F.struct((s["at"] + x["gap"] + x["own"]).alias("at"), F.concat(s["starts"], F.array(s["at"] + x["gap"])).alias("starts"))
-    return F.aggregate(parts, none, step, lambda s: s["starts"])
-
-
-def _first_by(items: Column, field: str, kind: str) -> Column:
-    """Without items whose field an earlier one has. A fold, so that ``items`` is computed once."""
-    none = F.array().cast(f"array<struct<{kind}>>")
-    return F.aggregate(items, none, lambda kept, x: F.when(F.exists(kept, lambda y: y[field] == x[field]), kept).otherwise(F.concat(kept, F.array(x))))
+def _first_by(items: Column, field: str) -> Column:
+    """Without items whose field an earlier one has: sorted by field and place, the first of each kept, put in order
+    again. Not quadratic, however many there are."""
+    placed = F.transform(items, lambda x, i: F.struct(x[field].alias("k"), i.alias("i"), x.alias("x")))
+    heads = _let(F.array_sort(placed), lambda s: F.filter(s, lambda y, i: (i == 0) | (F.get(s, i - 1)["k"] != y["k"])))
+    return F.transform(F.array_sort(F.transform(heads, lambda y: F.struct(y["i"].alias("i"), y["x"].alias("x")))), lambda z: z["x"])
 
 
 def _may_cite(text: Column, kind: str) -> Column:
@@ -163,19 +156,42 @@ def _name(match: Column, kind: str) -> Column:
     return F.concat(groups[0], F.lit(form), groups[1]) if kind in ("cfr", "usc") else F.concat(F.lit(form), groups[0])
 
 
-def _cited(text: Column, kind: str) -> Column:
-    def one(match: Column, start: Column) -> Column:
-        a = F.greatest(start - CONTEXT, F.lit(0))
-        around = strip(F.translate(F.substring(text, a + 1, start + F.length(match) + CONTEXT - a), "\n", " "))
-        return F.struct(F.lit(kind).alias("cit_type"), _name(match, kind).alias("reference"), around.alias("context"))
+def _python(pattern: str) -> re.Pattern:
+    """A pattern as Python's engine reads it, whose classes are Unicode ones already."""
+    flags = re.match(r"\(\?(\w+)\)", pattern)
+    return re.compile(pattern[flags.end() :], re.IGNORECASE if "i" in flags[1] else 0)
+
+
+_CITATIONS = {kind: (_python(pattern), form) for kind, (pattern, form) in CITATIONS.items()}
+CITATION_TYPE = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("cit_type", "reference", "context")]))
+
 
-    return _let(_matches(text, kind), lambda found: F.zip_with(found, match_starts(text, CITATIONS[kind][0], found), one))
+def citations_of(text: str) -> list[dict[str, str]]:
+    """The citations of one text, see ``citations``; one pass for each kind."""
+    out: dict[str, dict[str, str]] = {}
+    for kind, (pattern, form) in _CITATIONS.items():
+        for m in pattern.finditer(text):
+            name = m[0].strip() if kind == "doe" else f"{m[1]}{form}{m[2]}" if kind in ("cfr", "usc") else form + m[1]
+            if name not in out:
+                around = text[max(0, m.start() - CONTEXT) : m.end() + CONTEXT].replace("\n", " ").strip()
+                out[name] = {"cit_type": kind, "reference": name, "context": around}
+    return list(out.values())
+
+
+@F.pandas_udf(CITATION_TYPE)
+def _cite(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else citations_of(t))
 
 
 def citations(text: Column) -> Column:
     """``array<struct<cit_type, reference, context>>``: kinds in turn, each reference once, with 40 characters on both
-    sides of its first place."""
-    return _first_by(F.concat(*[_cited(text, kind) for kind in CITATIONS]), "reference", "cit_type:string,reference:string,context:string")
+    sides of its first place. No built-in function gives the places of matches, so texts that may have some (a test
+    in the JVM tells) go through Arrow batches; the others don't."""
+    some = F.lit(False)
+    for kind in CITATIONS:
+        some = some | _may_cite(text, kind)
+    none = F.array().cast(CITATION_TYPE)
+    return F.when(text.isNull(), F.lit(None)).otherwise(F.coalesce(_cite(F.when(some, text)), none))
 
 
 def references(text: Column, kind: str) -> Column:
@@ -188,14 +204,14 @@ def obligations(text: Column) -> Column:
     # sentences first, then the modal: one pattern for both would try every start of every sentence
     sentences = F.filter(_all(text, SENTENCE), lambda s: s.rlike(MODAL))
     kept = F.filter(F.transform(sentences, strip), lambda s: F.length(s).between(15, 600))
-    pairs = F.transform(kept, lambda s: F.struct(F.when(s.rlike(SHALL), "shall").otherwise("must").alias("modal"), F.translate(s, "\n", " ").alias("sentence")))
-    return _first_by(pairs, "sentence", "modal:string,sentence:string")
+    each = F.array_distinct(F.transform(kept, lambda s: F.translate(s, "\n", " ")))
+    return F.transform(each, lambda s: F.struct(F.when(s.rlike(SHALL), "shall").otherwise("must").alias("modal"), s.alias("sentence")))
 
 
 def definitions(text: Column) -> Column:
     """``array<struct<term, definition>>``: quoted terms, terms in capitals, then "the term ..."; each term once."""
     parts = [F.zip_with(_all(text, p, 1), _all(text, p, 2), lambda a, b: F.struct(strip(a).alias("term"), strip(b).alias("definition"))) for p in DEFINITIONS]
-    return _first_by(F.concat(*parts), "term", "term:string,definition:string")
+    return _first_by(F.concat(*parts), "term")
 
 
 def dates(text: Column) -> Column:
@@ -247,20 +263,26 @@ def sections_of(text: str) -> list[tuple[str, str, str]]:
     return out or [("0", "FULL_TEXT", text.strip())]
 
 
-SECTION_TYPE = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("section_id", "heading", "text")]))
-
-
-def split_sections(df: DataFrame, text: str, name: str = "sections") -> DataFrame:
+def split_sections(df: DataFrame, text: str, name: str = "sections", cite: bool = False) -> DataFrame:
     """``df`` with an array of its text's sections. Lines are looked at in turn, with what was before: this is done
-    in Arrow batches, without a shuffle; a null text has a null array."""
+    in Arrow batches, without a shuffle; a null text has a null array. With ``cite``, each section has its citations."""
     if name in df.columns:
         raise ValueError(f"{name} is a column already")
-    schema = T.StructType([*df.schema.fields, T.StructField(name, SECTION_TYPE)])
-    kind = pa.list_(pa.struct([(n, pa.string()) for n in ("section_id", "heading", "text")]))
+    fields = [T.StructField(n, T.StringType()) for n in ("section_id", "heading", "text")]
+    kinds = [(n, pa.string()) for n in ("section_id", "heading", "text")]
+    if cite:
+        fields.append(T.StructField("citations", CITATION_TYPE))
+        kinds.append(("citations", pa.list_(pa.struct([(n, pa.string()) for n in ("cit_type", "reference", "context")]))))
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.StructType(fields)))])
+    kind = pa.list_(pa.struct(kinds))
+
+    def section(number: str, heading: str, body: str) -> dict:
+        out = {"section_id": number, "heading": heading, "text": body}
+        return out | {"citations": citations_of(body)} if cite else out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cut = [None if t is None else [dict(zip(("section_id", "heading", "text"), s, strict=True)) for s in sections_of(t)] for t in batch.column(text).to_pylist()]
+            cut = [None if t is None else [section(*s) for s in sections_of(t)] for t in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cut, kind)], names=schema.names)
 
     return df.mapInArrow(run, schema)

@@ -37,6 +37,18 @@ def check_shape(pairs: DataFrame, num_regs: int, num_procs: int) -> None:
     assert (r.n, r.a, r.b) == (num_regs * num_procs, num_regs - 1 if r.n else None, num_procs - 1 if r.n else None), "pairs do not match the corpora"
 
 
+def check_best(best: DataFrame, num_regs: int, num_procs: int) -> None:
+    """AssertionError unless there is one best match for each source, within the targets."""
+    r = best.agg(F.count("*").alias("n"), F.max("reg_idx").alias("a"), F.max("proc_idx").alias("b")).first()
+    assert r.n == (num_regs if num_procs else 0) and (not r.n or (r.a == num_regs - 1 and r.b < num_procs)), "best matches do not fit the corpora"
+
+
+def check_ranks(ranks: DataFrame, num_regs: int, num_procs: int) -> None:
+    """AssertionError unless there is one rank for each section of both corpora."""
+    n = ranks.count()
+    assert n == num_regs + num_procs, f"{n} ranks for {num_regs + num_procs} sections"
+
+
 def _labels(sections: DataFrame, index: str, name: str, heading: int = 25) -> DataFrame:
     return sections.select(F.col(index), label(heading).alias(name))
 
@@ -85,8 +97,8 @@ def matrix_lines(covered: DataFrame, regs: DataFrame, procs: DataFrame) -> DataF
 def gap_lines(found: DataFrame, regs: DataFrame) -> DataFrame:
     """A few lines of text for each gap, ``(reg_idx, line)``, with a preview of 100 characters."""
     named = found.join(regs.select("reg_idx", "text_preview"), "reg_idx")
-    match = F.when(F.col("best_sim") >= SHOWN_FLOOR, F.format_string("Closest match: %s  (sim=%.4f)", "proc_label", "best_sim")).otherwise("No target section found at all")
-    text = F.when(F.coalesce(F.length("text_preview"), F.lit(0)) > 0, F.concat(F.lit("\n           Preview: "), F.translate(F.substring("text_preview", 1, 100), "\n", " "), F.lit("…"))).otherwise("")
+    match = F.when(F.col("best_sim") >= SHOWN_FLOOR, F.format_string("nearest: %s (%.4f)", "proc_label", "best_sim")).otherwise("nothing like it")
+    text = F.when(F.coalesce(F.length("text_preview"), F.lit(0)) > 0, F.concat(F.lit("\n           text: "), F.translate(F.substring("text_preview", 1, 100), "\n", " "), F.lit("…"))).otherwise("")
     return named.select("reg_idx", F.concat(F.lit("["), F.rpad("severity", 8, " "), F.lit("]  "), "reg_label", F.lit("\n           "), match, text).alias("line"))
 
 

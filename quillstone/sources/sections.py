@@ -16,7 +16,7 @@ from quillstone.operators.similarity import sequential_index
 COLUMNS = {"stem": "string", "doc_id": "string", "doc_type": "string", "subject": "string", "section_id": "string", "heading": "string", "text_preview": "string", "obligations": "int", "citations": "int"}
 
 
-def with_defaults(df: DataFrame, position: str = "row_pos") -> DataFrame:
+def with_defaults(df: DataFrame, position: str = "row_pos", keep: list[str] | None = None) -> DataFrame:
     """A section table without holes: a blank doc_id becomes the stem, a missing number the row's position, missing
     counts 0. Rows without any metadata (``has_meta`` false) are named by their position."""
     missing = ~F.col("has_meta") if "has_meta" in df.columns else F.lit(False)
@@ -34,6 +34,7 @@ def with_defaults(df: DataFrame, position: str = "row_pos") -> DataFrame:
         F.coalesce(have["citations"], F.lit(0)).alias("citations"),
         position,
         "embedding",
+        *(keep or []),
     )
 
 
@@ -67,26 +68,32 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def load_sections(spark: SparkSession, sources: list[str]) -> DataFrame:
     """Section tables of files and folders, one after the other, numbered by ``global_idx`` from 0 in the order of
-    sources, stems and rows. Parquet tables, or matrices with lists of metadata. FileNotFoundError for a path that
-    isn't there, ValueError if nothing was found."""
+    sources, stems, files and rows. Parquet tables, or matrices with lists of metadata. FileNotFoundError for a path
+    that isn't there, ValueError if nothing was found.
+
+    Every row keeps its place: null stems come first, and rows with the same stem and position have a number each.
+    Columns of a table besides those of a section are left out.
+    """
     parts = []
     for i, s in enumerate(sources):
         if not _exists(spark, s):
             raise FileNotFoundError(s)
         npy = s.endswith(".npy") or not spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(s).select("path").isEmpty()
         if npy:
-            part = with_defaults(numpy_files(spark, s))
+            part = with_defaults(numpy_files(spark, s)).withColumn("file_", F.lit(""))
         else:
             found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(s).select("path").isEmpty()
             if found:
                 continue
             part = spark.read.parquet(s)
-            part = with_defaults(part if "row_pos" in part.columns else part.withColumn("row_pos", F.monotonically_increasing_id()))
+            at = F.col("row_pos").cast("long") if "row_pos" in part.columns else F.col("_metadata.row_index")
+            part = part.select(*[c for c in part.columns if c not in ("row_pos", "file_")], at.alias("row_pos"), F.col("_metadata.file_path").alias("file_"))
+            part = with_defaults(part, keep=["file_"])
         parts.append(part.withColumn("source_pos", F.lit(i)).withColumn("row_pos", F.col("row_pos").cast("long")))
     if not parts:
         raise ValueError("no section table in " + ", ".join(sources))
     both = reduce(DataFrame.unionByName, parts)
-    return sequential_index(both, ["source_pos", "stem", "row_pos"], "global_idx").drop("source_pos", "row_pos")
+    return sequential_index(both, ["source_pos", "stem", "file_", "row_pos"], "global_idx").drop("source_pos", "file_", "row_pos")
 
 
 def write_sections(df: DataFrame, path: str, mode: str = "append") -> None:
@@ -100,9 +107,10 @@ def require_sections(df: DataFrame, name: str) -> None:
 
 
 def corpus_stats(spark: SparkSession, folder: str, sections: DataFrame) -> DataFrame:
-    """``(files, sections, megabytes)`` of a stored corpus."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.agg(F.count("*").alias("files"), (F.coalesce(F.sum("length"), F.lit(0)) / 1e6).alias("megabytes")).crossJoin(sections.agg(F.count("*").alias("sections")))
+    """``(files, megabytes, sections)`` of a stored corpus: its files with vectors (matrices or Parquet, not the
+    metadata beside them) and their size in units of 1,048,576 bytes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{npy,parquet}").load(folder)
+    return files.agg(F.count("*").alias("files"), (F.coalesce(F.sum("length"), F.lit(0)) / 1_048_576).alias("megabytes")).crossJoin(sections.agg(F.count("*").alias("sections")))
 
 
 def relabelled(df: DataFrame, labels: dict[str, str], other: str, column: str = "stem", name: str = "label") -> DataFrame:

@@ -34,6 +34,37 @@ def test_cosine(spark, monkeypatch, sent):
     assert similarity.pairwise_cosine(regs.limit(0), procs).collect() == [] and similarity.best_matches(regs, procs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("sent", [64 << 20, 0])
+def test_one_pass_and_upper_half(spark, monkeypatch, sent):
+    monkeypatch.setattr(similarity, "BROADCAST_BYTES", sent)
+    monkeypatch.setattr(similarity, "PACK_ROWS", 3)
+    monkeypatch.setattr(similarity, "PACK_BLOCKS", 2)
+    regs, procs, s = corpora(spark, 40, 30)
+    seen = similarity.compare(regs, procs, 0.1)
+    assert {(r.reg_idx, r.proc_idx) for r in seen.pairs.collect()} == {tuple(map(int, i)) for i in np.argwhere(s >= 0.1)}
+    assert {r.reg_idx: r.proc_idx for r in seen.best.collect()} == {i: int(np.round(s[i], 12).argmax()) for i in range(40)}
+    r = seen.span.first()
+    assert (r.min_sim, r.max_sim, r.pairs) == (pytest.approx(s.min()), pytest.approx(s.max()), s.size)
+    none = similarity.compare(regs.limit(0), procs, 0.1)
+    assert none.best.collect() == [] and none.span.first().pairs == 0
+    same = regs.withColumnRenamed("reg_idx", "proc_idx")
+    full = {(r.reg_idx, r.proc_idx) for r in similarity.pairwise_cosine(regs, same).where("reg_idx < proc_idx").collect()}
+    half = [(r.reg_idx, r.proc_idx) for r in similarity.pairwise_cosine(regs, same, upper=True).collect()]
+    assert len(half) == len(full) == 40 * 39 // 2 and set(half) == full
+
+
+def test_bad_vectors_are_not_compared(spark):
+    rows = [(0, [1.0, 2.0]), (1, None), (2, [3.0, 4.0]), (3, None), (4, [float("nan"), 1.0]), (5, [1.0]), (6, [None, 1.0]), (7, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "reg_idx int, embedding array<double>")
+    procs = df.withColumnRenamed("reg_idx", "proc_idx")
+    with pytest.raises(ValueError):
+        similarity.pairwise_cosine(df, procs.where("proc_idx = 0"))
+    good, bad = similarity.set_apart(df, 2)
+    assert {r.reg_idx for r in good.collect()} == {0, 2, 7}
+    assert {r.reg_idx: r.problem for r in bad.collect()} == {1: "null", 3: "null", 4: "element", 5: "length", 6: "element"}
+    assert similarity.pairwise_cosine(good, good.withColumnRenamed("reg_idx", "proc_idx")).count() == 9
+
+
 def test_lengths_are_checked(spark):
     regs, procs, _ = corpora(spark)
     assert similarity.check_dimensions(regs, procs) == 6
@@ -70,7 +101,13 @@ def test_reports(spark):
     report.check_shape(pairs, 5, 3)
     with pytest.raises(AssertionError):
         report.check_shape(pairs, 5, 4)
+    report.check_ranks(spark.range(8), 5, 3)
+    with pytest.raises(AssertionError):
+        report.check_ranks(spark.range(7), 5, 3)
     best = pairs.groupBy("reg_idx").agg(F.max_by("proc_idx", "sim").alias("proc_idx"), F.max("sim").alias("sim"))
+    report.check_best(best, 5, 3)
+    with pytest.raises(AssertionError):
+        report.check_best(best, 6, 3)
     covered = report.coverage(best)
     t = report.coverage_summary(covered).first()
     assert t.covered + t.partial + t.gaps == t.total == 5 and t.coverage_pct == 20.0 * (s.max(1) >= 0.75).sum()
@@ -127,3 +164,8 @@ def test_running_numbers(spark):
     got = similarity.sequential_index(df, ["k"], "i").collect()
     assert all(r.k == r.i for r in got) and len(got) == 500
     assert similarity.sequential_index(df.limit(0), ["k"], "i").collect() == []
+    odd = spark.createDataFrame([(None, 1), (None, 2), (3, 3), (3, 4), (1, 5)], "k int, v int")
+    got = similarity.sequential_index(odd, ["k"], "i").orderBy("i").collect()
+    assert [r.i for r in got] == [0, 1, 2, 3, 4] and [r.k for r in got] == [None, None, 1, 3, 3] and {r.v for r in got} == {1, 2, 3, 4, 5}
+    sums = similarity.running_total(df.withColumn("w", F.lit(2).cast("long")), "k", "w", "s").collect()
+    assert all(r.s == 2 * r.k for r in sums) and len(sums) == 500

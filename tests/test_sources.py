@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillstone import cli
 from quillstone.sources import documents as docs
 from quillstone.sources import sections as sec
-from quillstone.streaming.ingest import Progress, start_ingest, tuned
+from quillstone.streaming.ingest import Progress, ingest_state, start_ingest, tuned
 
 TEXT = "DOE O 1.1\n1. PURPOSE. The site shall comply with 10 CFR 830. \f\n2.\n\nSCOPE. All of DOE.\n" + "x" * 3000 + " HSPD-5"
 
@@ -78,12 +78,50 @@ def test_section_tables(spark, tmp_path):
     with pytest.raises(ValueError):
         sec.require_sections(spark.range(0), "x")
     stats = sec.corpus_stats(spark, str(d), sec.load_sections(spark, [str(d)])).first()
-    assert stats.files == 3 and stats.sections == 5 and stats.megabytes > 0
+    assert stats.files == 2 and stats.sections == 5 and stats.megabytes > 0
     named = sec.relabelled(spark.createDataFrame([("o-151-x",), ("zzz",)], "stem string"), {"151": "A"}, "other")
     assert [r.label for r in named.collect()] == ["A", "other"]
     assert spark.createDataFrame([("\x1b[1mx\x1b[0m",)], "t string").select(sec.without_ansi(F.col("t"))).first()[0] == "x"
 
 
+def test_slow_files_are_given_up(spark, tmp_path):
+    def slow(data):
+        import time
+
+        if data == b"slow":
+            time.sleep(60)
+        if data == b"dead":
+            import os
+
+            os._exit(1)
+        return data.decode() * 100_000, 1
+
+    for name, data in (("a", b"x"), ("b", b"slow"), ("c", b"\xff"), ("d", b"dead"), ("e", b"y")):
+        (tmp_path / f"{name}.txt").write_bytes(data)
+    rows = {r.stem: r for r in docs.decode(docs.discover(spark, str(tmp_path)).coalesce(1), slow, timeout=2).collect()}
+    assert rows["a"].text == "x" * 100_000 and rows["e"].text == "y" * 100_000 and rows["e"].error is None
+    assert "within 2 s" in rows["b"].error and "UnicodeDecodeError" in rows["c"].error and "ended" in rows["d"].error
+    assert all(rows[k].text is None for k in "bcd")
+
+
+def test_nothing_is_lost_in_dirty_tables(spark, tmp_path):
+    rows = [("a", 0, [1.0]), ("a", 0, [2.0]), (None, 0, [3.0]), (None, 0, None), ("b", None, [4.0])]
+    spark.createDataFrame(rows, "stem string, row_pos int, embedding array<float>").coalesce(2).write.parquet(str(tmp_path / "t"))
+    got = sec.load_sections(spark, [str(tmp_path / "t")] * 2).orderBy("global_idx").collect()
+    assert [r.global_idx for r in got] == list(range(10)) and [r.stem for r in got] == [None, None, "a", "a", "b"] * 2
+    assert sorted(str(r.embedding) for r in got[:5]) == sorted(str(x[2]) for x in rows)
+    for name in ("catalog", "logistics-2", "order", "order_meta"):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"source_file": name}))
+    assert {r.source_file for r in docs.read_parsed(spark, str(tmp_path)).collect()} == {"catalog", "logistics-2", "order"}
+
+
+def test_files_are_written(spark, tmp_path):
+    df = spark.createDataFrame([("a.txt", b"x"), ("b.txt", None), ("c.txt", b"")], "n string, c binary")
+    assert docs.write_files(df, "n", "c", str(tmp_path / "f")) == 3 == docs.write_files(df, "n", "c", f"file://{tmp_path}/f")
+    assert (tmp_path / "f/a.txt").read_bytes() == b"x" and (tmp_path / "f/b.txt").read_bytes() == b""
+    assert docs.write_files(df.limit(0), "n", "c", str(tmp_path / "g")) == 0
+
+
 def test_ingest(spark, tmp_path):
     source = folder(tmp_path)
     out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
@@ -94,7 +132,9 @@ def test_ingest(spark, tmp_path):
     assert sorted((r.stem, r.section_pos) for r in rows) == [("a", 0), ("a", 1), ("b", 0)] and len(rows[0].embedding) == 64
     assert [r.stem for r in spark.read.parquet(out + "/failed").collect()] == ["a"]
     (tmp_path / "in/c.txt").write_text("1. NEW. text")
-    start_ingest(spark, source, out, mark).awaitTermination()
+    state = ingest_state(spark, source, out)
+    assert (state.files, state.done, state.failed, state.backlog, state.percent, state.sections) == (4, 3, 1, 1, 75.0, 3)
+    start_ingest(spark, source, out, mark, workers=2, batch=4, limit=10).awaitTermination()
     assert {r.stem for r in spark.read.parquet(out + "/sections").collect()} == {"a", "b", "c"}
     spark.streams.removeListener(progress)
     assert tuned(spark, batch=5)["batch"] == 5 and tuned(spark)["partitions"] >= 1
@@ -115,7 +155,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.parser().parse_args(["benchmark"]).kernel == "full"
     assert cli.main(["analyze", *args, "--threshold", "-1", "--graph", str(tmp_path / "g.dot"), "--verbose"], spark) == 0
     shown = capsys.readouterr().out
-    assert "COVERED: 3" in shown and "MOST-CONNECTED" in shown and "Shortest ways" in shown and (tmp_path / "g.dot").read_text().count("->") == 6
+    assert "Covered 3" in shown and "Target sections by PageRank" in shown and "Shortest ways" in shown and (tmp_path / "g.dot").read_text().count("->") == 6
     for kind in cli.REPORTS:
         assert cli.main(["report", *args, "--type", kind, "--output", str(tmp_path / kind)], spark) == 0
         assert (tmp_path / kind).read_text()

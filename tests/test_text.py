@@ -1,26 +1,29 @@
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillstone.functions import entities
 from quillstone.functions import text as tx
+from quillstone.sources import documents as docs
 
-SAMPLE = """DOE O 151.1D Chg 1
-SUBJECT: COMPREHENSIVE EMERGENCY MANAGEMENT
-Approved: 8-11-2016
-INITIATED BY: Office of Emergency Management
-Preamble with 10 CFR 830. and 10 CFR 830 and 48 C.F.R. § 952.204-2, 50 U.S.C. Section 2406; 42 USC § 7158.
+SAMPLE = """DOE O 212.4B Chg 2
+SUBJECT: CARE OF HISTORIC ORCHARDS
+Approved: 3-9-2014
+INITIATED BY: Office of Orchards and Gardens
+Preamble with 19 CFR 77. and 19 CFR 77 and 33 C.F.R. § 118.40-6, 21 U.S.C. Section 3141; 35 USC § 908.
 1.
 
-PURPOSE. This Order implements Executive Order 12656 and P.L. 104-201, Public Law 106–65, HSPD-5 and HSPD 20.
+PURPOSE. This paper follows Executive Order 11111 and P.L. 99-123, Public Law 98–76, HSPD-3 and HSPD 41.
 2. CANCELS/SUPERSEDES. None shall be kept. You must not go! Both shall and must hold.
-doe p 226.1B (Admin) and DOE M 435.1-1 stay. 10 CFR 830 again.
+doe p 333.7A (Draft) and DOE M 555.2-9 stay. 19 CFR 77 again.
 3.
 
 not a heading
 4. SCOPE.
 
-"Site" means a place of work under control. EMERGENCY ACTION LEVEL means a set of criteria for it. The term "hazard" is defined as a source of danger to people.
+"Grove" means a stand of trees under care. PRUNING SEASON LEVEL means a span of weeks for it. The term "blight" is defined as a source of harm to trees.
 January 1, 2020 and 13-5-99 and 2/30/2020 and January 1, 2020. NISTABLE NIST, EPA.
 """
 
@@ -51,8 +54,8 @@ def test_citations(spark, text):
 
 
 def test_references(spark):
-    assert one(spark, SAMPLE, lambda t: tx.references(t, "cfr")) == ["10 CFR 830.", "10 CFR 830", "48 CFR 952.204-2"]
-    assert one(spark, SAMPLE, lambda t: tx.references(t, "pl")) == ["PL 104-201", "PL 106–65"]
+    assert one(spark, SAMPLE, lambda t: tx.references(t, "cfr")) == ["19 CFR 77.", "19 CFR 77", "33 CFR 118.40-6"]
+    assert one(spark, SAMPLE, lambda t: tx.references(t, "pl")) == ["PL 99-123", "PL 98–76"]
 
 
 def test_obligations(spark):
@@ -67,11 +70,11 @@ def test_obligations(spark):
 
 def test_definitions(spark):
     got = [tuple(r) for r in one(spark, SAMPLE, tx.definitions)]
-    assert got == [("Site", "a place of work under control."), ("EMERGENCY ACTION LEVEL", "a set of criteria for it."), ("hazard", "a source of danger to people.")]
+    assert got == [("Grove", "a stand of trees under care."), ("PRUNING SEASON LEVEL", "a span of weeks for it."), ("blight", "a source of harm to trees.")]
 
 
 def test_dates_and_agencies(spark):
-    assert one(spark, SAMPLE, tx.dates) == ["2016-08-11", "2020-01-01", "1999-05-13", "2/30/2020"]
+    assert one(spark, SAMPLE, tx.dates) == ["2014-03-09", "2020-01-01", "1999-05-13", "2/30/2020"]
     for raw, want in {"8/1/16": "2016-08-01", "12-31-68": "2068-12-31", "March 3 2001": "2001-03-03", "13-13-2000": "13-13-2000", "soon": "soon", "": "", "1-1-123": "1-1-123"}.items():
         assert one(spark, raw, tx.normalized_date) == want
     assert one(spark, SAMPLE, tx.agencies) == ["DOE", "EPA", "NIST"]
@@ -80,7 +83,7 @@ def test_dates_and_agencies(spark):
 def test_metadata(spark):
     df = spark.createDataFrame([(SAMPLE,), ("",), ("x" * 500 + " DOE P 1.2",)], "t string").select(*[c.alias(n) for n, c in tx.metadata(F.col("t")).items()])
     got = [tuple(r) for r in df.collect()]
-    assert got[0] == ("DOE O 151.1D Chg 1", "Order", "COMPREHENSIVE EMERGENCY MANAGEMENT", "2016-08-11", "Office of Emergency Management")
+    assert got[0] == ("DOE O 212.4B Chg 2", "Order", "CARE OF HISTORIC ORCHARDS", "2014-03-09", "Office of Orchards and Gardens")
     assert got[1] == got[2] == ("", "Order", "", "", "")
 
 
@@ -98,7 +101,7 @@ def test_cleaning(spark):
 def test_sections():
     got = tx.sections_of(SAMPLE)
     assert [(a, b) for a, b, _ in got] == [("1", "PURPOSE"), ("2", "CANCELS/SUPERSEDES"), ("4", "SCOPE")]
-    assert got[0][2].startswith("This Order implements") and got[1][2].endswith("10 CFR 830 again.") and got[2][2].startswith('"Site" means')
+    assert got[0][2].startswith("This paper follows") and got[1][2].endswith("19 CFR 77 again.") and got[2][2].startswith('"Grove" means')
     assert tx.sections_of(" no sections \n") == [("0", "FULL_TEXT", "no sections")] and tx.sections_of("") == [("0", "FULL_TEXT", "")]
     # a number without a heading closes the section before it; what follows belongs to none
     assert tx.sections_of("1. FIRST. a\nb\n2.\n\nlost\n3.\n4. NEXT. c") == [("1", "FIRST", "a\nb"), ("4", "NEXT", "c")]
@@ -113,3 +116,30 @@ def test_split_table(spark):
     assert len(got[1]) == 3 and got[2] is None and got[3][0].heading == "FULL_TEXT"
     with pytest.raises(ValueError):
         tx.split_sections(df.withColumn("sections", F.lit(1)), "t")
+
+
+def test_long_texts_take_linear_time(spark):
+    n = 100_000
+    text = " ".join(f'The grove {i} shall stand by 19 CFR {i}. "Tree {i}" means the plant {i} of all.' for i in range(n))
+    start = time.perf_counter()
+    for f in (tx.obligations, tx.definitions, tx.citations):
+        assert one(spark, text * 2, lambda t, f=f: F.size(f(t))) == n
+    assert time.perf_counter() - start < 60
+
+
+def test_citations_of_sections(spark):
+    df = spark.createDataFrame([(1, SAMPLE), (2, None)], "i int, t string")
+    got = {r.i: r.sections for r in tx.split_sections(df, "t", cite=True).collect()}
+    assert got[2] is None and [[tuple(c) for c in s.citations] for s in got[1]] == [plain_citations(s.text) for s in got[1]]
+    assert df.where("t is null").select(tx.citations(F.col("t")).alias("c")).first().c is None
+
+
+def test_entities(spark):
+    text = "The Office of Public Gardens met the Harbor Safety Board and DOE. Office staff left; committees did not."
+    assert one(spark, text, entities.organisations) == ["Harbor Safety Board", "Office of Public Gardens"]
+    assert one(spark, text, entities.agencies_and(entities.organisations)) == ["DOE", "Harbor Safety Board", "Office of Public Gardens"]
+    assert one(spark, "x" * 200_000 + " Harbor Board", entities.organisations) == ["Harbor Board"] and one(spark, "", entities.organisations) == []
+    model = entities.with_model(lambda: lambda texts: [[w for w in t.split() if w.istitle()] + ["ab", "y" * 81] for t in texts])
+    assert one(spark, "Some People met People", model) == ["People", "Some"]
+    docs_ = spark.createDataFrame([("f", "f", 1, text)], "path string, stem string, page_count int, text string")
+    assert docs.parse_documents(docs_, agencies=entities.agencies_and(entities.organisations)).first().sections[0].agencies[0] == "DOE"
