@@ -15,12 +15,19 @@ def escaped(s: Column) -> Column:
     return F.regexp_replace(s, r'(["\\\n])', r"\\$1")
 
 
+# Shapes, colours, names and line forms that drawings have had so far.
+NODE_FORM = ('    "{prefix}-', '" [label="', '" shape={shape} style=filled fillcolor={fill}];')
+EDGE_FORM = '  "SRC-%d" -> "TGT-%d" [label="%s" color="%s" penwidth="%s"];'
+CLUSTERS = (("cluster_source", "Source Corpus", "lightblue"), ("cluster_target", "Target Corpus", "lightgreen"))
+
+
 def node_lines(sections: DataFrame, index: str, prefix: str, shape: str, fill: str) -> DataFrame:
     """``(idx, line)``: the document cut at 20, the heading at 22 or the section's number."""
     doc = F.coalesce(F.nullif(F.col("doc_id"), F.lit("")), F.col("stem"))
     head = F.coalesce(F.nullif(F.substring("heading", 1, 22), F.lit("")), F.col("section_id"))
     text = F.concat(escaped(F.substring(doc, 1, 20)), F.lit("\\n"), escaped(head))
-    line = F.concat(F.lit(f'    "{prefix}-'), F.col(index).cast("string"), F.lit('" [label="'), text, F.lit(f'" shape={shape} style=filled fillcolor={fill}];'))
+    a, b, c = (x.format(prefix=prefix, shape=shape, fill=fill) for x in NODE_FORM)
+    line = F.concat(F.lit(a), F.col(index).cast("string"), F.lit(b), text, F.lit(c))
     return sections.select(F.col(index).alias("idx"), line.alias("line"))
 
 
@@ -39,16 +46,17 @@ def styled(edges: DataFrame, threshold: float = 0.75) -> DataFrame:
 
 
 def edge_lines(edges: DataFrame) -> DataFrame:
-    line = F.format_string('  "SRC-%d" -> "TGT-%d" [label="%s" color="%s" penwidth="%s"];', "reg_idx", "proc_idx", "label", "colour", "penwidth")
+    line = F.format_string(EDGE_FORM, "reg_idx", "proc_idx", "label", "colour", "penwidth")
     return edges.select("reg_idx", "k", line.alias("line"))
 
 
-def dot_lines(edges: DataFrame, regs: DataFrame, procs: DataFrame, graph_name: str = "coverage", title: str = "Knowledge Graph") -> DataFrame:
+def dot_lines(edges: DataFrame, regs: DataFrame, procs: DataFrame, graph_name: str = "coverage", title: str = "Similar sections") -> DataFrame:
     """The whole file as ``(part, idx, k, line)``, to be written in that order. ``edges`` are styled top edges."""
     spark = edges.sparkSession
     font = 'fontname="Helvetica"'
     head = [f"digraph {graph_name} {{", f'  graph [rankdir=LR {font} label="{title}" labelloc=t fontsize=14];', f"  node [{font} fontsize=10];", f"  edge [{font} fontsize=8];", ""]
-    groups = [["  // Source corpus nodes", "  subgraph cluster_source {", '    label="Source Corpus"; style=filled; color=lightblue;'], ["  }", "", "  // Target corpus nodes", "  subgraph cluster_target {", '    label="Target Corpus"; style=filled; color=lightgreen;'], ["  }", "", "  // Similarity edges"], ["}"]]
+    openings = [[f"  subgraph {name} {{", f'    label="{label}"; style=filled; color={colour};'] for name, label, colour in CLUSTERS]
+    groups = [openings[0], ["  }", "", *openings[1]], ["  }", ""], ["}"]]
     fixed = [(0, i, 0, x) for i, x in enumerate(head)] + [(part, i, 0, x) for part, lines in zip((1, 3, 5, 7), groups, strict=True) for i, x in enumerate(lines)]
     out = spark.createDataFrame(fixed, "part int, idx int, k int, line string")
     for part, lines in ((2, node_lines(regs, "reg_idx", "SRC", "box", "lightblue")), (4, node_lines(procs, "proc_idx", "TGT", "ellipse", "lightgreen"))):

@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.functions import entities
 from quillstone.functions import text as tx
 from quillstone.functions.vectors import masked_mean_pool
 from quillstone.operators import dot, embed, graph, report, similarity
 from quillstone.plans.corpora import GRAPH_THRESHOLD, STATUS_FLOOR, STATUS_THRESHOLD, corpora, self_graph
 from quillstone.plans.oracles import ORACLES
+from quillstone.session import materialize, shared_path
 from quillstone.sources import documents as docs
+from quillstone.sources.sections import corpus_stats, load_sections, require_sections, without_ansi, write_sections
+from quillstone.sources.sections import relabelled as labels_of
+from quillstone.streaming.ingest import ingest_state as state_of
+from quillstone.streaming.ingest import start_ingest
 
 __all__ = ["ORACLES", "QUERIES"]
 QUERIES = {}
@@ -119,6 +125,24 @@ def gap_totals(spark: SparkSession, d: str) -> DataFrame:
     return report.gap_totals(report.gaps(similarity.best_matches(c.regs, c.procs), c.regs, c.procs, STATUS_THRESHOLD, STATUS_FLOOR))
 
 
+@query
+def gap_lines(spark: SparkSession, d: str) -> DataFrame:
+    c = corpora(spark, d)
+    found = report.gaps(similarity.best_matches(c.regs, c.procs), c.regs, c.procs, STATUS_THRESHOLD, STATUS_FLOOR)
+    return report.gap_lines(found, c.regs.withColumn("text_preview", F.concat("heading", F.lit("\nof "), "stem")))
+
+
+@query
+def one_pass(spark: SparkSession, d: str) -> DataFrame:
+    """Best matches, edges and range from one pass over all pairs, as the reports take them."""
+    c = corpora(spark, d)
+    seen = similarity.compare(c.regs, c.procs, GRAPH_THRESHOLD)
+    report.check_best(seen.best, c.num_regs, c.num_procs)
+    b = seen.best.agg(F.count("*").alias("sources"), F.round(F.sum("sim"), 6).alias("best_sum"))
+    e = seen.pairs.agg(F.count("*").alias("edges"), F.round(F.sum("sim"), 6).alias("edge_sum"))
+    return seen.span.select(_r("min_sim"), _r("max_sim"), "pairs").crossJoin(b).crossJoin(e)  # one row each
+
+
 @query
 def labels(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "sections").select("global_idx", report.label().alias("label"), report.label(28).alias("ranking_label")).distinct()
@@ -173,30 +197,124 @@ def embed_input_text(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
-    """Every parsed section embedded by the offline model: number of dimensions and norm."""
+    """Every parsed section embedded by the offline model; elements that are not 0."""
     rows = _read(spark, d, "parsed_sections").select("section_key", embed.input_text(None, F.col("heading"), F.col("text")).alias("input")).distinct()
     made = embed.embed(rows, "input", embed.hashing_embedder())
-    return made.select("section_key", F.size("embedding").alias("dims"), F.round(embed.l2_norm(F.col("embedding")), 4).alias("norm"))
+    return made.select("section_key", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "value")).where("value != 0").select("section_key", "dim", _r("value", 4))
 
 
 @query
 def load_union(spark: SparkSession, d: str) -> DataFrame:
-    """Two corpora behind each other under one running number."""
-    c = corpora(spark, d)
-    both = c.regs.select(F.lit(0).alias("source_pos"), "stem", "vec_id").unionByName(c.procs.select(F.lit(1).alias("source_pos"), "stem", "vec_id"))
-    return similarity.sequential_index(both, ["source_pos", "stem", "vec_id"], "global_idx").select("global_idx", "stem", "vec_id")
+    """The sections twice behind each other, as they are, with repeated rows, bad vectors and all: the numbers of each
+    stem's rows in each of the two."""
+    table = f"{d}/sections.parquet"
+    both = load_sections(spark, [table, table])
+    n = both.count() // 2
+    each = both.withColumn("source", F.when(F.col("global_idx") < n, 0).otherwise(1))
+    return each.groupBy("source", "stem").agg(F.min("global_idx").alias("first"), F.max("global_idx").alias("last"), F.count("*").alias("rows"), F.count_distinct("global_idx").alias("numbers"))
+
+
+@query
+def load_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every row that was loaded, with defaults, and how often."""
+    rows = load_sections(spark, [f"{d}/sections.parquet"])
+    columns = ["stem", "doc_id", "doc_type", "subject", "section_id", "heading", "text_preview", "obligations", "citations"]
+    return rows.groupBy(*columns, F.coalesce(F.size("embedding"), F.lit(-1)).alias("dims")).agg(F.count("*").alias("rows"))
+
+
+@query
+def stored_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Sections written and read again, and what the store says of itself."""
+    path = shared_path(spark, "store")
+    write_sections(load_sections(spark, [f"{d}/sections.parquet"]).coalesce(1), path)
+    again = load_sections(spark, [path])
+    require_sections(again, "the store")
+    return corpus_stats(spark, path, again).select("files", "sections", (F.col("megabytes") > 0).alias("has_bytes"))
+
+
+@query
+def vector_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of sections by what keeps their vectors from being compared."""
+    good, bad = similarity.set_apart(_read(spark, d, "sections"), 64)
+    told = good.select(F.lit("none").alias("problem")).unionByName(bad.select("problem"))
+    return told.groupBy("problem").agg(F.count("*").alias("rows"))
+
+
+@query
+def dirty_best(spark: SparkSession, d: str) -> DataFrame:
+    """The cosine join over a dirty table: every fourth section's highest cosine among the others, bad vectors set
+    apart."""
+    good, _ = similarity.set_apart(_read(spark, d, "sections").select("global_idx", "embedding").distinct(), 64)
+    source = F.col("global_idx") % 4 == 0
+    best = similarity.best_matches(good.where(source).withColumnRenamed("global_idx", "reg_idx"), good.where(~source).withColumnRenamed("global_idx", "proc_idx"))
+    return best.select("reg_idx", _r("sim"))
+
+
+@query
+def relabelled(spark: SparkSession, d: str) -> DataFrame:
+    rows = _read(spark, d, "parsed_documents").select("stem", F.concat(F.lit("\x1b[1m"), "subject", F.lit("\x1b[0m")).alias("shown")).distinct()
+    named = labels_of(rows, {"740": "First", "O-": "Order"}, "Other")
+    return named.select("stem", "label", without_ansi(F.col("shown")).alias("subject"))
 
 
 @query
 def stem_collisions(spark: SparkSession, d: str) -> DataFrame:
-    found = docs.stem_collisions(_read(spark, d, "parsed_documents"), "stem", "source_file")
+    """Documents under several paths; a copy of the folder is another path."""
+    files = _read(spark, d, "parsed_documents").select("stem", "source_file")
+    found = docs.stem_collisions(files.unionByName(files.select("stem", F.concat(F.lit("mirror/"), "source_file").alias("source_file"))), "stem", "source_file")
     return found.select("stem", "n", F.array_join("paths", "|").alias("paths"))
 
 
 @query
 def skip_done(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of which no section has been parsed yet."""
-    return docs.not_done(_read(spark, d, "parsed_documents").select("stem").distinct(), _read(spark, d, "parsed_sections")).select("stem")
+    """Of two folders' documents those of which no section has been parsed yet."""
+    files = _read(spark, d, "parsed_documents").select("stem").unionByName(_read(spark, d, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("stem"))).distinct()
+    return docs.not_done(files, _read(spark, d, "parsed_sections")).select("stem")
+
+
+@query
+def empty_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without a text have no sections."""
+    rows = _read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("stem"), "text")
+    return embed.empty_documents(rows.select("stem"), docs.parse_sections(rows)).select("stem")
+
+
+def _files(spark: SparkSession, d: str) -> str:
+    """The documents as files, one each; one without a text becomes a PDF file that can't be decoded."""
+    folder = shared_path(spark, "files")
+    rows = _read(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.coalesce(F.col("text").cast("binary"), F.lit(b"%PDF-broken")).alias("content"))
+    docs.write_files(rows, "name", "content", folder)
+    return folder
+
+
+@query
+def document_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written as files, found and decoded again."""
+    read = docs.decode(docs.discover(spark, _files(spark, d)))
+    return read.select("stem", "page_count", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"), F.col("error").isNotNull().alias("failed"))
+
+
+@query
+def first_files(spark: SparkSession, d: str) -> DataFrame:
+    """The first five files by path, as in test mode."""
+    return docs.discover(spark, _files(spark, d), limit=5).select("stem", "length")
+
+
+@query
+def ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The sections that the ingest stream wrote of the documents' files."""
+    out = shared_path(spark, "ingested")
+    start_ingest(spark, _files(spark, d), out, f"{out}/checkpoint", files_per_batch=2000, timeout=60).awaitTermination()
+    return spark.read.parquet(f"{out}/sections").select("stem", "section_pos", "section_id", "heading", "text_preview", "obligations", "citations", F.size("embedding").alias("dims"))
+
+
+@query
+def ingest_state(spark: SparkSession, d: str) -> DataFrame:
+    """What the ingest says of itself."""
+    source, out = _files(spark, d), shared_path(spark, "ingested")
+    start_ingest(spark, source, out, f"{out}/checkpoint", files_per_batch=2000).awaitTermination()
+    s = state_of(spark, source, out)
+    return spark.createDataFrame([(s.files, s.done, s.failed, s.backlog, s.percent)], "files long, done long, failed long, backlog long, percent double")
 
 
 # ---- graph ----
@@ -220,6 +338,24 @@ def bfs_gaps(spark: SparkSession, d: str) -> DataFrame:
     return graph.bfs_gaps(graph.bfs(c.edges(), c.nodes, 0), c.nodes)
 
 
+@query
+def bfs_coverage(spark: SparkSession, d: str) -> DataFrame:
+    c = corpora(spark, d)
+    return graph.bfs_coverage(graph.bfs(c.edges(), c.nodes, 0), c.nodes).withColumn("coverage_pct", F.round("coverage_pct", 6))
+
+
+@query
+def bfs_from_many(spark: SparkSession, d: str) -> DataFrame:
+    """The search from every source section at once."""
+    c = corpora(spark, d)
+    return graph.bfs_from_many(c.edges(), c.nodes.where("kind = 'REG'"))
+
+
+@query
+def undirected_edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.undirected(corpora(spark, d).edges()).select("src", "dst", _r("weight"))
+
+
 @query
 def topo_order(spark: SparkSession, d: str) -> DataFrame:
     return graph.topological_sort(*self_graph(spark, d))
@@ -262,6 +398,20 @@ def rank_targets(spark: SparkSession, d: str) -> DataFrame:
     return report.rankings(_rounded_ranks(c), c.procs, "proc_idx", c.num_regs, 10)
 
 
+@query
+def rank_top(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best of all sections, of either corpus."""
+    return graph.top_ranked(_rounded_ranks(corpora(spark, d)))
+
+
+@query
+def ranking_lines(spark: SparkSession, d: str) -> DataFrame:
+    c = corpora(spark, d)
+    ranks = _rounded_ranks(c)
+    report.check_ranks(ranks, c.num_regs, c.num_procs)
+    return report.ranking_lines(report.rankings(ranks, c.regs, "reg_idx", 0, 15))
+
+
 @query
 def hierarchy(spark: SparkSession, d: str) -> DataFrame:
     c = corpora(spark, d)
@@ -271,15 +421,15 @@ def hierarchy(spark: SparkSession, d: str) -> DataFrame:
 @query
 def sssp(spark: SparkSession, d: str) -> DataFrame:
     e, n = self_graph(spark, d)
-    return graph.sssp(e, n, 0).select("id", _r("dist"))
+    return graph.sssp(e, n, 0).select("id", _r("dist"), "pred")
 
 
 @query
 def sssp_path(spark: SparkSession, d: str) -> DataFrame:
-    """Shortest ways to every target from the first source: predecessor and length."""
-    c = corpora(spark, d)
-    found = graph.sssp(c.edges(), c.nodes, 0)
-    return found.select("id", "pred", F.array_join("path", ">").alias("path"))
+    """The shortest ways from the first vector to all that it reaches."""
+    e, n = self_graph(spark, d)
+    found = materialize(graph.sssp(e, n, 0), "tree")
+    return graph.shortest_paths(found, n).select("id", F.array_join("path", ">").alias("path"))
 
 
 @query
@@ -331,9 +481,13 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "parsed_sections").select("section_key", F.coalesce("text", F.lit("")).alias("text")).distinct()
+
+
 def _cited(kind: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return _texts(spark, d).select("doc_id", F.explode(tx.references(F.col("text"), kind)).alias("reference")).distinct()
+        return _parts(spark, d).select("section_key", F.explode(tx.references(F.col("text"), kind)).alias("reference")).distinct()
 
     run.__name__ = f"cite_{kind}"
     return query(run)
@@ -346,7 +500,7 @@ for _kind in tx.CITATIONS:
 @query
 def citations(spark: SparkSession, d: str) -> DataFrame:
     """References of all kinds with their surroundings."""
-    return _texts(spark, d).select("doc_id", F.inline(tx.citations(F.col("text"))))
+    return _parts(spark, d).select("section_key", F.inline(tx.citations(F.col("text"))))
 
 
 @query
@@ -356,12 +510,12 @@ def obligations(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def definitions(spark: SparkSession, d: str) -> DataFrame:
-    return _texts(spark, d).select("doc_id", F.inline(tx.definitions(F.col("text"))))
+    return _parts(spark, d).select("section_key", F.inline(tx.definitions(F.col("text"))))
 
 
 @query
 def dates(spark: SparkSession, d: str) -> DataFrame:
-    return _texts(spark, d).select("doc_id", F.explode(tx.dates(F.col("text"))).alias("date")).distinct()
+    return _parts(spark, d).select("section_key", F.explode(tx.dates(F.col("text"))).alias("date")).distinct()
 
 
 @query
@@ -388,10 +542,32 @@ def header_strip(spark: SparkSession, d: str) -> DataFrame:
     return _texts(spark, d).select("doc_id", F.length(clean).alias("n_chars"), F.md5(clean.cast("binary")).alias("digest"), tx.near_empty(F.col("text")).alias("near_empty")).distinct()
 
 
+@query
+def organisations(spark: SparkSession, d: str) -> DataFrame:
+    """Bodies that the offline rule finds in whole texts."""
+    return _parts(spark, d).select("section_key", F.explode(entities.organisations(F.col("text"))).alias("name"))
+
+
+@query
+def truncation(spark: SparkSession, d: str) -> DataFrame:
+    """Texts cut as for a model of 2,048 characters."""
+    cut = tx.truncated(F.col("text"))
+    return _parts(spark, d).select("section_key", F.length(cut).alias("n_chars"), F.md5(cut.cast("binary")).alias("digest"))
+
+
 @query
 def sections_split(spark: SparkSession, d: str) -> DataFrame:
     rows = tx.split_sections(_texts(spark, d).withColumn("text", tx.clean_text(F.col("text"))), "text")
-    return rows.select("doc_id", F.posexplode("sections").alias("pos", "s")).select("doc_id", "pos", F.col("s.section_id").alias("section_id"), F.col("s.heading").alias("heading"), F.length("s.text").alias("n_chars"))
+    each = rows.select("doc_id", F.posexplode("sections").alias("pos", "s"))
+    return each.select("doc_id", "pos", F.col("s.section_id").alias("section_id"), F.col("s.heading").alias("heading"), F.length("s.text").alias("n_chars"), F.md5(F.col("s.text").cast("binary")).alias("digest"))
+
+
+@query
+def section_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Every section of the documents with its facts; agencies are its document's."""
+    rows = docs.parse_sections(_texts(spark, d).select(F.col("doc_id").cast("string").alias("stem"), "text"))
+    cols = [("citations", "reference"), ("obligations", "sentence"), ("definitions", "term")]
+    return rows.select("stem", "section_pos", *[F.array_join(F.col(c)[f], "|").alias(c) for c, f in cols], F.array_join("dates", "|").alias("dates"), F.array_join("agencies", "|").alias("agencies"))
 
 
 @query
@@ -401,7 +577,24 @@ def fact_counts(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("section_key", "obligations", "citations", tx.preview(F.col("text")).alias("text_preview"))
 
 
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    return docs.parse_documents(_texts(spark, d).select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").cast("string").alias("stem"), F.lit(1).alias("page_count"), "text"))
+
+
+def _summary(parsed: DataFrame) -> DataFrame:
+    first = [("first_citations", "reference"), ("first_obligations", "sentence"), ("first_definitions", "term")]
+    head = docs.document_summary(parsed)
+    return head.select("source_file", F.col("doc_id").alias("found_id"), "doc_type", "subject", "approved_date", "initiating_office", "sections", "citations", "obligations", "definitions", "agencies", *[F.array_join(F.col(c)[f], "|").alias(c) for c, f in first])
+
+
 @query
 def document_summary(spark: SparkSession, d: str) -> DataFrame:
-    parsed = docs.parse_documents(_texts(spark, d).select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.col("doc_id").cast("string").alias("stem"), F.lit(1).alias("page_count"), "text"))
-    return docs.document_summary(parsed).select("source_file", F.col("doc_id").alias("found_id"), "doc_type", "sections", "citations", "obligations", "definitions", "agencies")
+    return _summary(_parsed(spark, d))
+
+
+@query
+def parsed_json(spark: SparkSession, d: str) -> DataFrame:
+    """The same of documents written as JSON and read again."""
+    path = shared_path(spark, "parsed")
+    docs.write_parsed(_parsed(spark, d), path)
+    return _summary(docs.read_parsed(spark, path))

@@ -203,6 +203,12 @@ def write_parsed(parsed: DataFrame, folder: str, mode: str = "errorifexists") ->
 
 
 def read_parsed(spark: SparkSession, folder: str) -> DataFrame:
-    """Reads parsed documents: one indented object a file, or lines. Lists of metadata (``*_meta.json``) beside them are left out."""
-    paths = spark.read.schema(PARSED).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(folder)
-    return paths.where(~F.col("_metadata.file_name").endswith("_meta.json"))
+    """Reads parsed documents: files of lines as ``write_parsed`` makes them, told by Spark's names for the parts of a
+    table, and any other ``*.json`` as one object, indented or not. Lists of metadata (``*_meta.json``) beside them are
+    left out."""
+    source = spark.read.schema(PARSED).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json")
+    name = F.col("_metadata.file_name")
+    part = name.rlike(r"^part-\d{5}-[0-9a-f]{8}-[0-9a-f-]{27}[^/]*\.json$")
+    lines = source.json(folder).where(part)
+    whole = source.option("multiLine", "true").json(folder).where(~part & ~name.endswith("_meta.json"))
+    return lines.unionByName(whole)

@@ -39,6 +39,9 @@ def test_documents(spark, tmp_path):
     out = str(tmp_path / "out")
     docs.write_parsed(parsed, out)
     assert {r.source_file: r for r in docs.read_parsed(spark, out).collect()} == by
+    docs.write_parsed(parsed.coalesce(1), out, "overwrite")  # both in one file
+    (tmp_path / "out/own.json").write_text(json.dumps({"source_file": "own", "sections": []}, indent=2))
+    assert {r.source_file for r in docs.read_parsed(spark, out).collect()} == {*by, "own"}
     s = {r.source_file: r for r in docs.document_summary(parsed).collect()}["a.txt"]
     assert (s.sections, s.citations, s.agencies, len(s.first_citations)) == (2, 3, 1, 3)
     rows = {(r.stem, r.section_pos): r for r in docs.parse_sections(decoded).collect()}
