@@ -2,20 +2,24 @@
 
 Method: one FM-index per shard of the corpus. A shard is a run of whole documents in one task; its words become
 integers, its Burrows-Wheeler transform is stored as a wavelet matrix, all phrases are searched backward at the same
-time, and sampled suffix positions give the places. Documents never move: the only shuffle is of the hits.
+time, block after block of items, and sampled suffix positions give the places. Documents never move: the only
+shuffle is of the hits.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.llm.words import Words, slices
+from quillstone.session import materialize, shared_path
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -148,30 +152,34 @@ def phrases_of(items: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np
     return distinct[:, :-1], distinct[:, -1].astype(np.int64), which.ravel(), np.concatenate(of)
 
 
-def _search_shard(words: Words, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Occurrences in one shard: row of the text, number of the word at which it begins, and the phrase."""
-    none = (np.zeros(0, np.int64),) * 3
-    if not len(words.hash) or not len(lengths):
-        return none
-    vocabulary, symbol = np.unique(words.hash, return_inverse=True)
-    first = words.first[:-1]
-    filled = words.counts > 0
-    # 0 ends the shard, 1 stands before each text, words are 2 and up
-    text = np.insert(symbol.ravel().astype(np.int64) + 2, first[filled], 1)
-    text = np.append(text, 0)
-    index = FMIndex(text)
-    at = np.searchsorted(vocabulary, phrases)
-    known = vocabulary[np.minimum(at, len(vocabulary) - 1)] == phrases
-    lo, hi = index.search(np.where(known, at + 2, -1), lengths)
-    n = hi - lo
-    if not n.sum():
-        return none
-    phrase = np.repeat(np.arange(len(n)), n)
-    rows = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    place = index.locate(rows)
-    begins = first[filled] + np.arange(filled.sum())  # of the marks before each text
-    mark = np.searchsorted(begins, place, "right") - 1
-    return np.flatnonzero(filled)[mark], place - begins[mark] - 1, phrase
+class Shard:
+    """The FM-index of the texts of one shard, built once; any number of blocks of phrases is searched in it."""
+
+    def __init__(self, words: Words):
+        self.vocabulary, symbol = np.unique(words.hash, return_inverse=True)
+        self.filled = np.flatnonzero(words.counts > 0)
+        first = words.first[:-1][self.filled]
+        self.begins = first + np.arange(len(self.filled))  # of the marks before each text
+        # 0 ends the shard, 1 stands before each text, words are 2 and up
+        text = np.insert(symbol.ravel().astype(np.int64) + 2, first, 1)
+        self.index = FMIndex(np.append(text, 0)) if len(words.hash) else None
+
+    def search(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Occurrences: row of the text, number of the word at which it begins, and the phrase."""
+        none = (np.zeros(0, np.int64),) * 3
+        if self.index is None or not len(lengths):
+            return none
+        at = np.searchsorted(self.vocabulary, phrases)
+        known = self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == phrases
+        lo, hi = self.index.search(np.where(known, at + 2, -1), lengths)
+        n = hi - lo
+        if not n.sum():
+            return none
+        phrase = np.repeat(np.arange(len(n)), n)
+        rows = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        place = self.index.locate(rows)
+        mark = np.searchsorted(self.begins, place, "right") - 1
+        return self.filled[mark], place - self.begins[mark] - 1, phrase
 
 
 def merged_spans(doc: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -197,59 +205,76 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     * Words are runs of a-z and 0-9 after lower-casing, so case, line breaks and punctuation make no difference.
     * Null, empty and wordless texts and items have no row. Repeated rows and copies are each reported under their
       own id; rows that repeat an id too are merged. Other columns are not read, whatever their names.
-    * Items go to the tasks in blocks of ``items_at_once``, so what is sent has a bound; each block is another pass.
+    * Items are written to the shared folder in blocks of about ``items_at_once``. A task indexes each of its shards
+      once and searches all blocks in it, one in memory at a time; no item passes through the driver.
     """
-    spark = docs.sparkSession
     names = [doc_id, item_id] if doc_id != item_id else [doc_id, f"{item_id}_item"]
-    schema = T.StructType([T.StructField(names[0], docs.schema[doc_id].dataType), T.StructField("n_", T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType())])
-    source = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
-    wanted = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).where(F.length("text") > 0).distinct()
-
-    def search(block: pa.Table) -> DataFrame:
-        phrases, lengths, phrase_no, item_no = phrases_of(block, window)
-        by = np.argsort(phrase_no, kind="stable")
-        item_no, borders = item_no[by], np.searchsorted(phrase_no[by], np.arange(len(lengths) + 1))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in slices(batch, "t", shard_bytes):
-                    row, word, phrase = _search_shard(Words(part.column("t")), phrases, lengths)
+    schema = T.StructType([T.StructField(names[0], docs.schema[doc_id].dataType), T.StructField(names[1], items.schema[item_id].dataType), T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType())])
+    files = _blocks(items.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).where(F.length("text") > 0).distinct(), window, items_at_once)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(files)
+        for batch in batches:
+            for part in slices(batch, "t", shard_bytes):
+                shard = Shard(Words(part.column("t")))
+                for block in blocks:
+                    row, word, phrase = shard.search(block.phrases, block.lengths)
                     if not len(row):
                         continue
-                    n = np.diff(borders)[phrase]  # one hit for each item that has the phrase
-                    item = item_no[np.repeat(borders[phrase], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                    row, word, size = np.repeat(row, n), np.repeat(word, n), np.repeat(lengths[phrase], n)
+                    n = np.diff(block.borders)[phrase]  # one hit for each item that has the phrase
+                    item = block.item_no[np.repeat(block.borders[phrase], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                    row, word, size = np.repeat(row, n), np.repeat(word, n), np.repeat(block.lengths[phrase], n)
                     row, item, begin, end = merged_spans(row, item, word, word + size)
-                    yield pa.RecordBatch.from_arrays([part.column("d").take(pa.array(row)), pa.array(item), pa.array(begin), pa.array(end)], names=schema.names)
-
-        keys = spark.createDataFrame(block.select(["item"]).append_column("n_", pa.array(np.arange(block.num_rows))))
-        hits = source.where(F.length("t") > 0).mapInArrow(run, schema).distinct()
-        return hits.join(F.broadcast(keys), "n_").select(names[0], F.col("item").alias(names[1]), "first_word", "end_word")
-
-    blocks = _blocks(wanted, items_at_once)
-    out = None
-    for block in blocks:
-        found = search(block)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        empty = T.StructType([schema[0], T.StructField(names[1], items.schema[item_id].dataType), schema[2], schema[3]])
-        return spark.createDataFrame([], empty)
-    return out
-
-
-def _blocks(items: DataFrame, size: int) -> Iterator[pa.Table]:
-    """The items in blocks of at most ``size``, each fetched by itself."""
-    total = items.count()
-    parts = -(-total // size)
-    if parts <= 1:
-        if total:
-            yield items.toArrow()
-        return
-    parts = -(-total * 5 // (size * 4))  # hashing doesn't part evenly
-    for i in range(parts):
-        block = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == i).toArrow()
-        if block.num_rows:
-            yield block
+                    yield pa.RecordBatch.from_arrays([part.column("d").take(pa.array(row)), block.items.take(pa.array(item)), pa.array(begin), pa.array(end)], names=schema.names)
+
+    return docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where(F.length("t") > 0).mapInArrow(run, schema).distinct()
+
+
+class Block:
+    """Distinct phrases of a block of items, and the items of each."""
+
+    def __init__(self, table: pa.Table, window: int):
+        self.items = table["item"].combine_chunks()
+        self.phrases, self.lengths, phrase_no, item_no = phrases_of(table, window)
+        by = np.argsort(phrase_no, kind="stable")
+        self.item_no, self.borders = item_no[by], np.searchsorted(phrase_no[by], np.arange(len(self.lengths) + 1))
+
+
+class Blocks:
+    """All blocks of items as a task sees them: read one after the other, a single one only once."""
+
+    def __init__(self, files: list[tuple[str, int]]):
+        self.files, self.only = files, None
+
+    def __iter__(self) -> Iterator[Block]:
+        for uri, window in self.files:
+            if self.only is None or len(self.files) > 1:
+                fs, path = pafs.FileSystem.from_uri(uri)
+                with fs.open_input_file(path) as f:
+                    self.only = Block(pa.ipc.open_file(f).read_all(), window)
+            yield self.only
+
+
+def _blocks(items: DataFrame, window: int, size: int) -> list[tuple[str, int]]:
+    """Writes the items in blocks; the names of their files, one for about ``size`` items, come back."""
+    spark = items.sparkSession
+    folder = shared_path(spark, "items")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = [b for b in batches if len(b)]
+        if not table:
+            return
+        fs, path = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(path, recursive=True)
+        name = uuid.uuid4().hex  # an attempt that fails leaves a file that no one reads
+        with fs.open_output_stream(f"{path}/{name}") as out, pa.ipc.new_file(out, table[0].schema) as writer:
+            for b in table:
+                writer.write_batch(b)
+        yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    parts = max(1, -(-items.count() // size))
+    made = materialize(items.repartition(parts, "item", "text").mapInArrow(write, "name string"), "item_blocks")
+    return [(f"{folder}/{r.name}", window) for r in made.orderBy("name").collect()]
 
 
 def leaked_pairs(hits: DataFrame) -> DataFrame:

@@ -96,7 +96,16 @@ def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from quillstone.llm.split import split_texts
 
-    return split_texts(_read(spark, d, "parsed_sections"), "section_key", "text", only_long=True)
+    pieces = split_texts(_read(spark, d, "parsed_sections"), "section_key", "text", only_long=True)
+    return pieces.select("section_key", "piece_no", "start_pos", "end_pos").distinct()
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces themselves, of all texts."""
+    from quillstone.llm.split import split_texts
+
+    pieces = split_texts(_read(spark, d, "parsed_sections"), "section_key", "text", with_text=True)
+    return pieces.select("section_key", "piece_no", F.length("piece").alias("n_chars"), F.md5(F.col("piece").cast("binary")).alias("digest")).distinct()
 
 
 def p6_spans(spark: SparkSession, d: str) -> DataFrame:
@@ -151,7 +160,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return p8_subjects(spark, d).groupBy("subject_id").agg(F.count("*").alias("documents"), F.sum("sentences").alias("sentences"), F.round(F.avg("share"), 6).alias("mean_share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_neighbours, p3_found, p3_values, p3_unmatched, p4_found, p4_clusters, p5_found, p6_found, p6_spans, p7_found, p7_mix, p7_shares, p8_found, p8_subjects, p8_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_neighbours, p3_found, p3_values, p3_unmatched, p4_found, p4_clusters, p5_found, p5_pieces, p6_found, p6_spans, p7_found, p7_mix, p7_shares, p8_found, p8_subjects, p8_composition)}
 
 ORACLES: dict[str, str] = {}
 
@@ -184,6 +193,19 @@ runs as (select doc_id, n, array_to_string(w[i:i + n - 1], ' ') as p from (selec
 select distinct doc_id, item_id from runs join phrases using (n, p)
 """
 
+ORACLES["p6_spans"] = f"""
+with items as (select item_id, {_WORDS.format("text")} as w from eval_items where text is not null),
+phrases as (
+  select distinct item_id, 12 as n, array_to_string(w[i:i + 11], ' ') as p from (select item_id, w, unnest(range(1, len(w) - 10)) as i from items where len(w) >= 12)
+  union select item_id, len(w), array_to_string(w, ' ') from items where len(w) between 1 and 11),
+docs as (select doc_id, {_WORDS.format("text")} as w from documents where text is not null),
+runs as (select doc_id, n, i - 1 as b, array_to_string(w[i:i + n - 1], ' ') as p from (select doc_id, w, n, unnest(range(1, cast(len(w) - n + 2 as bigint))) as i from docs, (select distinct n from phrases))),
+hits as (select distinct doc_id, item_id, b, b + n as e from runs join phrases using (n, p)),
+marked as (select *, case when b <= max(e) over (partition by doc_id, item_id order by b, e rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from hits),
+spans as (select *, sum(new) over (partition by doc_id, item_id order by b, e rows unbounded preceding) as s from marked)
+select doc_id, item_id, min(b) as first_word, max(e) as end_word from spans group by doc_id, item_id, s
+"""
+
 _LAST = "list_max(list_filter(range(s + 1025, s + 2049), lambda x: {0}))"
 _BLANK = "c[{0}] in (' ', chr(9), chr(10), chr(13))"
 _END = (
@@ -192,11 +214,12 @@ _END = (
     + ", s + 2048) end"
 )
 
-ORACLES["p5_found"] = f"""
-with recursive t as materialized (select section_key, regexp_extract_all(text, '(?s).') as c, cast(length(text) as bigint) as n from (select distinct section_key, text from parsed_sections where length(text) > 2048)),
+_PIECES = f"""
+with recursive t as materialized (select section_key, text, regexp_extract_all(text, '(?s).') as c, cast(length(text) as bigint) as n from (select distinct section_key, text from parsed_sections where length(text) > {{0}})),
 r(section_key, piece_no, s, e) as (
   select section_key, 0, s, {_END} from (select *, cast(0 as bigint) as s from t)
   union all
   select section_key, piece_no + 1, s, {_END} from (select t.section_key, r.piece_no, t.c, t.n, coalesce(list_min(list_filter(range(r.e - 200, r.e), lambda x: {_BLANK.format("x")})), r.e - 200) as s from r join t on t.section_key = r.section_key where r.e < t.n))
-select section_key, cast(piece_no as integer) as piece_no, s as start_pos, e as end_pos from r
 """
+ORACLES["p5_found"] = _PIECES.format(2048) + "select section_key, cast(piece_no as integer) as piece_no, s as start_pos, e as end_pos from r"
+ORACLES["p5_pieces"] = _PIECES.format(0) + "select section_key, cast(piece_no as integer) as piece_no, cast(e - s as integer) as n_chars, md5(substring(text, s + 1, e - s)) as digest from r join t using (section_key)"

@@ -2,8 +2,8 @@
 
 Method: pointer doubling. Every possible start of a piece is joined to the start of the piece after it, all at
 once with array operations; squaring that successor table gives, in a logarithmic number of steps, all starts that
-can be reached from the first one. The operator is a narrow transformation: no shuffle besides the one that counts
-repeated keys once.
+can be reached from the first one. The operator is a narrow transformation: no shuffle besides that of the pieces'
+positions, which counts repeated rows once.
 """
 
 from __future__ import annotations
@@ -111,41 +111,42 @@ def cut(text: str, rule: SplitRule = SplitRule()) -> tuple[np.ndarray, np.ndarra
         base += int(next_[whole[-1]])
 
 
-def split_texts(df: DataFrame, key: str, text: str, rule: SplitRule = SplitRule(), only_long: bool = False) -> DataFrame:
-    """Pieces of every text: ``(key, piece_no, start_pos, end_pos)``, positions in code points, the end exclusive.
+def split_texts(df: DataFrame, key: str, text: str, rule: SplitRule = SplitRule(), only_long: bool = False, with_text: bool = False) -> DataFrame:
+    """Pieces of every text: ``(key, text_hash, piece_no, start_pos, end_pos)``, positions in code points, the end
+    exclusive; with ``with_text``, also ``piece``, the text itself.
 
-    * Rows that repeat a key count once; their texts are taken to be the same (else the smallest text counts).
+    * Rows that repeat a key with the same text count once. A key's different texts are told by ``text_hash`` and
+      have their pieces each, null keys too.
     * A null or empty text has no piece; a text within the limit is one piece, or none with ``only_long``.
-    * A null key is kept as a key of its own. Other columns of ``df``, whatever their names, are not read.
+    * Other columns of ``df``, whatever their names, are not read.
     * A piece's end is the last boundary of the best kind in sight: blank line, line end, sentence end, white space,
       else a cut at the limit. The next piece starts after a white space within the overlap, else ``overlap`` before.
+
+    Texts are cut where they are read; what is shuffled to drop repeated rows are pieces, not texts (unless they are
+    asked for).
     """
     out_key = df.schema[key]
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull() & (F.length("t") > (rule.limit if only_long else 0)))
-    # repeated rows are told by key and a hash first, so that only one copy of each text is kept in the aggregation
-    rows = rows.groupBy("k").agg(F.min("t").alias("t"))
-    schema = T.StructType([T.StructField(key, out_key.dataType), T.StructField("piece_no", T.IntegerType()), T.StructField("start_pos", T.LongType()), T.StructField("end_pos", T.LongType())])
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("h")).where(F.col("t").isNotNull() & (F.length("t") > (rule.limit if only_long else 0)))
+    fields = [T.StructField(key, out_key.dataType), T.StructField("text_hash", T.LongType()), T.StructField("piece_no", T.IntegerType()), T.StructField("start_pos", T.LongType()), T.StructField("end_pos", T.LongType())]
+    schema = T.StructType([*fields, *([T.StructField("piece", T.StringType())] if with_text else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, starts, ends = [], [], []
+            n, starts, ends, pieces = [], [], [], []
             for t in batch.column("t"):
-                s, e = cut(t.as_py(), rule)
+                body = t.as_py()
+                s, e = cut(body, rule)
                 n.append(len(s))
                 starts.append(s)
                 ends.append(e)
+                if with_text:
+                    pieces += [body[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)]
             counts = np.array(n, np.int64)
             if not counts.sum():
                 continue
             rows_ = pa.array(np.repeat(np.arange(len(counts)), counts))
             piece = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            yield pa.RecordBatch.from_arrays([batch.column("k").take(rows_), pa.array(piece.astype(np.int32)), pa.array(np.concatenate(starts)), pa.array(np.concatenate(ends))], names=schema.names)
-
-    return rows.mapInArrow(run, schema)
-
+            columns = [batch.column("k").take(rows_), batch.column("h").take(rows_), pa.array(piece.astype(np.int32)), pa.array(np.concatenate(starts)), pa.array(np.concatenate(ends))]
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(pieces, pa.string())] if with_text else [])], names=schema.names)
 
-def with_pieces(df: DataFrame, pieces: DataFrame, key: str, text: str) -> DataFrame:
-    """The pieces with their texts, for writing them out."""
-    texts = df.select(F.col(key).alias("k_"), F.col(text).alias("t_")).groupBy("k_").agg(F.min("t_").alias("t_"))
-    joined = pieces.join(texts, pieces[key].eqNullSafe(texts["k_"]))
-    return joined.select(*pieces.columns, F.substring("t_", F.col("start_pos").cast("int") + 1, (F.col("end_pos") - F.col("start_pos")).cast("int")).alias("piece"))
+    return rows.mapInArrow(run, schema).dropDuplicates([key, "text_hash", "piece_no"])

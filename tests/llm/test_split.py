@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from quillstone.llm.split import SplitRule, cut, split_texts, with_pieces
+from quillstone.llm.split import SplitRule, cut, split_texts
 
 WHITE = " \t\r\n"
 
@@ -62,9 +62,18 @@ def test_table(spark):
     assert got == {(k, i): p for k, t in ((1, "a b. " * 1000), (None, "c\n" * 3000)) for i, p in enumerate(brute(t))}
     every = split_texts(df, "section_key", "text")
     assert {r.section_key for r in every.collect()} == {1, 4, None}
-    whole = {}
-    for r in sorted(with_pieces(df, every, "section_key", "text").collect(), key=lambda r: (r.section_key or 0, r.piece_no)):
-        assert r.piece == dict([(1, rows[0][1]), (4, "short"), (None, rows[5][1])])[r.section_key][r.start_pos : r.end_pos]
+    whole, texts_ = {}, dict([(1, rows[0][1]), (4, "short"), (None, rows[5][1])])
+    for r in split_texts(df, "section_key", "text", with_text=True).orderBy("start_pos").collect():
+        assert r.piece == texts_[r.section_key][r.start_pos : r.end_pos]
         whole[r.section_key] = r.end_pos
     assert whole == {1: 5000, 4: 5, None: 6000}
     assert split_texts(df.limit(0), "section_key", "text").collect() == []
+
+
+def test_different_texts_of_a_key_are_all_cut(spark):
+    rows = [(None, "a" * 3000), (None, "b " * 2000), (None, "a" * 3000), (7, "c" * 2500), (7, "d\n" * 1500)]
+    got = {}
+    for r in split_texts(spark.createDataFrame(rows, "k long, t string"), "k", "t").collect():
+        got.setdefault((r.k, r.text_hash), []).append((r.piece_no, r.start_pos, r.end_pos))
+    assert sorted(sorted(x) for x in got.values()) == sorted([(i, *p) for i, p in enumerate(brute(t))] for t in {t for _, t in rows})
+    assert [k for k, _ in got].count(None) == [k for k, _ in got].count(7) == 2
