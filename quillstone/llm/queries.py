@@ -127,7 +127,9 @@ def _mix(spark: SparkSession, d: str):
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d).sources.where("tokens > 0").select("source", "full_passes")
+    from quillstone.llm.mixing import drawn_passes
+
+    return drawn_passes(_mix(spark, d))
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -142,6 +144,14 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return shares(_mix(spark, d))
 
 
+def p7_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Each source's target and whether the records that were drawn meet it, or all that max_passes allows, to a
+    thousandth of the source."""
+    s = p7_shares(spark, d)
+    due = F.least("target_tokens", F.col("max_passes") * F.col("tokens"))
+    return s.select("source", "max_passes", "full_passes", "tokens", F.round("target_tokens", 3).alias("target_tokens"), (F.abs(F.col("mixed_tokens") - due) <= 0.001 * F.col("tokens") + 200).alias("met"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     labels = _read(spark, d, "subject_labels")
     found = p8_subjects(spark, d)
@@ -160,7 +170,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return p8_subjects(spark, d).groupBy("subject_id").agg(F.count("*").alias("documents"), F.sum("sentences").alias("sentences"), F.round(F.avg("share"), 6).alias("mean_share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_neighbours, p3_found, p3_values, p3_unmatched, p4_found, p4_clusters, p5_found, p5_pieces, p6_found, p6_spans, p7_found, p7_mix, p7_shares, p8_found, p8_subjects, p8_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_neighbours, p3_found, p3_values, p3_unmatched, p4_found, p4_clusters, p5_found, p5_pieces, p6_found, p6_spans, p7_found, p7_mix, p7_shares, p7_targets, p8_found, p8_subjects, p8_composition)}
 
 ORACLES: dict[str, str] = {}
 
@@ -171,6 +181,13 @@ m as (select *, sum(tokens) over () as size from s)
 select source, cast(least(most, floor(share * size / tokens)) as integer) as full_passes from m where tokens > 0
 """
 
+ORACLES["p7_targets"] = r"""
+with d as (select translate(lower(trim(source)), ' -', '__') as source, len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\v\f\r]+')) as n from documents),
+s as (select t.source, max(t.target_share) as share, max(t.max_passes) as most, coalesce(sum(d.n), 0) as tokens from mix_targets t left join d on d.source = t.source group by t.source),
+m as (select *, sum(tokens) over () as size from s)
+select source, most as max_passes, cast(case when tokens > 0 then least(most, floor(share * size / tokens)) else 0 end as integer) as full_passes, cast(tokens as bigint) as tokens, round(share * size, 3) as target_tokens, true as met from m
+"""
+
 _WORDS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 
 ORACLES["p1_found"] = f"""

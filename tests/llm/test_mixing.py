@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillstone.llm.mixing import count_tokens, mixed, plan_mix, shares, split_quotas
+from quillstone.llm.mixing import count_tokens, drawn_passes, mixed, plan_mix, shares, split_quotas, write_mix
 
 PATTERN = re.compile(r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\n\r\f\v]+")
 
@@ -63,6 +63,24 @@ def test_mix(spark):
     assert again == {tuple(r) for r in rows}
 
 
+def test_units_are_dealt_once(spark, tmp_path):
+    docs = make(spark)
+    targets = spark.createDataFrame([("a_b", 0.2, 3), ("c", 0.5, 9), ("d", 0.3, 40), ("empty", 0.1, 4)], "source string, target_share double, max_passes int")
+    plan = plan_mix(docs, targets, shards=7, bits=6, texts=True)
+    units = plan.units.collect()
+    assert len({(r.source, r.pass_no, r.block) for r in units}) == len(units) == len({(r.source, r.draw) for r in units})
+    sizes = [sum(r.shard == s for r in units) for s in range(7)]
+    assert sum(sizes) == len(units) and max(sizes) - min(sizes) <= 1
+    counts = {}
+    for r in units:
+        counts.setdefault((r.source, r.pass_no), []).append(r.parts == 64)
+    whole = {s: sum(len(v) == 64 and all(v) for (t, _), v in counts.items() if t == s) for s in ("a_b", "c", "d")}
+    assert {r.source: r.full_passes for r in drawn_passes(plan).collect()} == whole and whole["d"] > 2
+    write_mix(plan, str(tmp_path / "mix"), 5)
+    back = spark.read.parquet(str(tmp_path / "mix"))
+    assert back.count() == mixed(plan).count() and {len(PATTERN.findall(r.text)) == r.tokens for r in back.collect()} == {True}
+
+
 def test_empty(spark):
     targets = spark.createDataFrame([("a_b", 0.5, 3)], "source string, target_share double, max_passes int")
     assert mixed(plan_mix(make(spark, 0).limit(0), targets)).collect() == []
