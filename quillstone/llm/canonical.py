@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NONE = "none"
+_REMEMBERED = 200_000  #: words and values whose meanings a task keeps
 
 
 def allowed(n: int) -> int:
@@ -98,9 +99,10 @@ class Token:
 class Entries:
     """The two-layered trie. ``prefer`` breaks ties between paths: names before aliases."""
 
-    def __init__(self) -> None:
+    def __init__(self, edits: Callable[[int], int] = allowed, abbreviations: bool = True) -> None:
         self.letters = Letters()
         self.root: dict = {}
+        self.edits, self.abbreviations = edits, abbreviations
         self._memo: dict[Token, list[tuple[str, float]]] = {}
 
     def add(self, tokens: Iterable[Token], entry: str, prefer: int = 0) -> None:
@@ -118,11 +120,13 @@ class Entries:
             if token.exact:
                 got = [("=" + token.text, 0.0)]
             else:
-                near: dict[str, float] = dict(self.letters.within(token.text, allowed(len(token.text))))
-                if 0 not in near.values() and (token.short or len(token.text) >= 4):
+                near: dict[str, float] = dict(self.letters.within(token.text, self.edits(len(token.text))))
+                if self.abbreviations and 0 not in near.values() and (token.short or len(token.text) >= 4):
                     for word, cost in self.letters.shortened(token.text).items():
                         near[word] = min(near.get(word, 9), cost if token.short else cost + 0.5)
                 got = list(near.items())
+            if len(self._memo) >= _REMEMBERED:
+                self._memo.clear()
             self._memo[token] = got
         return got
 
@@ -153,6 +157,27 @@ def closest(found: dict[str, tuple[float, int]]) -> tuple[float, str] | None:
     return ranked[0][0], ranked[0][2]
 
 
+Readings = Callable[[str], list[list[Token]]]
+
+
+def resolve(value: str, trie: Entries, readings: Readings) -> tuple[float, str] | None:
+    """The entry that a value means, by its likeliest reading that leads to one."""
+    for tokens in readings(value):
+        got = closest(trie.search(tokens))
+        if got:
+            return got
+    return None
+
+
+def within(value: str, trie: Entries, readings: Readings) -> list[tuple[float, str]]:
+    """All entries that any reading of a value leads to, with their least distances, the nearest first."""
+    found: dict[str, float] = {}
+    for tokens in readings(value):
+        for entry, (d, _) in trie.search(tokens).items():
+            found[entry] = min(d, found.get(entry, d))
+    return sorted((d, e) for e, d in found.items())
+
+
 def _plain(s: str) -> str:
     s = unicodedata.normalize("NFKC", s).lower()
     return re.sub(r"[‐-―−]", "-", s).replace("’", "'")
@@ -173,7 +198,7 @@ def _name_tokens(s: str) -> list[Token]:
     return out
 
 
-def _readings(value: str) -> list[list[Token]]:
+def body_readings(value: str) -> list[list[Token]]:
     """The ways to read a typed name, the likeliest first: the whole, then what is before, behind or between
     brackets or a dash, as these often hold the acronym."""
     s = re.sub(r"\s+", " ", _plain(value)).strip()
@@ -214,14 +239,6 @@ def body_entries(rows: list[dict]) -> Entries:
     return trie
 
 
-def resolve_body(value: str, trie: Entries) -> tuple[float, str] | None:
-    for tokens in _readings(value):
-        got = closest(trie.search(tokens))
-        if got:
-            return got
-    return None
-
-
 # ---- citations ----
 
 #: How the kinds of citations are written, without blanks and full stops; fixed values.
@@ -237,149 +254,133 @@ _DIRECTIVES = {"o": "order", "p": "policy", "m": "manual", "g": "guide", "n": "n
 #: Letters that stand for digits in bad scans; fixed values.
 _SCANNED = str.maketrans({"l": "1", "i": "1", "|": "1", "o": "0", "s": "5"})
 _D = "[0-9lios|]"
-_NUMBER = re.compile(rf"(?<![a-z0-9])(?={_D}*[0-9]){_D}+(?:\.{_D}+)*(?![a-z0-9])")
 _SUB = re.compile(rf"(?<![a-z0-9])(?={_D}*[0-9]){_D}+(?:\.{_D}+)*(?:-{_D}+)?(?![a-z0-9])")
 _PLACE = re.compile(r"\b(title|part|pt|parts|section|sections|sec|secs|sect)\b\.?|§+|\bno\b\.?")
 
 
-def _kind_trie() -> tuple[Letters, dict[str, str]]:
-    trie, of = Letters(), {}
-    for kind, forms in _KINDS.items():
-        for f in forms:
-            trie.add(f)
-            of[f] = kind
-    return trie, of
-
+_KIND_OF = {f: kind for kind, forms in _KINDS.items() for f in forms}
 
-_KIND_TRIE, _KIND_OF = _kind_trie()
-_TYPE_TRIE = Letters()
-for _w in _DIRECTIVES.values():
-    _TYPE_TRIE.add(_w)
 
-
-def _kind(letters: str) -> str | None:
-    most = 0 if len(letters) < 3 else 1 if len(letters) < 9 else 2 if len(letters) < 16 else 3
-    near = _KIND_TRIE.within(letters, most)
-    if not near:
-        return None
-    least = min(near.values())
-    kinds = {_KIND_OF[w] for w, d in near.items() if d == least}
-    return kinds.pop() if len(kinds) == 1 else None
+def citation_edits(n: int) -> int:
+    """Edits allowed in a citation's n letters: kinds are few and far apart, and numbers are met as they are."""
+    return 0 if n < 3 else 1 if n < 9 else 2 if n < 16 else 3
 
 
 def _digits(s: str) -> str:
     return s.translate(_SCANNED)
 
 
-def citation_key(value: str) -> tuple[str, ...] | None:
-    """What identifies a citation: its kind, all its numbers and the revision letter. None if it isn't one."""
+def _letters(s: str) -> str:
+    return re.sub(r"[^a-z]", "", s)
+
+
+def citation_readings(value: str) -> list[list[Token]]:
+    """The ways to read a typed citation: the letters that say its kind, put together, then its numbers in order (with
+    digits for the letters that bad scans put there), which must be met as they are. A directive has its body, its
+    type and its number. What none of them fits is met only as written."""
     s = re.sub(r"\s+", " ", _plain(value)).strip(" .,;:")
     s = re.sub(r"\([^)]*\)", " ", s)
     s = re.sub(r"[\s,]+(chg|change|chng|ch)\b\.?\s*[0-9lio]+\s*$", "", s.strip(" .,;:")).strip(" .,;:")
-    # directives: type, number, revision
+    out: list[list[Token]] = []
     m = re.fullmatch(rf"(?:((?:[a-z]\.\s?){{3}}|[a-z]{{2,4}})[\s.-]+)?([a-z]{{4,7}}|[opmgn])[\s.-]*({_D}{{2,4}}\.{_D}{{1,2}})\s*-?\s*([a-z])?", s)
     if m and re.search("[0-9]", m[3]):
-        body, type_ = re.sub(r"[^a-z]", "", m[1] or ""), m[2]
-        near = Letters.within(_DOE, body, 1) if body else {}
-        letter = type_ if len(type_) == 1 else next((k for k, w in _DIRECTIVES.items() if w in _TYPE_TRIE.within(type_, 1)), None)
-        if letter and (near or (not body and len(type_) > 1)):
-            return ("doe", letter, _digits(m[3]) + (m[4] or ""))
-    # number, kind and number without blanks, or kind and number
-    tight = re.fullmatch(rf"({_D}+)\s*([a-z.]{{3,8}}?)\s*({_D}[0-9lios|.-]*)", s)
+        body = [Token(_letters(m[1]))] if m[1] else []
+        out.append([*body, Token(m[2], exact=len(m[2]) == 1), Token(_digits(m[3]) + (m[4] or ""), exact=True)])
+    tight = re.fullmatch(rf"({_D}+)\s*([a-z.]{{3,8}}?)\s*({_D}[0-9lios|.-]*)", s)  # "10CFR20"
     if tight and re.search("[0-9]", tight[1]) and re.search("[0-9]", tight[3]):
-        kind = _kind(tight[2].replace(".", ""))
-        if kind in ("cfr", "usc"):
-            return (kind, _digits(tight[1]), _digits(tight[3].strip(".-")))
-    for cut in range(2, 6):
+        out.append([Token(_letters(tight[2])), Token(_digits(tight[1]), exact=True), Token(_digits(tight[3].strip(".-")), exact=True)])
+    for cut in range(2, 6):  # "EO12"
         head, tail = s[:cut], s[cut:]
         if re.fullmatch("[a-z.]+", head) and re.match(rf"{_D}*[0-9]", tail) and head.replace(".", "") in _KIND_OF:
             s = f"{head} {tail}"
             break
     s = re.sub(r"(?<=[0-9lios]),(?=[0-9lios]{3}(?![0-9a-z]))", "", s)
     spread = re.sub(r"\s*-\s*", "-", s)
-    numbers = list(_SUB.finditer(spread))
+    places = list(_SUB.finditer(spread))
+    numbers = [_digits(n[0]) for n in places]
+    if len(places) == 2 and re.search(r"(\bparts?|\bpt|\bsec\w*|§)[\s.]*$", spread[: places[0].start()]):
+        numbers.reverse()  # the part comes first: "Part 12 of 10 CFR"
     words = _PLACE.sub(" ", _SUB.sub(" ", spread))
-    letters = re.sub(r"[^a-z]", "", re.sub(r"\bof\b(?=[\s.,-]*(?:[a-z]\.?\s?){3}\s*$)", " ", words))
-    kind = _kind(letters) or _kind(re.sub(r"[^a-z]", "", re.sub(r"\bof\b", " ", words)))
-    if kind is None:
-        return None
-    if kind in ("cfr", "usc"):
-        if len(numbers) != 2:
-            return None
-        a, b = numbers
-        between = spread[: a.start()]
-        if re.search(r"(\bparts?|\bpt|\bsec\w*|§)[\s.]*$", between):
-            a, b = b, a  # the part comes first: "Part 12 of 10 CFR"
-        return (kind, _digits(a[0]), _digits(b[0]))
-    if kind == "pl":
-        flat = [p for n in numbers for p in _digits(n[0]).split("-")]
-        return (kind, *flat) if len(flat) == 2 else None
-    return (kind, _digits(numbers[0][0])) if len(numbers) == 1 else None
-
-
-_DOE = Letters()
-_DOE.add("doe")
+    flat = [p for n in numbers for p in n.split("-")]
+    for letters in dict.fromkeys((_letters(re.sub(r"\bof\b(?=[\s.,-]*(?:[a-z]\.?\s?){3}\s*$)", " ", words)), _letters(re.sub(r"\bof\b", " ", words)))):
+        if letters and numbers:
+            for parts in (numbers, flat) if flat != numbers else (numbers,):
+                out.append([Token(letters), *(Token(n, exact=True) for n in parts)])
+    return [*out, [Token("=", exact=True), Token(_plain(value), exact=True)]]
 
 
 def citation_entries(rows: list[dict]) -> Entries:
-    """A trie of citations. ``rows``: dicts with entry and name. A citation that can't be read is met only as written."""
-    trie = Entries()
+    """A trie of citations: a path for each way to write an entry's kind, with its numbers. ``rows``: dicts with entry
+    and name. A citation that can't be read has only the path of its name."""
+    trie = Entries(citation_edits, abbreviations=False)
+    types = {**_DIRECTIVES, **{w: w for w in _DIRECTIVES.values()}}
     for r in rows:
-        key = citation_key(r["name"] or "") or ("=", _plain(r["name"] or ""))
-        trie.add([Token(x, exact=True) for x in key], r["entry"])
+        name = r["name"] or ""
+        trie.add([Token("=", exact=True), Token(_plain(name), exact=True)], r["entry"])
+        for tokens in citation_readings(name)[:-1]:
+            kind, rest = tokens[0].text, tokens[1:]
+            if kind == "doe" and len(rest) == 2 and rest[0].text in types:
+                word = types[rest[0].text]
+                for path in ([tokens[0], Token(word[0], exact=True)], [tokens[0], Token(word)], [Token(word)]):
+                    trie.add([*path, rest[1]], r["entry"])
+                break
+            if kind in _KIND_OF:
+                # a law's two numbers are told apart, those of a part stay together
+                numbers = [Token(p, exact=True) for t in rest for p in (t.text.split("-") if _KIND_OF[kind] == "pl" else [t.text])]
+                if len(numbers) == (2 if _KIND_OF[kind] in ("cfr", "usc", "pl") else 1):
+                    for form in _KINDS[_KIND_OF[kind]]:
+                        trie.add([Token(form), *numbers], r["entry"])
+                    break
     return trie
 
 
-def resolve_citation(value: str, trie: Entries) -> tuple[float, str] | None:
-    key = citation_key(value) or ("=", _plain(value))
-    return closest(trie.search([Token(x, exact=True) for x in key]))
-
-
 # ---- tables ----
 
 
-def map_values(values: DataFrame, value: str, entries: list[dict], build: Callable[[list[dict]], Entries], resolve: Callable[[str, Entries], tuple[float, str] | None], most_entries: int = 20_000) -> DataFrame:
-    """``values`` with a column ``entry_id``: the entry that ``value`` means, else ``none``.
-
-    A null value stays null in ``entry_id``'s place as ``none``; blank values are ``none``. Lists of more than
-    ``most_entries`` entries are searched in parts of that size, one pass for each, and the nearest result counts.
-    ``entries`` is on the driver: it is the clean list, not data.
-    """
-    parts = [entries[i : i + most_entries] for i in range(0, len(entries), most_entries)] or [[]]
-    kept = [f for f in values.schema if f.name not in ("entry_id", "distance_")]
-
-    def search(part: list[dict]) -> DataFrame:
-        schema = T.StructType([*kept, T.StructField("entry_id", T.StringType()), T.StructField("distance_", T.DoubleType())])
-        names = [f.name for f in kept]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            trie, memo = build(part), {}
-            for batch in batches:
-                column = batch.column(value).dictionary_encode()
-                found = []
-                for v in column.dictionary.to_pylist():
-                    if v not in memo:
-                        if len(memo) > 200_000:
-                            memo.clear()
-                        memo[v] = resolve(v, trie) or (9e9, NONE)
-                    found.append(memo[v])
-                ids = pa.array([e for _, e in found], pa.string()).take(column.indices).fill_null(NONE)
-                far = pa.array([d for d, _ in found], pa.float64()).take(column.indices).fill_null(9e9)
-                yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], ids, far], names=[*names, "entry_id", "distance_"])
-
-        return values.select(*names).mapInArrow(run, schema)
-
-    if len(parts) == 1:
-        return search(parts[0]).drop("distance_")
+def _searched(values: DataFrame, value: str, entries: list[dict], build: Callable[[list[dict]], Entries], find: Callable[[str, Entries], list[tuple[float, str]]], drop: tuple[str, ...]) -> DataFrame:
+    """``values`` with ``found_``, an array of entries and distances; each distinct value is searched once in a task."""
+    kept = [f for f in values.schema if f.name not in drop]
+    item = T.StructType([T.StructField("distance", T.DoubleType()), T.StructField("entry_id", T.StringType())])
+    schema = T.StructType([*kept, T.StructField("found_", T.ArrayType(item))])
     names = [f.name for f in kept]
-    every = search(parts[0])
-    for p in parts[1:]:
-        every = every.unionByName(search(p))
-    return every.groupBy(*names).agg(F.min_by("entry_id", F.struct("distance_", "entry_id")).alias("entry_id"))
-
-
-def listed(df: DataFrame, entry: str, name: str, most: int = 1_000_000, **more: str) -> list[dict]:
-    """The clean list's rows as dicts with entry, name and other columns. It must fit the driver: ``most`` rows."""
+    kind = pa.list_(pa.struct([("distance", pa.float64()), ("entry_id", pa.string())]))
+    shared = values.sparkSession.sparkContext.broadcast(entries)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, memo = build(shared.value), {}
+        for batch in batches:
+            column = batch.column(value).dictionary_encode()
+            found = []
+            for v in column.dictionary.to_pylist():
+                if v not in memo:
+                    if len(memo) >= _REMEMBERED:
+                        memo.clear()
+                    memo[v] = [{"distance": d, "entry_id": e} for d, e in find(v, trie)]
+                found.append(memo[v])
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(found, kind).take(column.indices)], names=[*names, "found_"])
+
+    return values.select(*names).mapInArrow(run, schema)
+
+
+def map_values(values: DataFrame, value: str, entries: list[dict], build: Callable[[list[dict]], Entries], readings: Readings) -> DataFrame:
+    """``values`` with a column ``entry_id``: the entry that ``value`` means, else ``none``; a column of that name is
+    replaced. Null and blank values are ``none``, and so is one that is equally near to two entries. ``entries`` is on
+    the driver and in every task: it is the clean list, of a size that ``listed`` bounds, not data; there is one trie
+    whatever its length."""
+    found = _searched(values, value, entries, build, lambda v, trie: [x for x in [resolve(v, trie, readings)] if x], ("entry_id", "found_"))
+    return found.withColumn("entry_id", F.coalesce(F.get("found_", F.lit(0))["entry_id"], F.lit(NONE))).drop("found_")
+
+
+def candidates(values: DataFrame, value: str, entries: list[dict], build: Callable[[list[dict]], Entries], readings: Readings) -> DataFrame:
+    """``values`` with ``entry_id`` and ``distance``, a row for each of all entries within the distance of ``value``
+    that its length allows; values without one have no row. Columns of these names are replaced."""
+    found = _searched(values, value, entries, build, lambda v, trie: within(v, trie, readings), ("entry_id", "distance", "found_"))
+    return found.select(*[c for c in found.columns if c != "found_"], F.explode("found_").alias("f")).select("*", "f.entry_id", "f.distance").drop("f")
+
+
+def listed(df: DataFrame, entry: str, name: str, most: int = 200_000, **more: str) -> list[dict]:
+    """The clean list's rows as dicts with entry, name and other columns. It must fit the driver and each task: ValueError
+    beyond ``most`` rows."""
     rows = df.select(F.col(entry).alias("entry"), F.col(name).alias("name"), *[F.col(c).alias(k) for k, c in more.items()]).where("entry is not null and name is not null").limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"the list has more than {most} entries")

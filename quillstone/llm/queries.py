@@ -55,14 +55,24 @@ def _typed(spark: SparkSession, d: str, which: str) -> tuple[DataFrame, list[dic
     return typed_values(sections, "section_key", F.col("citations.reference"), "citation", names), names
 
 
-def p3_values(spark: SparkSession, d: str) -> DataFrame:
-    """Every typed value that is not a listed one letter for letter, with the entry it denotes."""
-    from quillstone.llm.canonical import body_entries, citation_entries, map_values, resolve_body, resolve_citation
+def _mapped(spark: SparkSession, d: str, how: str) -> DataFrame:
+    from quillstone.llm import canonical as c
 
     bodies, names = _typed(spark, d, "agency")
     citations, references = _typed(spark, d, "citation")
-    found = map_values(bodies, "value", names, body_entries, resolve_body)
-    return found.unionByName(map_values(citations, "value", references, citation_entries, resolve_citation)).distinct()
+    use = getattr(c, how)
+    found = use(bodies, "value", names, c.body_entries, c.body_readings)
+    return found.unionByName(use(citations, "value", references, c.citation_entries, c.citation_readings)).distinct()
+
+
+def p3_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every typed value that is not a listed one letter for letter, with the entry it denotes."""
+    return _mapped(spark, d, "map_values")
+
+
+def p3_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """All entries within the distance of each typed value."""
+    return _mapped(spark, d, "candidates")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -170,7 +180,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return p8_subjects(spark, d).groupBy("subject_id").agg(F.count("*").alias("documents"), F.sum("sentences").alias("sentences"), F.round(F.avg("share"), 6).alias("mean_share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_neighbours, p3_found, p3_values, p3_unmatched, p4_found, p4_clusters, p5_found, p5_pieces, p6_found, p6_spans, p7_found, p7_mix, p7_shares, p7_targets, p8_found, p8_subjects, p8_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_neighbours, p3_found, p3_values, p3_candidates, p3_unmatched, p4_found, p4_clusters, p5_found, p5_pieces, p6_found, p6_spans, p7_found, p7_mix, p7_shares, p7_targets, p8_found, p8_subjects, p8_composition)}
 
 ORACLES: dict[str, str] = {}
 
