@@ -161,7 +161,7 @@ def similarity_groups(df: DataFrame, id_col: str, vector_col: str, heading_col:
     """
     if linkage != "single":
         raise ValueError("groups by links are single linkage; call reciprocal_merge for average linkage")
-    index = build_index(df, id_col, vector_col, dim, keep_copies=1, link=threshold, seed=seed)
+    index = build_index(df, id_col, vector_col, dim, keep_copies=1, link=threshold, seed=seed, tables=1)
     members, edges = links(index, threshold)
     members = materialize(members, "members")
     joined = reciprocal_merge(edges, threshold - 1e-5, "single")  # w is in single precision; links were told exactly

@@ -1,19 +1,23 @@
 """An index of vectors by cross-polytope hashing, the search for most similar vectors, and the links above a cosine.
 
 Unit vectors go through fast Hadamard pseudo-rotations (three rounds of random signs and a Walsh-Hadamard
-transform) and are hashed to the nearest signed axis. The rows of a cell are written, in blocks ordered by their
-angle to the cell's mean, to the folder all executors share; nothing is replicated. A search task holds some blocks
-of queries and probes the other cells in the order of the queries' coordinates. How many cells a query probes is not
-fixed: it stops where a vector as similar as its k-th best so far would have been hashed with less than a small
-chance, and blocks that the triangle inequality of angles excludes are left out. What it meets is reranked exactly,
-in double precision.
+transform) and are hashed to the nearest signed axis. A hash is made of several such axes, of a rotation each: their
+number grows with the logarithm of the number of rows, so cells keep their size while the collection grows. There are
+several tables of cells, with rotations of their own. The rows of a cell are written, in blocks ordered by their angle
+to the cell's mean, to the folder all executors share. A search task holds some blocks of queries and probes cells of
+all tables in the order of the queries' coordinates (multiprobe). How many cells a query probes is not fixed: it stops
+where a vector as similar as its k-th best so far would have been hashed, in every table, with less than a small
+chance, and blocks that the triangle inequality of angles excludes are left out. What it meets is reranked exactly, in
+double precision. With ``exact``, only that inequality excludes blocks, and nothing is missed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,7 @@ from quillstone.session import materialize, shared_path
 
 BLOCK_ROWS = 4096  #: rows of a block
 GROUP_ROWS = 16384  #: rows of a cell that one task orders and writes; a larger cell is split by a hash
+CELL_ROWS = 65536  #: mean rows of a cell above which hashes get another axis
 QUERY_ROWS = 8192  #: queries that a search task holds at once
 
 
@@ -66,6 +71,43 @@ class Rotation:
         return 2 * axis + (value < 0), np.abs(value)
 
 
+class Hash:
+    """The hash of one table: ``levels`` axes, each of a rotation of its own."""
+
+    def __init__(self, dim: int, levels: int, table: int, seed: int = 0):
+        self.turns = [Rotation(dim, seed + 7919 * table + 104_729 * k) for k in range(levels)]
+        self.sides = 2 * self.turns[0].width
+
+    def cells(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cell of each vector, its axes as the digits of one number, and the coordinates towards them."""
+        cell, tops = np.zeros(len(x), np.int64), []
+        for turn in self.turns:
+            c, top = turn.cells(turn(x))
+            cell = cell * self.sides + c
+            tops.append(top)
+        return cell, np.stack(tops, 1)
+
+    def axes(self, cell: int) -> list[int]:
+        return [cell // self.sides ** (len(self.turns) - 1 - k) % self.sides for k in range(len(self.turns))]
+
+
+def levels_for(rows: int, dim: int) -> int:
+    """Axes of a hash: one, and one more whenever cells would hold more than CELL_ROWS on average."""
+    sides, levels = 2 * Rotation(dim).width, 1
+    while rows > CELL_ROWS * sides**levels:
+        levels += 1
+    return levels
+
+
+def shares_of_chance(z: float, tables: int, levels: int) -> float:
+    """What a row that is missed with the normal distribution's tail beyond ``z`` may be missed with at each axis: it
+    is missed if all tables miss it, and a table misses it if one of its axes does."""
+    if math.isinf(z):
+        return z
+    normal = NormalDist()
+    return -normal.inv_cdf(normal.cdf(-z) ** (1 / tables) / levels)
+
+
 def signed(y: np.ndarray) -> np.ndarray:
     """Coordinates towards all cells, numbered as in ``Rotation.cells``."""
     return np.stack([y, -y], 2).reshape(len(y), -1)
@@ -82,36 +124,74 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+class File:
+    """What a task knows of a cell's file (or a part of a large cell): the mean direction of its rows, their
+    coordinates towards the cell's axes, and the range of angles of each block."""
+
+    __slots__ = ("angles", "axes", "center", "name", "spread", "table", "top")
+
+    def __init__(self, name: str, table: int, axes: list[int], center: np.ndarray, top: list[float], spread: list[float]):
+        self.name, self.table, self.axes, self.center, self.top, self.spread = name, table, axes, center, top, spread
+        self.angles: list[tuple[float, float, int]] = []
+
+
 class Blocks:
-    """The index as a task sees it: what is known of each block, and its rows on demand."""
+    """The index as a task sees it: what is known of each file and block, and rows on demand. This directory takes
+    about 300 bytes for a file and 100 for a block of thousands of rows."""
 
-    def __init__(self, data_uri: str, meta_uri: str):
-        fs, path = _filesystem(meta_uri)
+    def __init__(self, index: VectorIndex):
+        fs, path = _filesystem(index.meta_uri)
         table = pads.dataset(path, filesystem=fs, format="parquet").to_table()
         table = table.take(pa.compute.sort_indices(table, [("file", "ascending"), ("batch", "ascending")]))
-        self.file = table["file"].to_pylist()
-        self.batch = table["batch"].to_pylist()
-        self.of = {x: i for i, x in enumerate(zip(self.file, self.batch, strict=True))}
-        self.cell = table["cell"].to_numpy()
-        self.n = table["n"].to_numpy()
-        self.lo, self.hi = table["angle_lo"].to_numpy(), table["angle_hi"].to_numpy()
-        self.top, self.spread = table["top"].to_numpy(), table["spread"].to_numpy()
-        self.center = np.array([np.frombuffer(x, np.float32) for x in table["center"].to_pylist()]).reshape(len(self.n), -1)
-        self.data_uri = data_uri
-
-    def load(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.hashes = [Hash(index.dim, index.levels, t, index.seed) for t in range(index.tables)]
+        self.files: dict[str, File] = {}
+        for file, t, cell, center, top, spread, n, lo, hi in zip(*(table[c].to_pylist() for c in ("file", "table", "cell", "center", "top", "spread", "n", "angle_lo", "angle_hi")), strict=True):
+            f = self.files.get(file)
+            if f is None:
+                f = self.files[file] = File(file, t, self.hashes[t].axes(cell), np.frombuffer(center, np.float32), top, spread)
+            f.angles.append((lo, hi, n))
+        self.data_uri, self.dim, self.width = index.data_uri, index.dim, self.hashes[0].turns[0].width
+
+    def load(self, file: str, batch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, labels and raw vectors of a block."""
         fs, path = _filesystem(self.data_uri)
-        with fs.open_input_file(f"{path}/{self.file[i]}") as f:
-            batch = pa.ipc.open_file(f).get_batch(self.batch[i])
-        x = np.frombuffer(batch.column(2).buffers()[1], np.float32).reshape(-1, self.center.shape[1])[: len(batch)]
+        with fs.open_input_file(f"{path}/{file}") as f:
+            batch = pa.ipc.open_file(f).get_batch(batch)
+        x = np.frombuffer(batch.column(2).buffers()[1], np.float32).reshape(-1, self.dim)[: len(batch)]
         return batch.column(0).to_numpy(), batch.column(1).to_numpy(), x
 
+    def coordinates(self, x: np.ndarray) -> list[list[np.ndarray]]:
+        """Coordinates of vectors towards all cells, for each axis of each table."""
+        return [[signed(turn(x)) for turn in h.turns] for h in self.hashes]
+
+    def ordered(self, u: list[list[np.ndarray]]) -> list[File]:
+        """The files, those first towards which the queries' coordinates are large."""
+        high = [[np.quantile(level, 0.9, axis=0) if len(level) > 1 else level[0] for level in table] for table in u]
+        return sorted(self.files.values(), key=lambda f: -sum(h[a] for h, a in zip(high[f.table], f.axes, strict=True)))
+
+    def near(self, f: File, u: list[list[np.ndarray]], x32: np.ndarray, cosine: np.ndarray, away: np.ndarray, z: float) -> Iterator[tuple[int, np.ndarray]]:
+        """The blocks of a file that may hold a row with this cosine with a query, and those queries."""
+        rows = None
+        if not math.isinf(z):
+            for level, axis, top, spread in zip(u[f.table], f.axes, f.top, f.spread, strict=True):
+                own = level[:, axis] if rows is None else level[rows, axis]
+                ok = own >= _least_coordinate(cosine if rows is None else cosine[rows], top, spread, self.width, z)
+                rows = np.flatnonzero(ok) if rows is None else rows[ok]
+                if not len(rows):
+                    return
+        if rows is None:
+            rows = np.arange(len(x32))
+        angle = np.arccos(np.clip(x32[rows] @ f.center, -1, 1)) if len(rows) else np.zeros(0)
+        for b, (lo, hi, _) in enumerate(f.angles):
+            ok = (angle - hi <= away[rows]) & (lo - angle <= away[rows])
+            if ok.any():
+                yield b, rows[ok]
+
 
 @dataclass
 class VectorIndex:
     """``meta``: one row for each block. ``copies``: ids left out because enough smaller ids have the same vector,
-    with the smallest one. ``rows``: rows in the index."""
+    with the smallest one. ``rows``: rows in the index, each of which is in every table."""
 
     meta: DataFrame
     meta_uri: str
@@ -120,11 +200,18 @@ class VectorIndex:
     rows: int
     dim: int
     seed: int
+    tables: int
+    levels: int
+
+    def plain(self) -> VectorIndex:
+        """The same without tables, for tasks."""
+        return VectorIndex(None, self.meta_uri, self.data_uri, None, self.rows, self.dim, self.seed, self.tables, self.levels)
 
     def query_tasks(self) -> DataFrame:
+        """The blocks of the first table, which hold each row once."""
         parallel = self.meta.sparkSession.sparkContext.defaultParallelism
         n = max(3 * parallel, -(-self.rows // QUERY_ROWS))
-        return self.meta.select("file", "batch").repartition(n, "file", "batch")
+        return self.meta.where("table = 0").select("file", "batch", "n").repartition(n, "file", "batch")
 
 
 def _packed(vectors: pa.Array, dim: int) -> np.ndarray:
@@ -132,12 +219,14 @@ def _packed(vectors: pa.Array, dim: int) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
 
 
-def build_index(df: DataFrame, id_col: str, vector_col: str, dim: int, keep_copies: int = 1, link: float | None = None, seed: int = 0) -> VectorIndex:
-    """Indexes every usable row of ``df``; ids are integers, rows that repeat an id count once.
+def build_index(df: DataFrame, id_col: str, vector_col: str, dim: int, keep_copies: int = 1, link: float | None = None, seed: int = 0, tables: int = 2, levels: int | None = None) -> VectorIndex:
+    """Indexes every usable row of ``df`` in each of ``tables`` tables; ids are integers, rows that repeat an id count
+    once. Hashes have ``levels`` axes, as many as the number of rows asks for if not given.
 
     Of rows with the very same vector the ``keep_copies`` smallest ids are indexed, so a vector that a third of all
     rows share costs no more than another; the rest are in ``copies``. With ``link``, rows of a block are labelled by
-    the smallest id of those joined to them by links of at least that cosine within the block.
+    the smallest id of those that merging reciprocal neighbours within the block joins by links of at least that
+    cosine.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"), dim))
@@ -155,36 +244,39 @@ def build_index(df: DataFrame, id_col: str, vector_col: str, dim: int, keep_copi
     else:
         rows = rows.join(copies.select("id"), "id", "left_anti")
 
+    indexed = rows.count()
+    levels = levels or levels_for(indexed, dim)
+
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = Rotation(dim, seed)
+        hashes = [Hash(dim, levels, t, seed) for t in range(tables)]
         for batch in batches:
             if len(batch):
                 raw = _packed(batch.column("v"), dim)
-                cell, _ = turn.cells(turn(units(raw)))
-                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(raw), [None, pa.py_buffer(np.ascontiguousarray(raw))])
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(cell.astype(np.int32)), packed.cast(pa.binary())], names=["id", "cell", "x"])
-
-    coded = rows.mapInArrow(hashed, "id long, cell int, x binary")
-    counts = {r.cell: r["count"] for r in coded.groupBy("cell").count().collect()}  # one row for each of 2 * dim cells
-    groups = F.create_map(*[F.lit(v) for c, n in counts.items() for v in (c, -(-n // GROUP_ROWS))]) if counts else F.create_map(F.lit(0), F.lit(1))
-    salted = coded.withColumn("salt", F.pmod(F.xxhash64("id"), groups[F.col("cell")]))
+                x = units(raw)
+                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(raw), [None, pa.py_buffer(np.ascontiguousarray(raw))]).cast(pa.binary())
+                for t, h in enumerate(hashes):
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.full(len(raw), t, np.int32)), pa.array(h.cells(x)[0]), packed], names=["id", "table", "cell", "x"])
+
+    coded = rows.mapInArrow(hashed, "id long, table int, cell long, x binary")
+    large = coded.groupBy("table", "cell").count().where(F.col("count") > GROUP_ROWS).select("table", "cell", F.ceil(F.col("count") / GROUP_ROWS).alias("parts"))
+    salted = coded.join(large, ["table", "cell"], "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))).drop("parts")
     data_uri = shared_path(spark, "vectors")
-    schema = "file string, batch int, cell int, n int, center binary, angle_lo double, angle_hi double, top double, spread double"
+    schema = "file string, batch int, table int, cell long, n int, center binary, angle_lo double, angle_hi double, top array<double>, spread array<double>"
 
     def write(table: pa.Table) -> pa.Table:
         ids = table["id"].to_numpy()
         order = np.unique(ids, return_index=True)[1]  # by id, each once: the same file if the task runs again
         ids = ids[order]
         raw = np.frombuffer(b"".join(table["x"].take(pa.array(order)).to_pylist()), np.float32).reshape(-1, dim)
-        cell, salt = table["cell"][0].as_py(), table["salt"][0].as_py()
+        which, cell, salt = table["table"][0].as_py(), table["cell"][0].as_py(), table["salt"][0].as_py()
         x = units(raw)
         mean = x.mean(0)
         mean = mean / np.linalg.norm(mean) if np.linalg.norm(mean) > 1e-9 else x[0]
         angle = np.arccos(np.clip(x @ mean, -1, 1))
         by = np.argsort(angle, kind="stable")
         ids, raw, x, angle = ids[by], raw[by], x[by], angle[by]
-        turn = Rotation(dim, seed)
-        tops = turn.cells(turn(x))[1]
+        tops = Hash(dim, levels, which, seed).cells(x)[1]
+        top, spread = tops.mean(0).tolist(), tops.std(0).tolist()
         # a cell's close rows (members of a cluster) and far ones go to different blocks, with tight ranges of angles
         step = np.floor(np.degrees(angle) / 12)
         cuts = np.flatnonzero(np.diff(step)) + 1
@@ -197,23 +289,23 @@ def build_index(df: DataFrame, id_col: str, vector_col: str, dim: int, keep_copi
                 edges.append(c)
         fs, path = _filesystem(data_uri)
         fs.create_dir(path, recursive=True)
-        name = f"{cell}-{salt}.arrow"
+        name = f"{which}-{cell}-{salt}.arrow"
         kind = pa.schema([("id", pa.int64()), ("label", pa.int64()), ("x", pa.binary(4 * dim))])
-        meta = {k: [] for k in ("file", "batch", "cell", "n", "center", "angle_lo", "angle_hi", "top", "spread")}
+        meta = {k: [] for k in ("file", "batch", "table", "cell", "n", "center", "angle_lo", "angle_hi", "top", "spread")}
         tries = f"{path}/.{name}.{np.random.default_rng().integers(1 << 62)}"
         with fs.open_output_stream(tries) as out, pa.ipc.new_file(out, kind) as writer:
             for b, (s, e) in enumerate(zip(edges, edges[1:], strict=False)):
                 label = ids[s:e] if link is None else _labels(ids[s:e], x[s:e], link)
                 vectors = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), e - s, [None, pa.py_buffer(np.ascontiguousarray(raw[s:e]))])
                 writer.write_batch(pa.RecordBatch.from_arrays([pa.array(ids[s:e]), pa.array(label), vectors], schema=kind))
-                values = (name, b, cell, e - s, mean.astype(np.float32).tobytes(), float(angle[s:e].min()), float(angle[s:e].max()), float(tops[s:e].mean()), float(tops[s:e].std()))
+                values = (name, b, which, cell, e - s, mean.astype(np.float32).tobytes(), float(angle[s:e].min()), float(angle[s:e].max()), top, spread)
                 for k, v in zip(meta, values, strict=True):
                     meta[k].append(v)
         fs.move(tries, f"{path}/{name}")
-        return pa.table(meta).cast(pa.schema([("file", pa.string()), ("batch", pa.int32()), ("cell", pa.int32()), ("n", pa.int32()), ("center", pa.binary()), ("angle_lo", pa.float64()), ("angle_hi", pa.float64()), ("top", pa.float64()), ("spread", pa.float64())]))
+        return pa.table(meta).cast(pa.schema([("file", pa.string()), ("batch", pa.int32()), ("table", pa.int32()), ("cell", pa.int64()), ("n", pa.int32()), ("center", pa.binary()), ("angle_lo", pa.float64()), ("angle_hi", pa.float64()), ("top", pa.list_(pa.float64())), ("spread", pa.list_(pa.float64()))]))
 
-    meta = materialize(salted.groupBy("cell", "salt").applyInArrow(write, schema), "blocks")
-    return VectorIndex(meta, meta._quillstone_path, data_uri, copies, sum(counts.values()), dim, seed)
+    meta = materialize(salted.groupBy("table", "cell", "salt").applyInArrow(write, schema), "blocks")
+    return VectorIndex(meta, meta._quillstone_path, data_uri, copies, indexed, dim, seed, tables, levels)
 
 
 def _exact(s: np.ndarray, x: np.ndarray, y: np.ndarray, link: float) -> np.ndarray:
@@ -227,27 +319,34 @@ def _exact(s: np.ndarray, x: np.ndarray, y: np.ndarray, link: float) -> np.ndarr
 
 
 def _labels(ids: np.ndarray, x: np.ndarray, link: float) -> np.ndarray:
-    """Smallest id of the rows joined to each row by links, directly or through others."""
+    """Smallest id of each row's cluster, after merging reciprocal nearest neighbours by single linkage within the
+    block: every round each cluster looks for its most similar one, and whole trees of such choices, each of which
+    holds one reciprocal pair, merge; links are then those of the strongest members."""
     x32 = x.astype(np.float32)
-    linked = _exact(x32 @ x32.T, x, x, link)
-    label = np.full(len(ids), -1, np.int64)
-    for i in range(len(ids)):
-        if label[i] >= 0:
-            continue
-        seen = linked[i].copy()
-        seen[i] = True
-        edge = seen.copy()
-        edge[i] = False
-        while edge.any():
-            reach = linked[edge].any(0)
-            edge = reach & ~seen
-            seen |= reach
-        members = np.flatnonzero(seen)
-        label[members] = i
-    first = {}
-    for i, l in enumerate(label):
-        first[l] = min(first.get(l, ids[i]), ids[i])
-    return np.array([first[l] for l in label], np.int64)
+    s = x32 @ x32.T
+    s[~_exact(s, x, x, link)] = -2
+    np.fill_diagonal(s, -2)
+    cluster = np.arange(len(ids))
+    while len(s) > 1:
+        best = s.argmax(1)  # equal ones: the first, so choices form no cycle but reciprocal pairs
+        some = s[np.arange(len(s)), best] > -2
+        if not some.any():
+            break
+        root = np.where(some, best, np.arange(len(s)))
+        pair = root[root] == np.arange(len(s))
+        root = np.where(pair & (np.arange(len(s)) < root), np.arange(len(s)), root)
+        while (root[root] != root).any():
+            root = root[root]
+        order = np.argsort(root, kind="stable")
+        heads = np.flatnonzero(np.concatenate([[True], np.diff(root[order]) > 0]))
+        number = np.empty(len(s), np.int64)
+        number[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(s))))
+        s = np.maximum.reduceat(np.maximum.reduceat(s[order], heads, 0)[:, order], heads, 1)
+        np.fill_diagonal(s, -2)
+        cluster = number[cluster]
+    first = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(first, cluster, ids)
+    return first[cluster]
 
 
 def _least_coordinate(cosine: np.ndarray, top: float, spread: float, width: int, z: float) -> np.ndarray:
@@ -258,61 +357,84 @@ def _least_coordinate(cosine: np.ndarray, top: float, spread: float, width: int,
     return cosine * top - z * np.sqrt(across + (cosine * spread) ** 2)
 
 
-def _task_blocks(batches: Iterator[pa.RecordBatch], blocks: Blocks) -> Iterator[list[int]]:
+def _task_blocks(batch: pa.RecordBatch) -> Iterator[list[tuple[str, int]]]:
     """The task's blocks of queries, in groups of about QUERY_ROWS rows."""
     group, size = [], 0
-    for batch in batches:
-        for file, number in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            i = blocks.of[file, number]
-            if group and size + blocks.n[i] > QUERY_ROWS:
-                yield group
-                group, size = [], 0
-            group.append(i)
-            size += int(blocks.n[i])
+    for file, number, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        if group and size + n > QUERY_ROWS:
+            yield group
+            group, size = [], 0
+        group.append((file, number))
+        size += n
     if group:
         yield group
 
 
-def _angles(x32: np.ndarray, blocks: Blocks) -> np.ndarray:
-    return np.arccos(np.clip(x32 @ blocks.center.T, -1, 1))
-
-
 def nearest(index: VectorIndex, k: int, z: float = 2.0) -> DataFrame:
     """``(id, ids, cosines)`` of each indexed row: the k + 1 most similar ones among all rows including itself, by
     falling cosine, equal ones by rising id. ``z`` sets the share that may be missed: 2 leaves about 2 %, and less of
-    the nearer ones."""
-    data_uri, meta_uri, dim, seed = index.data_uri, index.meta_uri, index.dim, index.seed
-    keep = k + 1
+    the nearer ones; infinity none."""
+    plain, keep = index.plain(), k + 1
+    chance = shares_of_chance(z, index.tables, index.levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, turn = None, Rotation(dim, seed)
+        blocks = None
         for batch in batches:
-            blocks = blocks or Blocks(data_uri, meta_uri)
-            for group in _task_blocks(iter([batch]), blocks):
-                yield _nearest_of(group, blocks, turn, keep, z)
+            blocks = blocks or Blocks(plain)
+            for group in _task_blocks(batch):
+                yield _nearest_of(group, blocks, keep, chance)
 
     return index.query_tasks().mapInArrow(run, "id long, ids array<long>, cosines array<double>")
 
 
-def _nearest_of(group: list[int], blocks: Blocks, turn: Rotation, keep: int, z: float) -> pa.RecordBatch:
-    loaded = [blocks.load(i) for i in group]
+class Best:
+    """The ``keep`` most similar rows of each query so far."""
+
+    def __init__(self, n: int, keep: int):
+        self.keep = keep
+        self.cosine = np.full((n, keep), -np.inf)
+        self.id = np.full((n, keep), np.iinfo(np.int64).max)
+
+    def add(self, r: np.ndarray, q: np.ndarray, ids: np.ndarray, cosine: np.ndarray) -> None:
+        """Candidates of queries ``r[q]``; one that is there already, from another table, is left out."""
+        keep = self.keep
+        by = np.lexsort((ids, -cosine, q))
+        q, ids, cosine = q[by], ids[by], cosine[by]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        fits = rank < keep
+        q, ids, cosine, rank = q[fits], ids[fits], cosine[fits], rank[fits]
+        new = ~(self.id[r[q]] == ids[:, None]).any(1)
+        q, ids, cosine, rank = q[new], ids[new], cosine[new], rank[new]
+        if not len(q):
+            return
+        who, row = np.unique(q, return_inverse=True)
+        more = np.full((len(who), keep), -np.inf)
+        more_of = np.full((len(who), keep), np.iinfo(np.int64).max)
+        more[row, rank], more_of[row, rank] = cosine, ids
+        both = np.concatenate([self.cosine[r[who]], more], 1)
+        both_of = np.concatenate([self.id[r[who]], more_of], 1)
+        order = np.lexsort((both_of, -both), axis=1)[:, :keep]
+        self.cosine[r[who]] = np.take_along_axis(both, order, 1)
+        self.id[r[who]] = np.take_along_axis(both_of, order, 1)
+
+
+def _nearest_of(group: list[tuple[str, int]], blocks: Blocks, keep: int, z: float) -> pa.RecordBatch:
+    loaded = [blocks.load(*g) for g in group]
     ids = np.concatenate([x[0] for x in loaded])
     x = units(np.concatenate([x[2] for x in loaded]))
     x32 = x.astype(np.float32)
     home = np.repeat(np.arange(len(group)), [len(y[0]) for y in loaded])
-    u = signed(turn(x))
-    angle = _angles(x32, blocks)
-    best = np.full((len(ids), keep), -np.inf)
-    of = np.full((len(ids), keep), np.iinfo(np.int64).max)
+    u = blocks.coordinates(x)
+    best = Best(len(ids), keep)
 
-    def probe(rows: np.ndarray, i: int) -> None:
-        y_ids, _, raw = blocks.load(i)
+    def probe(rows: np.ndarray, y_ids: np.ndarray, raw: np.ndarray) -> None:
         y = units(raw)
         y32 = y.astype(np.float32)
         for a in range(0, len(rows), 1024):
             r = rows[a : a + 1024]
             s = x32[r] @ y32.T
-            limit = np.where(np.isfinite(best[r, -1]), best[r, -1] - 1e-6, -2).astype(np.float32)
+            last = best.cosine[r, -1]
+            limit = np.where(np.isfinite(last), last - 1e-6, -2).astype(np.float32)
             over = s > limit[:, None]
             n = over.sum(1)
             full = n > 4 * keep
@@ -321,53 +443,38 @@ def _nearest_of(group: list[int], blocks: Blocks, turn: Rotation, keep: int, z:
                 least = np.partition(part, -min(keep, part.shape[1]), 1)[:, -min(keep, part.shape[1])]
                 over[full] &= part >= (least - np.float32(1e-6))[:, None]
             q, c = np.nonzero(over)
-            if not len(q):
-                continue
-            cosine = np.einsum("ij,ij->i", x[r[q]], y[c])
-            by = np.lexsort((y_ids[c], -cosine, q))
-            q, c, cosine = q[by], c[by], cosine[by]
-            rank = np.arange(len(q)) - np.searchsorted(q, q)
-            fits = rank < keep
-            q, c, cosine, rank = q[fits], c[fits], cosine[fits], rank[fits]
-            who, row = np.unique(q, return_inverse=True)
-            more = np.full((len(who), keep), -np.inf)
-            more_of = np.full((len(who), keep), np.iinfo(np.int64).max)
-            more[row, rank], more_of[row, rank] = cosine, y_ids[c]
-            both = np.concatenate([best[r[who]], more], 1)
-            both_of = np.concatenate([of[r[who]], more_of], 1)
-            order = np.lexsort((both_of, -both), axis=1)[:, :keep]
-            best[r[who]] = np.take_along_axis(both, order, 1)
-            of[r[who]] = np.take_along_axis(both_of, order, 1)
-
-    for j, i in enumerate(group):
-        probe(np.flatnonzero(home == j), i)
-    order = np.argsort(-u.mean(0)[blocks.cell], kind="stable") if len(group) == 1 else np.argsort(-np.quantile(u, 0.9, axis=0)[blocks.cell], kind="stable")
-    for i in order:
-        cosine = np.clip(best[:, -1], -1, 1)
-        rows = u[:, blocks.cell[i]] >= _least_coordinate(cosine, blocks.top[i], blocks.spread[i], turn.width, z)
-        away = np.arccos(cosine) + 1e-6
-        rows &= (angle[:, i] - blocks.hi[i] <= away) & (blocks.lo[i] - angle[:, i] <= away)
-        if i in group:
-            rows &= home != group.index(i)
-        rows = np.flatnonzero(rows)
-        if len(rows):
-            probe(rows, i)
-    found = np.isfinite(best)
-    n = found.sum(1)
-    offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(offsets, pa.array(of[found])), pa.ListArray.from_arrays(offsets, pa.array(best[found]))], names=["id", "ids", "cosines"])
-
-
-def most_similar(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5, z: float = 2.0, seed: int = 0) -> DataFrame:
+            if len(q):
+                best.add(r, q, y_ids[c], np.einsum("ij,ij->i", x[r[q]], y[c]))
+
+    for j, (y_ids, _, raw) in enumerate(loaded):
+        probe(np.flatnonzero(home == j), y_ids, raw)
+    own = {g: j for j, g in enumerate(group)}
+    for f in blocks.ordered(u):
+        cosine = np.clip(best.cosine[:, -1], -1, 1)
+        for b, rows in blocks.near(f, u, x32, cosine, np.arccos(cosine) + 1e-6, z):
+            j = own.get((f.name, b))
+            if j is not None:
+                rows = rows[home[rows] != j]
+            if len(rows):
+                y_ids, _, raw = blocks.load(f.name, b)
+                probe(rows, y_ids, raw)
+    found = np.isfinite(best.cosine)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(found.sum(1))]).astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(offsets, pa.array(best.id[found])), pa.ListArray.from_arrays(offsets, pa.array(best.cosine[found]))], names=["id", "ids", "cosines"])
+
+
+def most_similar(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 5, z: float = 2.0, seed: int = 0, tables: int = 2, exact: bool = False, levels: int | None = None) -> DataFrame:
     """The k most similar rows of every row: ``(id, rank, neighbour, cosine)``, rank from 1.
 
     * A vector takes part if it has ``dim`` finite elements that are not all zero; the id must be an integer and not
       null. Rows that repeat an id count once. Other columns are not read, whatever their names.
     * Cosines are in double precision; equal ones go to the smaller id. Rows with the same vector are neighbours of
       each other. With fewer than k other rows all of them come out; an empty table has no rows.
+    * ``z`` and ``tables`` set how much may be missed for less work (see ``nearest``). ``exact`` misses nothing: every
+      block is probed that the angles between means don't exclude.
     """
-    index = build_index(df, id_col, vector_col, dim, keep_copies=k + 1, seed=seed)
-    found = nearest(index, k, z)
+    index = build_index(df, id_col, vector_col, dim, keep_copies=k + 1, seed=seed, tables=1 if exact else tables, levels=levels)
+    found = nearest(index, k, math.inf if exact else z)
     if index.copies is not None:  # rows with a vector that k + 1 smaller ids have too: the same list
         found = materialize(found, "nearest")
         others = index.copies.join(found.withColumnRenamed("id", "first"), "first").select("id", "ids", "cosines")
@@ -382,25 +489,24 @@ def links(index: VectorIndex, link: float, z: float = 4.0) -> tuple[DataFrame, D
 
     Returns the rows with their labels within their block, ``(id, label)``, and the strongest link between each two
     labels, ``(a, b, w)`` with a < b. ``z`` sets the chance of missing a link of just that cosine, at 4 about 1 in
-    30,000 from either end. The index must have been built with the same ``link``.
+    30,000 from either end. The index must have been built with the same ``link``, and with one table.
     """
-    data_uri, meta_uri, dim, seed = index.data_uri, index.meta_uri, index.dim, index.seed
+    plain, chance = index.plain(), shares_of_chance(z, index.tables, index.levels)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = None
         for batch in batches:
-            blocks = blocks or Blocks(data_uri, meta_uri)
-            for group in _task_blocks(iter([batch]), blocks):
-                for i in group:
-                    ids, labels, _ = blocks.load(i)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(labels)], names=["id", "label"])
+            blocks = blocks or Blocks(plain)
+            for file, number in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids, labels, _ = blocks.load(file, number)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(labels)], names=["id", "label"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, turn = None, Rotation(dim, seed)
+        blocks = None
         for batch in batches:
-            blocks = blocks or Blocks(data_uri, meta_uri)
-            for group in _task_blocks(iter([batch]), blocks):
-                yield from _links_of(group, blocks, turn, link, z)
+            blocks = blocks or Blocks(plain)
+            for group in _task_blocks(batch):
+                yield from _links_of(group, blocks, link, chance)
 
     tasks = index.query_tasks()
     edges = tasks.mapInArrow(run, "a long, b long, w double")
@@ -408,25 +514,23 @@ def links(index: VectorIndex, link: float, z: float = 4.0) -> tuple[DataFrame, D
     return tasks.mapInArrow(members, "id long, label long"), edges
 
 
-def _links_of(group: list[int], blocks: Blocks, turn: Rotation, link: float, z: float) -> Iterator[pa.RecordBatch]:
-    loaded = [blocks.load(i) for i in group]
+def _links_of(group: list[tuple[str, int]], blocks: Blocks, link: float, z: float) -> Iterator[pa.RecordBatch]:
+    loaded = [blocks.load(*g) for g in group]
     label = np.concatenate([x[1] for x in loaded])
-    home = np.repeat(group, [len(x[1]) for x in loaded])
+    home = np.repeat(np.arange(len(group)), [len(x[1]) for x in loaded])
     x = units(np.concatenate([x[2] for x in loaded]))
     order = np.argsort(label, kind="stable")
     label, x, home = label[order], x[order], home[order]
     x32 = x.astype(np.float32)
-    u = signed(turn(x))
-    angle = _angles(x32, blocks)
-    away = np.arccos(link) + 1e-6
+    u = blocks.coordinates(x)
+    cosine, away = np.full(len(x), link), np.full(len(x), np.arccos(link) + 1e-6)
     low, high = np.float32(link - 4e-6), np.float32(link + 4e-6)
-    for i in range(len(blocks.n)):
-        least = _least_coordinate(np.array(link), blocks.top[i], blocks.spread[i], turn.width, z)
-        near = (angle[:, i] - blocks.hi[i] <= away) & (blocks.lo[i] - angle[:, i] <= away) & (home != i)
-        rows = np.flatnonzero((u[:, blocks.cell[i]] >= least) & near)
+    own = {g: j for j, g in enumerate(group)}
+    for file, b, rows in ((f, b, rows) for f in blocks.files.values() for b, rows in blocks.near(f, u, x32, cosine, away, z)):
+        rows = rows[home[rows] != own.get((file.name, b), -1)]
         if not len(rows):
             continue
-        _, y_label, raw = blocks.load(i)
+        _, y_label, raw = blocks.load(file.name, b)
         by = np.argsort(y_label, kind="stable")
         y_label, y = y_label[by], units(raw[by])
         y32 = y.astype(np.float32)
