@@ -13,10 +13,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.vectors import build_index, links, usable
+from quillstone.llm.vectors import build_index, links, nearest, usable
 from quillstone.session import materialize, release
 
 
@@ -108,10 +110,13 @@ def names_a_thing(words: Column) -> Column:
 
 
 def _masks(words: Column) -> Column:
-    """The heading with each of its words left out in turn, and as it is."""
-    whole = F.array_join(words, " ")
-    holes = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.concat_ws(" ", F.slice(words, 1, i - 1), F.lit("_"), F.slice(words, i + 1, F.size(words))))
-    return F.array_distinct(F.concat(F.array(whole), holes))
+    """Hashes of the heading as it is and with each of its words left out in turn: what two headings that differ in
+    one word have in common. As long as the heading, however many words it has."""
+    own = F.transform(words, lambda w, i: F.xxhash64(i, w))
+    whole = F.aggregate(own, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x))
+    # within a lambda, so that the words and the whole are hashed once and not for each word
+    both = F.transform(F.array(F.struct(own.alias("o"), whole.alias("w"))), lambda p: F.concat(F.array(p["w"]), F.transform(p["o"], lambda x, i: p["w"].bitwiseXOR(x).bitwiseXOR(F.xxhash64(i)))))
+    return F.array_distinct(both[0])
 
 
 def _similar_word(a: Column, b: Column) -> Column:
@@ -142,25 +147,162 @@ def place_by_heading(members: DataFrame, headings: DataFrame, lost: DataFrame) -
     pairs = asked.join(known, "mask").where(F.size("w") == F.size("kw"))
     differ = F.filter(F.arrays_zip(F.col("w").alias("x"), F.col("kw").alias("y")), lambda p: p["x"] != p["y"])
     pairs = pairs.withColumn("d", differ).withColumn("same", F.size("d") == 0)
-    pairs = pairs.where(F.col("same") | _similar_word(F.get("d", F.lit(0))["x"], F.get("d", F.lit(0))["y"]))
+    pairs = pairs.where(F.col("same") | ((F.size("d") == 1) & _similar_word(F.get("d", F.lit(0))["x"], F.get("d", F.lit(0))["y"])))
     votes = pairs.select("w", "kw", "cluster", "n", "same").distinct().groupBy("w", "cluster", "same").agg(F.sum("n").alias("n"))
     best = votes.groupBy("w").agg(F.max_by("cluster", F.struct("same", "n", -F.col("cluster"))).alias("cluster"))
     return lost.join(best, "w").select("id", "cluster")
 
 
-def similarity_groups(df: DataFrame, id_col: str, vector_col: str, heading_col: str | None, dim: int, threshold: float = 0.85, least: int = 3, linkage: str = "single", seed: int = 0) -> DataFrame:
+def _dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
+def average_groups(df: DataFrame, id_col: str, vector_col: str, dim: int, threshold: float = 0.85, k: int = 10, seed: int = 0, together: int = 50_000, max_rounds: int = 500) -> DataFrame:
+    """Clusters of average linkage: ``(cluster_key, id)``, one row for each usable row, ``cluster_key`` the smallest id
+    of its cluster.
+
+    The similarity of two clusters is the mean cosine of all their pairs, exactly: for unit vectors it is the product
+    of the clusters' vector sums divided by their sizes, so no pair within a cluster is ever listed. Candidates are the
+    edges of a sparse graph, each row's ``k`` nearest neighbours of at least ``threshold`` (a mean that reaches it needs
+    such a pair). Every round all reciprocal nearest clusters merge, edges between what was merged become one, and only
+    those are computed again; it ends when no edge reaches the threshold. Rows with the same vector begin as one.
+    Parts of the graph that no edge joins don't touch each other: parts of up to ``together`` rows are dealt to tasks
+    of about so many, each of which does all its rounds; larger parts are merged by joins, round by round. Both give
+    the same clusters.
+
+    Usable rows have ``dim`` finite elements, not all zero; others, and null ids, have no row. Rows that repeat an id
+    count once. Equal similarities go to the smaller pair of ids. An empty table gives none. RuntimeError if it isn't
+    done after ``max_rounds``.
+    """
+    spark = df.sparkSession
+    index = build_index(df, id_col, vector_col, dim, keep_copies=1, seed=seed)
+    found = nearest(index, k)
+    edge = found.select("id", F.explode(F.arrays_zip("ids", "cosines")).alias("p")).where(F.col("p.ids") != F.col("id")).where(F.col("p.cosines") >= threshold)
+    edges = materialize(edge.groupBy(F.least("id", "p.ids").alias("a"), F.greatest("id", "p.ids").alias("b")).agg(F.max("p.cosines").alias("w")), "edges")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v").cast("array<float>"), dim)).dropDuplicates(["id"])
+    if index.copies is not None:
+        weight = index.copies.groupBy(F.col("first").alias("id")).agg((F.count("*") + 1).alias("size"))
+        rows = rows.join(index.copies.select("id"), "id", "left_anti").join(weight, "id", "left")
+    else:
+        rows = rows.withColumn("size", F.lit(None).cast("long"))
+    top = F.aggregate("v", F.lit(1e-300), lambda s, x: F.greatest(s, F.abs(x)))
+    scaled = rows.select("id", F.coalesce("size", F.lit(1).cast("long")).alias("size"), F.transform("v", lambda x: x / top).alias("v"))
+    sums = materialize(scaled.select(F.col("id").alias("c"), "size", F.transform("v", lambda x: x * F.col("size") / F.sqrt(_dot("v", "v"))).alias("s")), "sums")
+    parts = reciprocal_merge(edges, threshold - 1e-9, "single")  # (node, cluster)
+    counts = parts.groupBy("cluster").agg(F.count("*").alias("n"))
+    small = materialize(parts.join(counts, "cluster").select(F.col("node").alias("c"), F.col("cluster").alias("part"), (F.col("n") <= together).alias("small")), "parts")
+    done = _merged_in_tasks(sums, edges, small.where("small"), threshold, together)
+    alone = sums.join(small.select("c"), "c", "left_anti").select(F.col("c").alias("id"), F.col("c").alias("cluster"))
+    large = small.where("not small").select("c")
+    nodes = done.unionByName(alone)
+    if not large.isEmpty():
+        nodes = nodes.unionByName(_merged_by_joins(sums.join(large, "c", "left_semi"), edges.join(large.withColumnRenamed("c", "a"), "a", "left_semi"), threshold, max_rounds))
+    nodes = materialize(nodes, "nodes")
+    if index.copies is not None:
+        nodes = nodes.unionByName(index.copies.join(nodes.withColumnRenamed("id", "first"), "first").select("id", "cluster"))
+    names = nodes.groupBy("cluster").agg(F.min("id").alias("cluster_key"))
+    return nodes.join(names, "cluster").select("cluster_key", "id")
+
+
+def _merged_in_tasks(sums: DataFrame, edges: DataFrame, part_of: DataFrame, threshold: float, together: int) -> DataFrame:
+    """``(id, cluster)`` of whole parts of the graph, several in a task; ``part_of``: (c, part)."""
+    n = part_of.count()
+    bucket = F.pmod(F.xxhash64("part"), F.lit(max(1, -(-n // together)))).cast("int").alias("bucket")
+    placed = part_of.select("c", bucket)
+    rows = sums.join(placed, "c").select("bucket", F.col("c").alias("a"), F.lit(None).cast("long").alias("b"), F.col("size").cast("double").alias("w"), "s")
+    lines = edges.join(placed.withColumnRenamed("c", "a"), "a").select("bucket", "a", "b", "w", F.lit(None).cast("array<double>").alias("s"))
+
+    def run(table: pa.Table) -> pa.Table:
+        node = table["b"].is_null().to_numpy()
+        own = table.filter(pa.array(node))
+        ids = own["a"].to_numpy()
+        order = np.argsort(ids)
+        ids = ids[order]
+        total = own["s"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[order]
+        link = table.filter(pa.array(~node))
+        a, b = np.searchsorted(ids, link["a"].to_numpy()), np.searchsorted(ids, link["b"].to_numpy())
+        cluster = average_merge(total, own["w"].to_numpy()[order], a, b, link["w"].to_numpy(), threshold)
+        return pa.table({"id": ids, "cluster": ids[cluster]})
+
+    return rows.unionByName(lines).groupBy("bucket").applyInArrow(run, "id long, cluster long")
+
+
+def average_merge(total: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, threshold: float) -> np.ndarray:
+    """Cluster of each node, named by its first one: all reciprocal nearest pairs merge in every round. ``total`` and
+    ``size``: vector sums and numbers of rows; ``a`` < ``b`` and ``w``: edges and their similarities."""
+    total, size = total.astype(np.float64, copy=True), size.astype(np.float64, copy=True)
+    cluster = np.arange(len(size))
+    while len(w):
+        ends, other = np.concatenate([a, b]), np.concatenate([b, a])
+        order = np.lexsort((np.maximum(ends, other), np.minimum(ends, other), -np.round(np.tile(w, 2), 12), ends))
+        first = order[np.concatenate([[True], ends[order][1:] != ends[order][:-1]])]
+        best = np.full(len(size), -1)
+        best[ends[first]] = other[first]
+        away = np.flatnonzero((best >= 0) & (best[np.maximum(best, 0)] == np.arange(len(size))) & (best < np.arange(len(size))))
+        to = best[away]
+        total[to] += total[away]
+        size[to] += size[away]
+        moved = np.arange(len(size))
+        moved[away] = to
+        cluster = moved[cluster]
+        grown = np.zeros(len(size), bool)
+        grown[to] = True
+        a, b = moved[a], moved[b]
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        again = grown[a] | grown[b]
+        x, y = a[again & (a != b)], b[again & (a != b)]
+        key = np.unique(x * np.int64(len(size)) + y)
+        x, y = key // len(size), key % len(size)
+        v = np.einsum("ij,ij->i", total[x], total[y]) / (size[x] * size[y])
+        keep = v >= threshold
+        a, b, w = np.concatenate([a[~again], x[keep]]), np.concatenate([b[~again], y[keep]]), np.concatenate([w[~again], v[keep]])
+    return cluster
+
+
+def _merged_by_joins(sums: DataFrame, edges: DataFrame, threshold: float, max_rounds: int) -> DataFrame:
+    """``(id, cluster)`` of graphs too large for a task: the same rounds as joins."""
+    spark = sums.sparkSession
+    sums, edges = materialize(sums, "sums"), materialize(edges.select("a", "b", "w"), "edges")
+    nodes = materialize(sums.select(F.col("c").alias("id"), F.col("c").alias("cluster")), "nodes")
+    for _ in range(max_rounds):
+        best = materialize(_best(edges, F.round("w", 12)), "best")
+        moves = best.join(best.select(F.col("a").alias("b"), F.col("b").alias("a_")), "b").where("a = a_ and b < a").select("a", F.col("b").alias("r"))
+        moves = materialize(moves, "moves")
+        release(spark, best._quillstone_path)
+        if moves.isEmpty():
+            return nodes
+        both = sums.join(moves, sums["c"] == moves["a"], "left").select(F.coalesce("r", "c").alias("c"), "size", "s")
+        # two clusters at most come together
+        merged = both.groupBy("c").agg(F.sum("size").alias("size"), F.collect_list("s").alias("ss"))
+        merged = merged.select("c", "size", F.when(F.size("ss") == 1, F.col("ss")[0]).otherwise(F.zip_with(F.col("ss")[0], F.get("ss", F.lit(1)), lambda x, y: x + y)).alias("s"))
+        old, sums = sums, materialize(merged, "sums")
+        release(spark, old._quillstone_path)
+        a, b = moves.withColumnRenamed("r", "ra"), moves.select(F.col("a").alias("b"), F.col("r").alias("rb"))
+        grown = moves.select(F.col("r").alias("a")).union(moves.select("a")).distinct()
+        touched = edges.join(grown.withColumn("ta", F.lit(True)), "a", "left").join(grown.select(F.col("a").alias("b"), F.lit(True).alias("tb")), "b", "left")
+        same = touched.where("ta is null and tb is null").select("a", "b", "w")
+        moved = touched.where("ta or tb").join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).where("x != y")
+        moved = moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        one, two = (sums.select(F.col("c").alias(e), F.col("size").alias(f"n{e}"), F.col("s").alias(f"s{e}")) for e in "ab")
+        again = moved.join(one, "a").join(two, "b").select("a", "b", (_dot("sa", "sb") / (F.col("na") * F.col("nb"))).alias("w")).where(F.col("w") >= threshold)
+        old, edges = edges, materialize(same.unionByName(again), "edges")
+        release(spark, old._quillstone_path)
+        old, nodes = nodes, materialize(nodes.join(moves.withColumnRenamed("a", "cluster"), "cluster", "left").select("id", F.coalesce("r", "cluster").alias("cluster")), "nodes")
+        release(spark, old._quillstone_path)
+    raise RuntimeError(f"not done after {max_rounds} rounds")
+
+
+def similarity_groups(df: DataFrame, id_col: str, vector_col: str, heading_col: str | None, dim: int, threshold: float = 0.85, least: int = 3, seed: int = 0) -> DataFrame:
     """``(cluster_key, id, usable)``: one row for each member of a group of at least ``least`` usable rows.
 
     * Usable rows have ``dim`` finite elements, not all zero. They go by their vectors; rows that repeat an id count
-      once. With single linkage a group is what links of at least ``threshold`` join.
+      once. A group is what links of at least ``threshold`` join, directly or through others: single linkage (see
+      ``average_groups`` for the other). Merging of reciprocal neighbours makes them, first within the blocks of the
+      index, then between these.
     * Other rows join a group by heading (see ``place_by_heading``), if ``heading_col`` is given.
     * ``cluster_key`` is the smallest id of the group, members placed by heading included. Rows without an id or a
       group have no row. An empty table gives none; other columns are not read, whatever their names.
-    * Average linkage works on the sparse graph of links between rows of different blocks and takes the parts of a
-      block as they are; it is meant for graphs from elsewhere (``reciprocal_merge``), not for this call.
     """
-    if linkage != "single":
-        raise ValueError("groups by links are single linkage; call reciprocal_merge for average linkage")
     index = build_index(df, id_col, vector_col, dim, keep_copies=1, link=threshold, seed=seed, tables=1)
     members, edges = links(index, threshold)
     members = materialize(members, "members")

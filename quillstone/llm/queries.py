@@ -44,6 +44,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("idx_a"), F.greatest("id", "neighbour").alias("idx_b")).distinct()
 
 
+def p2_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The same without a miss; a cosine that equals the fifth one's to nine places counts as it."""
+    from quillstone.llm.vectors import most_similar
+
+    near = most_similar(_read(spark, d, "sections"), "global_idx", "embedding", DIM, k=5, exact=True)
+    return near.select("id", "rank", F.round("cosine", 6).alias("cosine"))
+
+
 def _typed(spark: SparkSession, d: str, which: str) -> tuple[DataFrame, list[dict]]:
     from quillstone.llm.canonical import listed, typed_values
 
@@ -103,6 +111,16 @@ def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
     return describe_groups(materialize(_groups(spark, d), "groups"), _read(spark, d, "sections"), "global_idx", "embedding", "heading", DIM)
 
 
+def p4_average(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters of average linkage at the same threshold, of three usable rows and more."""
+    from quillstone.llm.clusters import average_groups
+    from quillstone.session import materialize
+
+    rows = materialize(average_groups(_read(spark, d, "sections"), "global_idx", "embedding", DIM, threshold=0.85), "average")
+    large = rows.groupBy("cluster_key").count().where("count >= 3").select("cluster_key")
+    return rows.join(large, "cluster_key").select("cluster_key", F.col("id").alias("global_idx"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from quillstone.llm.split import split_texts
 
@@ -180,7 +198,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return p8_subjects(spark, d).groupBy("subject_id").agg(F.count("*").alias("documents"), F.sum("sentences").alias("sentences"), F.round(F.avg("share"), 6).alias("mean_share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_neighbours, p3_found, p3_values, p3_candidates, p3_unmatched, p4_found, p4_clusters, p5_found, p5_pieces, p6_found, p6_spans, p7_found, p7_mix, p7_shares, p7_targets, p8_found, p8_subjects, p8_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_neighbours, p2_exact, p3_found, p3_values, p3_candidates, p3_unmatched, p4_found, p4_clusters, p4_average, p5_found, p5_pieces, p6_found, p6_spans, p7_found, p7_mix, p7_shares, p7_targets, p8_found, p8_subjects, p8_composition)}
 
 ORACLES: dict[str, str] = {}
 
@@ -233,6 +251,13 @@ spans as (select *, sum(new) over (partition by doc_id, item_id order by b, e ro
 select doc_id, item_id, min(b) as first_word, max(e) as end_word from spans group by doc_id, item_id, s
 """
 
+ORACLES["p2_exact"] = """
+with u as (select distinct global_idx as id, embedding::double[] as e from sections where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p as (select a.id, b.id as other, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) as c from u a join u b on a.id <> b.id),
+r as (select id, c, row_number() over (partition by id order by c desc, other) as k from p)
+select cast(id as bigint) as id, cast(k as integer) as rank, round(c, 6) as cosine from r where k <= 5
+"""
+
 _LAST = "list_max(list_filter(range(s + 1025, s + 2049), lambda x: {0}))"
 _BLANK = "c[{0}] in (' ', chr(9), chr(10), chr(13))"
 _END = (

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm.clusters import describe_groups, reciprocal_merge, similarity_groups
+from quillstone.llm.clusters import average_groups, describe_groups, reciprocal_merge, similarity_groups
 from quillstone.llm.vectors import units
 
 
@@ -66,6 +66,23 @@ def test_average_linkage_equals_one_merge_at_a_time(spark):
         run(spark, edges, 0.3, "complete")
 
 
+@pytest.mark.parametrize("together", [50_000, 9])
+def test_average_groups_of_vectors(spark, together):
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(6, 6))
+    x = np.concatenate([c + s * rng.normal(size=(n, 6)) for c, s, n in zip(centers, np.linspace(0.1, 0.6, 6), (1, 2, 3, 6, 9, 11), strict=True)]).astype(np.float32)
+    rows = [(i + 3, v.tolist()) for i, v in enumerate(x)] + [(200 + i, x[12].tolist()) for i in range(4)] + [(1, x[30].tolist())]
+    bad = [(300, None), (301, [0.0] * 6), (302, [1.0]), (None, x[0].tolist())]
+    df = spark.createDataFrame(rows + rows[:5] + bad, "key long, v array<float>").withColumn("id", F.lit("clash"))
+    u = units(np.array([r[1] for r in rows], np.float32))
+    ids = [r[0] for r in rows]
+    s = u @ u.T
+    want = average([(min(a, b), max(a, b), s[i, j]) for i, a in enumerate(ids) for j, b in enumerate(ids) if i < j], 0.8)
+    got = {r.id: r.cluster_key for r in average_groups(df, "key", "v", 6, threshold=0.8, k=40, together=together).collect()}
+    assert got == want and len(set(want.values())) > 6
+    assert average_groups(df.limit(0), "key", "v", 6).collect() == []
+
+
 def test_groups(spark):
     rng = np.random.default_rng(3)
     centers = np.eye(8)[:3] * 3
@@ -76,7 +93,7 @@ def test_groups(spark):
             rows.append((key, (c + 0.1 * rng.normal(size=8)).tolist(), h if i % 2 else "SCOPE"))
             key += 1
     rows += [(500 + i, rows[0][1], "SCOPE") for i in range(20)]  # copies of one vector
-    rows += [(1, None, "Contrl of Volhap pump."), (2, [0.0] * 8, "CTRL  OF VOLHAP PUMP"), (3, [float("nan")] * 8, "Insp. of Drel Valve"), (4, [1.0], "SCOPE"), (5, None, None), (6, None, "Review of Tam Gate"), (7, None, "x" * 5000), (None, None, heads[0])]
+    rows += [(1, None, "Contrl of Volhap pump."), (2, [0.0] * 8, "CTRL  OF VOLHAP PUMP"), (3, [float("nan")] * 8, "Insp. of Drel Valve"), (4, [1.0], "SCOPE"), (5, None, None), (6, None, "Review of Tam Gate"), (7, None, "x" * 5000), (11000, None, "many words " * 20_000), (None, None, heads[0])]
     rows += [(8, None, "Control of Volhap Gate"), (9, None, "")]
     df = spark.createDataFrame(rows + rows[:9], "key long, v array<float>, h string").withColumn("id", F.lit("clash")).withColumn("cluster", F.lit("clash"))
     groups = similarity_groups(df, "key", "v", "h", 8, threshold=0.85)
