@@ -9,9 +9,11 @@ Method: a prefix-tree join, in parts.
    their prefixes, and from its places in both the remaining lengths bound what they can still share; so does a
    sketch of what follows it in the prefixes. Shingles of one text only can't be shared and are skipped. Very
    frequent shingles are dealt to several tasks in blocks.
-4. Pairs that are left are gathered by one of their texts. The sets of the others are stored in a tree with shared
-   beginnings, which is traversed once against that text: an edge's overlap is counted once for all sets below it,
-   and a subtree ends where its remaining lengths no longer suffice. The result is exact.
+4. What is left only says which texts have to meet: texts are gathered by the smallest text they met, a large such
+   group in blocks, so a text is sent once to a group and not once for each pair. There the ordered sets, the rarest
+   shingles first, are stored in a tree with shared beginnings, which is traversed once with all texts of the group:
+   an edge's overlap with them is counted once for all sets below it, and a text is given up in a subtree whose
+   remaining lengths no longer suffice. All pairs come out of this tree; the result is exact.
 
 No list of all texts, shingles or pairs reaches the driver.
 """
@@ -26,17 +28,20 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.words import Words, mix, slices
-from quillstone.session import materialize, shared_path
+from quillstone.session import materialize, release, shared_path
 
-_BITS = 44  #: of a shingle's hash in steps 2 and 3; step 4 takes 64
+_BITS = 44  #: of a shingle's hash in steps 2 and 3; step 4 takes all 64
 _MASK = np.uint64((1 << _BITS) - 1)
 _ROWS = 20  #: bits of a row's number in its chunk; the rest of a text's address is the chunk
-_HOT = 20_000  #: a shingle of more texts than this is dealt to several tasks
+_HOT = 4_000  #: a shingle of more texts than this is dealt to several tasks
 _BUCKET = 2_000_000  #: shingles for each task of steps 2 and 3
+_SEQ = 20  #: bits of a chunk's number in its task; the rest of its name is the task
+_TOGETHER, _SHINGLES = 512, 500_000  #: texts, and their shingles, of a block of a group in step 4
 
 
 def needed(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
@@ -67,25 +72,26 @@ def _least_count(level: np.ndarray) -> np.ndarray:
     return np.where(l <= 200, l, 200 * 2 ** ((l - 200) / 4)).astype(np.int64)
 
 
+def _shingles(words: Words, salt: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text and 64-bit hash of each run of k words; texts with another salt have other hashes."""
+    n, text = len(words.hash), words.text_of()
+    if n < k:
+        return text[:0], np.zeros(0, np.uint64)
+    h = np.zeros(n - k + 1, np.uint64)
+    for j in range(k):
+        h = h * np.uint64(0xD6E8FEB86659FD93) + words.hash[j : n - k + 1 + j]
+    same = text[: n - k + 1] == text[k - 1 :]
+    text = text[: n - k + 1][same]
+    return text, mix(h[same] + mix(salt.view(np.uint64))[text])
+
+
 class Chunk:
     """The shingle sets of a chunk of texts: ``set_of`` the text's row and ``token`` of each member, ordered by both;
     ``distinct`` tokens and which of them each member is."""
 
     def __init__(self, rows: pa.Table | pa.RecordBatch, k: int):
-        words = Words(rows.column("text"))
-        salt = mix(rows.column("salt").to_numpy(zero_copy_only=False).view(np.uint64)) if len(rows) else np.zeros(0, np.uint64)
-        n = len(words.hash)
-        text = words.text_of()
-        if n >= k:
-            h = np.zeros(n - k + 1, np.uint64)
-            for j in range(k):
-                h = h * np.uint64(0xD6E8FEB86659FD93) + words.hash[j : n - k + 1 + j]
-            same = text[: n - k + 1] == text[k - 1 :]
-            text = text[: n - k + 1][same]
-            h = mix(h[same] + salt[text]) & _MASK
-        else:
-            text, h = text[:0], np.zeros(0, np.uint64)
-        key = np.unique((text.astype(np.uint64) << np.uint64(_BITS)) | h)  # rows of a chunk are far fewer than 2^20
+        text, h = _shingles(Words(rows.column("text")), rows.column("salt").to_numpy(zero_copy_only=False), k)
+        key = np.unique((text.astype(np.uint64) << np.uint64(_BITS)) | (h & _MASK))  # rows of a chunk are far fewer than 2^20
         self.set_of = (key >> np.uint64(_BITS)).astype(np.int64)
         self.token = key & _MASK
         self.size = np.bincount(self.set_of, minlength=len(rows))
@@ -138,15 +144,18 @@ def near_duplicates(df: DataFrame, key: str, text: str, within: str | None = Non
     buckets = max(spark.sparkContext.defaultParallelism * 2, -(-int(total) // _BUCKET))
     chosen = members.where("key = rep").select("within", "key").distinct()
     reps_rows = rows.join(chosen, ["within", "key"]).withColumn("salt", F.xxhash64("within"))
-    # equal rows side by side, so that a repeated one can be dropped on the way
-    ordered = reps_rows.repartition("within", "key").sortWithinPartitions("within", "key")
+    # equal rows side by side, so that a repeated one can be dropped on the way; always in the same order, as a task's
+    # chunks are named by their places
+    ordered = reps_rows.repartition(buckets, "within", "key").sortWithinPartitions("within", "key", F.xxhash64("text"))
     folder = shared_path(spark, "chunks")
 
     counted = _count(ordered, folder, buckets, k, least_words)
     levels = materialize(counted, "levels")
     met = materialize(_candidates(levels, folder, buckets, k, similarity), "met")
-    candidates = materialize(_sketched(met, folder, similarity), "candidates")
-    links = materialize(_verified(candidates, folder, k, similarity), "links")
+    links = materialize(_verified(_sketched(met, folder, similarity), folder, k, similarity), "links")
+    for used in (keyed, levels, met):
+        release(spark, used._quillstone_path)
+    release(spark, folder)
     return NearDuplicates(members.select("within", "key", "rep", "n_words").distinct(), links)
 
 
@@ -176,7 +185,7 @@ def _count(ordered: DataFrame, folder: str, buckets: int, k: int, least_words: i
     """Writes the chunks, and gives the level of each of their distinct shingles: (chunk, bucket, level)."""
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last, task, written = None, TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in slices(batch, "text"):
                 table = pa.Table.from_batches([part])
@@ -186,9 +195,9 @@ def _count(ordered: DataFrame, folder: str, buckets: int, k: int, least_words: i
                 table = table.take(pa.array(keep, pa.int64()))
                 if not len(table):
                     continue
-                # named by content: a repeated task writes the same file
-                content = Words(table["text"]).sequence_keys(3) + mix(table["key"].to_numpy().view(np.uint64)) + table["salt"].to_numpy().view(np.uint64)
-                name = int(mix(mix(content).sum(keepdims=True))[0] >> np.uint64(_ROWS + 1))
+                name, written = (task << _SEQ) + written, written + 1
+                if task >= 1 << (63 - _ROWS - _SEQ) or written > 1 << _SEQ:
+                    raise OverflowError("more chunks than can be named")
                 _write_chunk(folder, name, table)
                 chunk = Chunk(table, k)
                 edges = chunk.edges(buckets)
@@ -246,7 +255,7 @@ def _sketched(met: DataFrame, folder: str, similarity: float) -> DataFrame:
     both = met.join(one, "a").join(two, "b")
     differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in names[2:]), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
     total = F.col("n_a") + F.col("n_b")
-    return both.where(F.floor((total - differ) / 2) >= F.ceil(similarity / (1 + similarity) * total - 1e-9)).select("a", "b")
+    return both.where(F.floor((total - differ) / 2) >= F.ceil(similarity / (1 + similarity) * total - 1e-9)).select("a", "b", "n_a", "n_b")
 
 
 def _candidates(levels: DataFrame, folder: str, buckets: int, k: int, similarity: float) -> DataFrame:
@@ -260,8 +269,10 @@ def _candidates(levels: DataFrame, folder: str, buckets: int, k: int, similarity
         edges = chunk.edges(buckets)
         for b, x in zip(table["bucket"].to_pylist(), table["level"].to_pylist(), strict=True):
             level[edges[b] : edges[b + 1]] = np.frombuffer(x, np.uint8)
-        _write_chunk(folder, table["chunk"][0].as_py(), _sketches(chunk), ".sketch")
         member = level[chunk.which]
+        ends = np.cumsum(chunk.size)
+        levels_ = pa.array([member[e - n : e].tobytes() for e, n in zip(ends.tolist(), chunk.size.tolist(), strict=True)], pa.binary())
+        _write_chunk(folder, table["chunk"][0].as_py(), _sketches(chunk).append_column("levels", levels_), ".sketch")
         single = np.bincount(chunk.set_of[member == 1], minlength=len(rows))
         keep = np.flatnonzero(member > 1)
         keep = keep[np.argsort(chunk.set_of[keep] * 256 + member[keep], kind="stable")]
@@ -334,80 +345,143 @@ def _candidates(levels: DataFrame, folder: str, buckets: int, k: int, similarity
     return sent.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
-class SetTree:
-    """Ordered sets in a tree with shared beginnings: each edge holds a run of members, each leaf a set."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
-        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
-        self.root = self._grow(order, 0)
-
-    def _grow(self, order: list[int], depth: int) -> list[tuple]:
-        """Children of a node: (run of members, sets that end after it, least and most members in all of a set below,
-        children). ``order`` is sorted, so sets with a common beginning are neighbours."""
-        out, at = [], 0
-        while at < len(order):
-            first = self.sets[order[at]]
-            if len(first) == depth:
-                at += 1
-                continue
-            to = at + 1
-            while to < len(order) and len(self.sets[order[to]]) > depth and self.sets[order[to]][depth] == first[depth]:
-                to += 1
-            last = self.sets[order[to - 1]]  # what the first and the last one share, all between share
-            m = min(len(first), len(last))
-            differ = np.flatnonzero(first[depth:m] != last[depth:m])
-            end = depth + int(differ[0]) if len(differ) else m
-            part = order[at:to]
-            sizes = [len(self.sets[i]) for i in part]
-            out.append((first[depth:end], [i for i in part if len(self.sets[i]) == end], min(sizes), max(sizes), self._grow(part, end) if len(part) > 1 or len(first) > end else []))
-            at = to
-        return out
-
-    def similar(self, probe: np.ndarray, similarity: float) -> list[tuple[int, float]]:
-        """Sets whose Jaccard similarity with ``probe``, an ordered set, suffices."""
-        found = []
-        stack = [(edge, 0, 0, 0) for edge in self.root]
-        n = len(probe)
-        while stack:
-            (run, ends, least, most, children), depth, shared, passed = stack.pop()
-            at = np.searchsorted(probe, run)
-            hit = int((probe[np.minimum(at, n - 1)] == run).sum()) if n else 0
-            depth, shared = depth + len(run), shared + hit
-            passed = int(np.searchsorted(probe, run[-1], "right"))  # of the probe, that can't be met below
-            for i in ends:
-                s = shared / (n + len(self.sets[i]) - shared)
-                if s >= similarity - 1e-12:
-                    found.append((i, s))
-            most_shared = shared + min(most - depth, n - passed)
-            if most_shared >= int(needed(np.array(n), np.array(least), similarity)):
-                stack += [(c, depth, shared, passed) for c in children]
-        return found
-
-
-def _verified(candidates: DataFrame, folder: str, k: int, similarity: float, together: int = 512) -> DataFrame:
-    """Candidates that are similar enough, with the similarity. A text with many candidates meets them in parts."""
-    many = candidates.groupBy("a").agg(F.ceil(F.count("*") / together).alias("parts"))
-    spread = candidates.join(many, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).drop("parts")
-    asked = spread.select("a", "part", F.col("b").alias("text"), F.lit(1).alias("role")).unionByName(spread.select("a", "part", F.col("a").alias("text"), F.lit(0).alias("role")).distinct())
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("text")).distinct().withColumn("chunk", F.shiftright("text", _ROWS))
+class Sets:
+    """Ordered sets of small integers: ``items`` of all, ``first`` offsets, and ``size``, which may count members that
+    no other set has and that are left out."""
+
+    def __init__(self, items: np.ndarray, first: np.ndarray, size: np.ndarray):
+        self.items, self.first, self.size = items, first, size
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.items[self.first[i] : self.first[i + 1]]
+
+
+def tree_join(stored: Sets, probes: Sets, similarity: float, cells: int = 1 << 26) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of a probe and a stored set that are similar enough: (probes, stored, similarities), for one stored set
+    after the other. The stored sets are the leaves of a tree, each edge of which is a run of members. It is traversed
+    with ``cells`` divided by the number of integers probes at a time."""
+    top = int(max(stored.items.max(initial=-1), probes.items.max(initial=-1))) + 1
+    order = sorted(range(len(stored)), key=lambda i: stored[i].astype(">u4").tobytes())
+    length = np.diff(stored.first)
+    common = [0]  # members that each set begins with as the one before
+    for i, j in zip(order, order[1:], strict=False):
+        m = min(length[i], length[j])
+        differ = np.flatnonzero(stored[i][:m] != stored[j][:m])
+        common.append(int(differ[0]) if len(differ) else int(m))
+    common, n = np.array([*common, 0]), stored.size[order]
+    below = length[order]
+    step = max(1, cells // max(1, top))
+    for start in range(0, len(probes), step):
+        who = np.arange(start, min(start + step, len(probes)))
+        has = np.zeros((len(who), top), bool)
+        span = probes.items[probes.first[start] : probes.first[who[-1] + 1]]
+        row = np.repeat(np.arange(len(who)), np.diff(probes.first[start : who[-1] + 2]))
+        has[row, span] = True
+        places = row * np.int64(top + 1) + span  # sorted: how many of a probe's members lie before one follows from it
+        begin, m = np.searchsorted(row, np.arange(len(who) + 1)), probes.size[who]
+
+        def down(node: tuple, i: int, depth: int, end: int, has=has, places=places, begin=begin, m=m) -> tuple:
+            """The node at ``depth`` on the way to set i, from a node above; what is below ends before set ``end``."""
+            above, alive, shared = node
+            run = stored[order[i]][above:depth]
+            if len(run) and len(alive):
+                shared = shared + has[alive[:, None], run[None]].sum(1)
+                passed = np.searchsorted(places, alive * np.int64(top + 1) + run[-1], "right") - begin[alive]
+                most = shared + np.minimum(below[i:end].max() - depth, begin[alive + 1] - begin[alive] - passed)
+                live = most >= needed(m[alive], n[i:end].min(), similarity)
+                alive, shared = alive[live], shared[live]
+            return depth, alive, shared
+
+        stack = [(0, np.arange(len(who)), np.zeros(len(who), np.int64))]
+        for i in range(len(order)):
+            while stack[-1][0] > common[i]:
+                stack.pop()
+            branch = min(int(common[i + 1]), int(below[i]))
+            for depth in sorted({int(common[i]), max(branch, int(common[i]))}):
+                if depth > stack[-1][0]:
+                    after = np.flatnonzero(common[i + 1 :] < depth)
+                    stack.append(down(stack[-1], i, depth, i + 1 + int(after[0]) if len(after) else len(order)))
+            _, alive, shared = down(stack[-1], i, int(below[i]), i + 1)
+            if len(alive):
+                s = shared / (m[alive] + n[i] - shared)
+                good = (s >= similarity - 1e-12) & (shared > 0)
+                if good.any():
+                    yield who[alive[good]], np.full(int(good.sum()), order[i]), s[good]
+
+
+def _verified(candidates: DataFrame, folder: str, k: int, similarity: float) -> DataFrame:
+    """All pairs of texts that are similar enough, with the similarity, from trees of those that have to meet."""
+    candidates = materialize(candidates, "candidates")
+    ends = candidates.select(F.col("b").alias("text"), F.col("a").alias("root"), F.col("n_b").alias("n")).unionByName(candidates.select(F.col("a").alias("text"), F.col("a").alias("root"), F.col("n_a").alias("n")))
+    roots = ends.groupBy("text").agg(F.min("root").alias("root"), F.first("n").alias("n"))
+    parts = roots.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / _TOGETHER), F.ceil(F.sum("n") / _SHINGLES)).alias("parts"))
+    place = materialize(roots.join(parts, "root").select("text", "root", F.pmod(F.xxhash64("text"), F.col("parts")).alias("part")), "places")
+    pa_, pb = (place.select(F.col("text").alias(c), F.struct("root", "part").alias(f"p{c}")) for c in "ab")
+    met = candidates.select("a", "b").join(pa_, "a").join(pb, "b")
+    group = F.struct(F.least("pa", "pb").alias("x"), F.greatest("pa", "pb").alias("y"))
+    met = met.select(group.alias("group"), F.explode(F.array(F.struct(F.col("a").alias("text"), F.col("pa").alias("p")), F.struct(F.col("b").alias("text"), F.col("pb").alias("p")))).alias("e"))
+    # side 0 meets side 1; within one block all meet all
+    side = F.when(F.col("group.x") == F.col("group.y"), 2).when(F.col("e.p") == F.col("group.x"), 0).otherwise(1)
+    asked = met.select(F.col("group.x.root").alias("g1"), F.col("group.x.part").alias("g2"), F.col("group.y.root").alias("g3"), F.col("group.y.part").alias("g4"), side.alias("side"), F.col("e.text").alias("text")).distinct()
+    names = ["g1", "g2", "g3", "g4"]
+    wanted = place.select("text", F.shiftright("text", _ROWS).alias("chunk"))
 
     def fetch(table: pa.Table) -> pa.Table:
-        rows = _read_chunk(folder, table["chunk"][0].as_py())
-        own = rows.take(pa.array(table["text"].to_numpy() & ((1 << _ROWS) - 1)))
-        return pa.table({"text": table["text"], "within": own["within"], "key": own["key"], "body": own["text"]})
-
-    texts = wanted.groupBy("chunk").applyInArrow(fetch, "text long, within string, key long, body string")
-    full = asked.join(texts, "text").repartition("a", "part").sortWithinPartitions("a", "part", "role")
+        name, at = table["chunk"][0].as_py(), pa.array(table["text"].to_numpy() & ((1 << _ROWS) - 1))
+        own, levels = _read_chunk(folder, name).take(at), _read_chunk(folder, name, ".sketch").select(["levels"]).take(at)
+        return pa.table({"text": table["text"], "within": own["within"], "key": own["key"], "salt": own["salt"], "body": own["text"], "levels": levels["levels"]})
+
+    texts = wanted.groupBy("chunk").applyInArrow(fetch, "text long, within string, key long, salt long, body string, levels binary")
+    tasks = max(candidates.sparkSession.sparkContext.defaultParallelism * 2, -(-candidates.count() // 20_000))
+    full = asked.join(texts, "text").repartition(tasks, *names).sortWithinPartitions(*names, "side", "text")
+
+    def ordered(part: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Offsets of each text's set, and its members with their levels, by token."""
+        text, h = _shingles(Words(part.column("body")), part.column("salt").to_numpy(zero_copy_only=False), k)
+        by = np.lexsort((h, h & _MASK, text))
+        text, h = text[by], h[by]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+        text, h = text[new], h[new]
+        token = h & _MASK
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (token[1:] != token[:-1]) | (text[1:] != text[:-1])
+        levels = np.frombuffer(b"".join(part.column("levels").to_pylist()), np.uint8)
+        return np.searchsorted(text, np.arange(len(part) + 1)), h, levels[np.cumsum(fresh) - 1] if len(h) else levels[:0]
+
+    def joined(group: list[tuple]) -> list[tuple]:
+        """``group``: (side, within, key, members, levels) of each text."""
+        size = np.array([len(x[3]) for x in group])
+        h, level = np.concatenate([x[3] for x in group]), np.concatenate([x[4] for x in group])
+        which = np.repeat(np.arange(len(group)), size)
+        keep = level > 1  # a shingle of one text is in no other
+        h, level, which = h[keep], level[keep], which[keep]
+        by = np.lexsort((h, level))
+        step = np.ones(len(h), bool)
+        step[1:] = (h[by][1:] != h[by][:-1]) | (level[by][1:] != level[by][:-1])
+        rank = np.empty(len(h), np.int64)
+        rank[by] = np.cumsum(step) - 1
+        by = np.lexsort((rank, which))
+        rank, which = rank[by], which[by]
+
+        def some(at: np.ndarray) -> Sets:
+            own = np.isin(which, at)
+            return Sets(rank[own], np.searchsorted(which[own], np.append(at, len(group))), size[at])
+
+        sides = np.array([x[0] for x in group])
+        probe, store = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
+        out = []
+        for p, q, s in tree_join(some(store), some(probe), similarity):
+            for i, j, x in zip(probe[p].tolist(), store[q].tolist(), s.tolist(), strict=True):
+                if group[i][2] != group[j][2] and (sides[i] == 0 or i < j):
+                    out.append((group[i][1], min(group[i][2], group[j][2]), max(group[i][2], group[j][2]), x))
+        return out
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, hub, others = None, None, []
-
-        def close() -> list[tuple]:
-            if hub is None:
-                return []
-            tree = SetTree([x for _, x in others])
-            return [(hub[0], *sorted((hub[1], others[i][0])), s) for i, s in tree.similar(hub[2], similarity)]
+        name, group = None, []
 
         def batch_of(found: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*found, strict=True)) if found else [(), (), (), ()]
@@ -416,22 +490,18 @@ def _verified(candidates: DataFrame, folder: str, k: int, similarity: float, tog
         for batch in batches:
             for part in slices(batch, "body"):
                 found = []
-                token, first = Words(part.column("body")).shingles(k)
-                names = zip(part.column("a").to_pylist(), part.column("part").to_pylist(), strict=True)
-                for i, (name, within, key, role) in enumerate(zip(names, part.column("within").to_pylist(), part.column("key").to_pylist(), part.column("role").to_pylist(), strict=True)):
-                    if name != group:
-                        found += close()
-                        group, hub, others = name, None, []
-                    x = token[first[i] : first[i + 1]]
-                    if role:
-                        others.append((key, x))
-                    else:
-                        hub = (within, key, x)
+                first, h, level = ordered(part)
+                rows = zip(zip(*(part.column(c).to_pylist() for c in names), strict=True), *(part.column(c).to_pylist() for c in ("side", "within", "key")), strict=True)
+                for i, (own, side_, within, key) in enumerate(rows):
+                    if own != name:
+                        found += joined(group) if len(group) > 1 else []
+                        name, group = own, []
+                    group.append((side_, within, key, h[first[i] : first[i + 1]], level[first[i] : first[i + 1]]))
                 yield batch_of(found)
-        yield batch_of(close())
+        yield batch_of(joined(group) if len(group) > 1 else [])
 
     links = full.mapInArrow(verify, "within string, a long, b long, similarity double")
-    return links.groupBy("within", "a", "b").agg(F.max("similarity").alias("similarity")).where("a < b")
+    return links.groupBy("within", "a", "b").agg(F.max("similarity").alias("similarity"))
 
 
 def expanded(found: NearDuplicates) -> DataFrame:

@@ -3,9 +3,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm.neardup import SetTree, _from_planes, _planes, classes_with_links, expanded, near_duplicates
+from quillstone.llm.neardup import Sets, _from_planes, _planes, classes_with_links, expanded, near_duplicates, tree_join
 from quillstone.llm.words import Words
 
 
@@ -40,19 +41,27 @@ def test_planes():
     assert (_from_planes(_planes(x, 6), 6) == x).all()
 
 
-def test_tree_against_brute_force():
+@pytest.mark.parametrize("cells", [1 << 26, 700])
+def test_tree_against_brute_force(cells):
     rng = np.random.default_rng(3)
-    base = [np.unique(rng.integers(0, 60, rng.integers(0, 40))).astype(np.uint64) for _ in range(40)]
-    sets = base + [np.setdiff1d(x, x[:2]) for x in base] + [np.union1d(x, [500]).astype(np.uint64) for x in base]
-    tree = SetTree(sets)
-    for probe in sets:
-        for t in (0.3, 0.6, 1.0):
-            want = set()
-            for i, s in enumerate(sets):
-                both = len(np.intersect1d(probe, s))
-                if len(s) and both / (len(probe) + len(s) - both) >= t:
-                    want.add(i)
-            assert {i for i, _ in tree.similar(probe, t)} == want
+    base = [np.unique(rng.integers(0, 60, rng.integers(0, 40))) for _ in range(40)]
+    sets = base + [np.setdiff1d(x, x[:2]) for x in base] + [np.union1d(x, [70]) for x in base] + base[:5]
+    own = rng.integers(0, 3, len(sets))  # members that are left out
+
+    def made(at):
+        return Sets(np.concatenate([sets[i] for i in at] or [np.zeros(0, int)]), np.concatenate([[0], np.cumsum([len(sets[i]) for i in at])]).astype(int), np.array([len(sets[i]) + own[i] for i in at], int))
+
+    probes = list(range(0, len(sets), 2))
+    for t in (0.3, 0.6, 1.0):
+        want = set()
+        for i in probes:
+            for j in range(len(sets)):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if both and both >= t * (len(sets[i]) + own[i] + len(sets[j]) + own[j] - both) - 1e-9:
+                    want.add((i, j))
+        got = [(probes[p], q) for ps, qs, _ in tree_join(made(range(len(sets))), made(probes), t, cells) for p, q in zip(ps.tolist(), qs.tolist(), strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert list(tree_join(made([]), made(probes), 0.5)) == [] and list(tree_join(made(probes), made([]), 0.5)) == []
 
 
 def brute(rows, k, t, least):
@@ -107,6 +116,7 @@ def test_frequent_shingles_are_dealt_out(spark, monkeypatch):
     import quillstone.llm.neardup as m
 
     monkeypatch.setattr(m, "_HOT", 5)
+    monkeypatch.setattr(m, "_TOGETHER", 3)
     rows = texts(6)
     df = spark.createDataFrame(rows, "field string, id long, body string")
     found = near_duplicates(df, "id", "body", within="field", k=3, similarity=0.6, least_words=12)
