@@ -193,12 +193,20 @@ def p8_subjects(spark: SparkSession, d: str) -> DataFrame:
     return assign_subjects(_read(spark, d, "documents"), _read(spark, d, "subject_labels"), _read(spark, d, "subject_areas"))
 
 
+def p8_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """The clusters that documents are put into: mixtures of subjects and discriminative terms."""
+    from quillstone.llm.subjects import describe_leaves, fit_subjects
+
+    model = fit_subjects(_read(spark, d, "documents"), _read(spark, d, "subject_labels"), _read(spark, d, "subject_areas"))
+    return describe_leaves(model, spark)
+
+
 def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     """The corpus by subject: documents, their sentences and the mean share."""
     return p8_subjects(spark, d).groupBy("subject_id").agg(F.count("*").alias("documents"), F.sum("sentences").alias("sentences"), F.round(F.avg("share"), 6).alias("mean_share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_neighbours, p2_exact, p3_found, p3_values, p3_candidates, p3_unmatched, p4_found, p4_clusters, p4_average, p5_found, p5_pieces, p6_found, p6_spans, p7_found, p7_mix, p7_shares, p7_targets, p8_found, p8_subjects, p8_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_neighbours, p2_exact, p3_found, p3_values, p3_candidates, p3_unmatched, p4_found, p4_clusters, p4_average, p5_found, p5_pieces, p6_found, p6_spans, p7_found, p7_mix, p7_shares, p7_targets, p8_found, p8_subjects, p8_leaves, p8_composition)}
 
 ORACLES: dict[str, str] = {}
 

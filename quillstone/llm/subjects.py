@@ -1,29 +1,35 @@
 """The subject areas of each document.
 
-Method: the sentences of hand-labelled documents become normalised vectors over discriminative terms (words and pairs
-of words), which are found from the labels; wrong labels and documents of several subjects are evened out by
-re-estimating each sentence's subject from its terms. Bisecting k-means divides the vectors; each leaf is labelled by
-its discriminative terms and carries the mixture of subjects of its sentences. A document's sentences are then
-assigned by leaf mixtures, and the document gets every subject of a large enough part of its subject-bearing
-sentences.
-
-The model is fitted on at most ``most_labelled`` labelled documents; it is a table of bounded size. All documents are
-assigned where they are read, whole, without a shuffle.
+Method: bisecting k-means over document vectors. The terms (words and pairs of words) that tell subjects apart are found
+from hand-labelled documents; wrong labels and documents of several subjects are evened out by re-estimating each
+sentence's subject from its terms. Each labelled document becomes a normalised vector over these terms, and bisecting
+k-means divides the vectors into leaves; a leaf has the mixture of subjects of its documents and is labelled by its
+discriminative terms. Every document of the corpus is put into the leaf whose centre its own vector is nearest to, and
+its subjects come from the leaf's mixture: it weighs what the terms of each of its sentences say. The document gets
+every subject of a large enough part of its subject-bearing sentences, as mixtures of whole leaves can't tell how large
+a part a subject has in one document.
+
+The model is fitted on at most ``most_labelled`` labelled documents and ``most_bytes`` of their texts, in one task that
+writes it to the shared folder. All documents are assigned where they are read, whole, without a shuffle.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.llm.words import _grow, _tables, mix, slices, utf8
+from quillstone.session import shared_path
 
 #: Plain letters for U+00C0 to U+00FF, in order; a blank keeps the letter out of words. Fixed values.
 _LATIN = "aaaaaa ceeeeiiiidnooooo ouuuuy  aaaaaa ceeeeiiiidnooooo ouuuuy y"
@@ -54,9 +60,22 @@ class Sentences:
     that are headings and the like and have no words here."""
 
     def __init__(self, texts: pa.Array):
-        buf, offsets = _fold(*utf8(texts))
+        buf, offsets = utf8(texts)
+        if (buf >= 0xC4).any():  # capitals of other scripts
+            buf, offsets = utf8(pa.compute.utf8_lower((texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts).cast(pa.large_string())))
+        buf, offsets = _fold(buf, offsets)
         n = len(buf)
         code = np.where((buf >= 97) & (buf <= 122), buf - 96, 0).astype(np.uint8)
+        high = np.flatnonzero(buf >= 0x80)
+        if len(high):  # letters of other scripts are in words as they are; signs between words aren't
+            code[high] = buf[high]
+            lead = buf[high]
+            for first, second, size in ((0xC2, None, 2), (0xE2, None, 3), (0xE3, 0x80, 3), (0xEF, 0xBC, 3)):
+                at = high[lead == first]
+                at = at[at + size <= n]
+                at = at if second is None else at[buf[at + 1] == second]
+                for j in range(size):
+                    code[at + j] = 0
         after = np.full(n, 10, np.uint8)
         after[:-1] = buf[1:]
         last = offsets[1:][offsets[1:] > offsets[:-1]] - 1
@@ -113,14 +132,21 @@ class Sentences:
 
 @dataclass(frozen=True)
 class SubjectModel:
-    """``terms``: sorted hashes; ``weights``: for each term, its leaves' mixtures of subjects."""
+    """``terms``: sorted hashes; ``weights``: what each says of each subject; ``idf``: its weight in document vectors;
+    ``centers``: the leaves' centres, one column each; ``mixtures``: their subjects; ``sizes`` and ``labels``: how many
+    documents they were made of, and their discriminative terms."""
 
     subjects: tuple[str, ...]
     terms: np.ndarray
     weights: np.ndarray
-
-    def of_sentences(self, sentences: Sentences) -> tuple[np.ndarray, np.ndarray]:
-        """Sentences that bear a subject, and which one."""
+    idf: np.ndarray
+    centers: np.ndarray
+    mixtures: np.ndarray
+    sizes: np.ndarray
+    labels: tuple[str, ...]
+
+    def hits(self, sentences: Sentences) -> tuple[np.ndarray, np.ndarray]:
+        """The model's terms in sentences: number of the term, and sentence."""
         if not len(self.terms) or not len(sentences.hash):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         sieve = np.zeros(1 << 16, bool)
@@ -130,11 +156,64 @@ class SubjectModel:
         term, sentence = term[near], sentence[near]
         at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
         hit = self.terms[at] == term
-        at, sentence = at[hit], sentence[hit]
+        return at[hit], sentence[hit]
+
+    def leaves(self, texts: int, term: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Leaf of each text by its vector over the terms, -1 without a term."""
+        leaf = np.full(texts, -1, np.int64)
+        key, count = np.unique(text * np.int64(len(self.terms) + 1) + term, return_counts=True)
+        if len(key):
+            text, term = key // (len(self.terms) + 1), key % (len(self.terms) + 1)
+            value = (count * self.idf[term]).astype(np.float32)  # its length doesn't change which centre is nearest
+            heads = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+            score = np.concatenate([np.add.reduceat(self.centers[term[a:b]].astype(np.float32) * value[a:b, None], np.flatnonzero(np.concatenate([[True], text[a + 1 : b] != text[a : b - 1]])), 0) for a, b in _runs(heads, len(text))])
+            leaf[text[heads]] = score.argmax(1)
+        return leaf
+
+    def of_sentences(self, sentences: Sentences, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sentences that bear a subject, which one, and the leaf of each text."""
+        at, sentence = self.hits(sentences)
+        if not len(at):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.full(texts, -1, np.int64)
+        leaf = self.leaves(texts, at, sentences.text[sentence])
         n = len(sentences.used)
-        score = np.stack([np.bincount(sentence, weights=w, minlength=n) for w in self.weights[at].T], 1) if len(at) else np.zeros((n, len(self.subjects)))
+        score = np.stack([np.bincount(sentence, weights=w, minlength=n) for w in self.weights[at].T], 1)
         bears = np.flatnonzero(score.max(1) > 1e-9)
-        return bears, score[bears].argmax(1)
+        mixture = self.mixtures[leaf[sentences.text[bears]]]
+        return bears, (score[bears] * (0.25 + 0.75 * mixture / mixture.max(1, keepdims=True))).argmax(1), leaf
+
+    def write(self, uri: str) -> None:
+        fs, path = pafs.FileSystem.from_uri(uri)
+        fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        table = {f: getattr(self, f) for f in ("terms", "weights", "idf", "centers", "mixtures", "sizes")}
+        packed = io.BytesIO()
+        np.savez(packed, labels=np.array(self.labels, dtype=str), subjects=np.array(self.subjects, dtype=str), **table)
+        with fs.open_output_stream(f"{path}.part") as out:
+            out.write(packed.getvalue())
+        fs.move(f"{path}.part", path)
+
+
+def _runs(heads: np.ndarray, n: int, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Whole texts of about ``most`` terms together."""
+    a = 0
+    while a < n:
+        at = int(np.searchsorted(heads, a + most))
+        b = int(heads[at]) if at < len(heads) else n
+        yield a, b
+        a = b
+
+
+def empty_model(subjects: tuple[str, ...]) -> SubjectModel:
+    k = len(subjects)
+    return SubjectModel(subjects, np.zeros(0, np.uint64), np.zeros((0, k)), np.zeros(0), np.zeros((0, 1), np.float16), np.zeros((1, k)), np.zeros(1, np.int64), ("",))
+
+
+@lru_cache(maxsize=2)
+def read_model(uri: str) -> SubjectModel:
+    fs, path = pafs.FileSystem.from_uri(uri)
+    with fs.open_input_file(path) as f:
+        got = np.load(io.BytesIO(f.read()))
+    return SubjectModel(tuple(got["subjects"].tolist()), *(got[k] for k in ("terms", "weights", "idf", "centers", "mixtures", "sizes")), tuple(got["labels"].tolist()))
 
 
 def _purity(counts: np.ndarray, prior: np.ndarray, strength: float) -> np.ndarray:
@@ -195,9 +274,9 @@ def bisecting_kmeans(term: np.ndarray, row: np.ndarray, value: np.ndarray, rows:
     return leaf
 
 
-def fit(texts: pa.Array, labels: np.ndarray, subjects: tuple[str, ...], leaves: int = 256, most_terms: int = 60_000, rounds: int = 8) -> SubjectModel:
+def fit(texts: pa.Array, labels: np.ndarray, subjects: tuple[str, ...], leaves: int = 64, rounds: int = 8) -> SubjectModel:
     """A model from labelled texts. ``labels``: one row each with a 1 for each of its subjects."""
-    empty = SubjectModel(subjects, np.zeros(0, np.uint64), np.zeros((0, len(subjects))))
+    empty = empty_model(subjects)
     sentences = Sentences(texts)
     hashes, sentence = sentences.terms()
     if not len(hashes):
@@ -261,41 +340,69 @@ def fit(texts: pa.Array, labels: np.ndarray, subjects: tuple[str, ...], leaves:
     np.maximum.at(part, key // every, times)
     part /= np.maximum(np.bincount(word, minlength=every), 1)
     chosen &= part[original] < 0.8
-    if chosen.sum() > most_terms:
-        chosen &= total >= np.sort(total[chosen])[-most_terms]
     if not chosen.any():
         return empty
     number = np.cumsum(chosen) - 1
     keep = chosen[term]
     term, sentence = number[term[keep]], sentence[keep]
     idf = np.log(1 + n / total[chosen])
-    value = idf[term]
-    norm = np.sqrt(np.bincount(sentence, weights=value**2, minlength=n))
-    value = value / norm[sentence]
-    rows, row = np.unique(sentence, return_inverse=True)
-    row = row.ravel()
-    terms = int(chosen.sum())
-    leaf = bisecting_kmeans(term, row, value, len(rows), terms, belief[rows], leaves, 0.97)
-    count = int(leaf.max()) + 1
-    # a leaf's discriminative terms: their share of it above their share elsewhere
-    inside = np.zeros((count, terms))
-    np.add.at(inside, (leaf[row], term), value)
-    size = np.bincount(leaf, minlength=count)
-    inside /= np.maximum(inside.sum(0), 1e-12)  # how a term is spread over leaves
-    purity = pure[chosen]
-    labelled = np.stack([np.bincount(leaf[row], weights=value * purity[term, k], minlength=count) for k in range(s)], 1)
-    mixed = np.stack([np.bincount(leaf, weights=belief[rows, k], minlength=count) for k in range(s)], 1) / np.maximum(size, 1)[:, None]
-    mixture = 0.5 * mixed + 0.5 * labelled / np.maximum(labelled.sum(1, keepdims=True), 1e-12)
-    # a rare term may lie in a leaf of other subjects' terms: what it says by itself counts too
-    weights = (0.25 + 0.75 * (inside.T @ mixture)) * purity * idf[:, None]
+    terms, purity = int(chosen.sum()), pure[chosen]
+    weights = purity * idf[:, None]
     weights *= weights >= 0.2 * weights.max(1, keepdims=True)
-    return SubjectModel(subjects, vocabulary[chosen], weights)
+    # vectors of whole documents, of unit length, and the subjects of their sentences
+    key, count = np.unique(sentences.text[sentence] * np.int64(terms) + term, return_counts=True)
+    doc_, term_ = key // terms, key % terms
+    used, row = np.unique(doc_, return_inverse=True)
+    row = row.ravel()
+    value = count * idf[term_]
+    value = value / np.sqrt(np.bincount(row, weights=value**2))[row]
+    bearing = np.unique(sentence)
+    mixture = np.stack([np.bincount(np.searchsorted(used, sentences.text[bearing]), weights=belief[bearing, k], minlength=len(used)) for k in range(s)], 1)
+    mixture /= mixture.sum(1, keepdims=True)
+    leaf = bisecting_kmeans(term_, row, value, len(used), terms, mixture, leaves, 0.97)
+    parts = int(leaf.max()) + 1
+    centers = np.zeros((terms, parts))
+    cell = np.bincount(term_ * np.int64(parts) + leaf[row], weights=value, minlength=terms * parts).reshape(terms, parts)
+    centers = cell / np.maximum(np.sqrt((cell**2).sum(0)), 1e-12)
+    sizes = np.bincount(leaf, minlength=parts)
+    mixtures = np.stack([np.bincount(leaf, weights=mixture[:, k], minlength=parts) for k in range(s)], 1) / np.maximum(sizes, 1)[:, None]
+    # a leaf's labels: terms of a large share in it that are mostly met there
+    apart = centers * cell / np.maximum(cell.sum(1, keepdims=True), 1e-12)
+    texts_of = _term_texts(sentences, vocabulary[chosen])
+    labels = tuple("|".join(texts_of.get(int(t), "") for t in np.argsort(-apart[:, j], kind="stable")[:8] if apart[t, j] > 0) for j in range(parts))
+    return SubjectModel(subjects, vocabulary[chosen], weights, idf, centers.astype(np.float16), mixtures, sizes, labels)
+
+
+def _term_texts(sentences: Sentences, terms: np.ndarray) -> dict[int, str]:
+    """The words of each of the sorted terms, from where it is met first."""
+    hashes, _ = sentences.terms()
+    first, pair = len(sentences.hash), sentences.pairs()
+    found, at = np.unique(hashes, return_index=True)
+    place = at[np.searchsorted(found, terms)]
+    out = {}
+    for i, p in enumerate(place.tolist()):
+        a, b = (p, p) if p < first else (int(pair[p - first]), int(pair[p - first]) + 1)
+        out[i] = sentences.buf[sentences.start[a] : sentences.end[b]].tobytes().decode("utf-8", "replace")
+    return out
 
 
-def fit_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, doc_id: str = "doc_id", text: str = "text", subject: str = "subject_id", most_labelled: int = 20_000, most_subjects: int = 1000) -> SubjectModel:
-    """Fits on labelled documents, at most ``most_labelled`` of them, chosen by a hash of their ids.
+@dataclass(frozen=True)
+class StoredModel:
+    """A model in the shared folder; none if nothing could be learnt."""
+
+    subjects: tuple[str, ...]
+    uri: str | None
+
+    def read(self) -> SubjectModel:
+        return read_model(self.uri) if self.uri else empty_model(self.subjects)
+
 
-    Labels of unlisted subjects, of null ids, repeated ones and ones of documents without text don't count.
+def fit_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, doc_id: str = "doc_id", text: str = "text", subject: str = "subject_id", most_labelled: int = 20_000, most_bytes: int = 256 << 20, most_subjects: int = 1000, leaves: int = 64) -> StoredModel:
+    """Fits on labelled documents, in the order of a hash of their ids: at most ``most_labelled`` of them, and as many
+    as have ``most_bytes`` of text together.
+
+    Labels of unlisted subjects, of null ids, repeated ones and ones of documents without text don't count. Of rows
+    that repeat an id one text counts. ValueError beyond ``most_subjects``.
     """
     names = tuple(sorted(r[0] for r in subjects.select(subject).where(F.col(subject).isNotNull()).distinct().limit(most_subjects + 1).collect()))
     if len(names) > most_subjects:
@@ -303,54 +410,70 @@ def fit_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, doc_id
     listed = labels.select(F.col(doc_id).alias("d"), F.col(subject).alias("s")).where(F.col("s").isin(list(names)) & F.col("d").isNotNull()).distinct()
     chosen = listed.select("d").distinct().orderBy(F.xxhash64("d"), "d").limit(most_labelled)
     own = listed.join(chosen, "d", "left_semi").groupBy("d").agg(F.sort_array(F.collect_set("s")).alias("s"))
-    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("length(t) > 0").join(own, "d")
+    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("length(t) > 0").join(F.broadcast(own), "d")  # most_labelled rows
+    rows = rows.groupBy("d").agg(F.min_by("t", F.xxhash64("t")).alias("t"), F.first("s").alias("s"))
     number = {x: i for i, x in enumerate(names)}
+    uri = f"{shared_path(docs.sparkSession, 'subjects')}/model.npz"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches))
-        if not len(table):
+        kept, size = [], 0
+        for batch in batches:
+            ends = size + np.cumsum(pa.compute.binary_length(batch.column("t")).to_numpy(zero_copy_only=False).astype(np.int64))
+            fits = int(np.searchsorted(ends, most_bytes, "right"))
+            kept.append(batch.slice(0, fits))
+            if fits < len(batch):
+                break
+            size = int(ends[-1]) if len(ends) else size
+        table = pa.Table.from_batches(kept) if kept else None
+        if table is None or not len(table):
             return
-        table = table.take(pa.compute.sort_indices(table, [("d", "ascending"), ("t", "ascending")]))
         given = np.zeros((len(table), len(names)))
         for i, own_ in enumerate(table["s"].to_pylist()):
             given[i, [number[x] for x in own_]] = 1
-        model = fit(table["t"], given, names)
-        yield pa.RecordBatch.from_arrays([pa.array(model.terms.view(np.int64)), pa.array([w.astype(np.float64).tobytes() for w in model.weights], pa.binary())], names=["term", "weights"])
+        fit(table["t"], given, names, leaves).write(uri)
+        yield pa.RecordBatch.from_arrays([pa.array([len(table)], pa.int64())], names=["n"])
 
-    # a sample of bounded size in one task, then a table of bounded size
-    got = rows.repartition(1).mapInArrow(run, "term long, weights binary").collect()
-    terms = np.array([r.term for r in got], np.int64).view(np.uint64)
-    weights = np.array([np.frombuffer(r.weights) for r in got]).reshape(len(got), len(names))
-    order = np.argsort(terms)
-    return SubjectModel(names, terms[order], weights[order])
+    # a sample of bounded size in one task; a repeated task writes the same model
+    made = rows.repartition(1).sortWithinPartitions(F.xxhash64("d"), "d").mapInArrow(run, "n long").collect()
+    return StoredModel(names, uri if made else None)
 
 
-def subject_shares(docs: DataFrame, model: SubjectModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, subject_id, sentences, share)`` of every subject of each row: sentences that deal with it, and their
-    share of the row's subject-bearing sentences. Null and empty texts, and texts without such sentences, have no
-    row; rows that repeat an id are counted each by itself. Other columns are not read, whatever their names."""
+def subject_shares(docs: DataFrame, model: StoredModel, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(doc_id, subject_id, sentences, share, leaf)`` of every subject of each row: sentences that deal with it, their
+    share of the row's subject-bearing sentences, and the row's leaf. Null and empty texts, and texts without such
+    sentences, have no row; rows that repeat an id are counted each by itself. Other columns are not read, whatever
+    their names."""
     rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("length(t) > 0")
-    schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField("subject_id", T.StringType()), T.StructField("sentences", T.LongType()), T.StructField("share", T.DoubleType())])
-    names = pa.array(model.subjects or ("",), pa.string())
+    schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField("subject_id", T.StringType()), T.StructField("sentences", T.LongType()), T.StructField("share", T.DoubleType()), T.StructField("leaf", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use = None
         for batch in batches:
+            use = use or model.read()
+            names = pa.array(use.subjects or ("",), pa.string())
             for part in slices(batch, "t"):
                 sentences = Sentences(part.column("t"))
-                bears, subject = model.of_sentences(sentences)
+                bears, subject, leaf = use.of_sentences(sentences, len(part))
                 if not len(bears):
                     continue
-                counts = np.zeros((len(part), len(model.subjects)), np.int64)
+                counts = np.zeros((len(part), len(use.subjects)), np.int64)
                 np.add.at(counts, (sentences.text[bears], subject), 1)
                 row, s = np.nonzero(counts)
                 share = counts[row, s] / counts.sum(1)[row]
-                yield pa.RecordBatch.from_arrays([part.column("d").take(pa.array(row)), names.take(pa.array(s)), pa.array(counts[row, s]), pa.array(share)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column("d").take(pa.array(row)), names.take(pa.array(s)), pa.array(counts[row, s]), pa.array(share), pa.array(leaf[row].astype(np.int32))], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
 def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame, doc_id: str = "doc_id", text: str = "text", subject: str = "subject_id", least_share: float = 0.25, **fitting: int) -> DataFrame:
-    """``(doc_id, subject_id, sentences, share)`` of the subjects that at least ``least_share`` of each row's
+    """``(doc_id, subject_id, sentences, share, leaf)`` of the subjects that at least ``least_share`` of each row's
     subject-bearing sentences deal with."""
     model = fit_subjects(docs, labels, subjects, doc_id, text, subject, **fitting)
     return subject_shares(docs, model, doc_id, text).where(F.col("share") >= least_share)
+
+
+def describe_leaves(model: StoredModel, spark: SparkSession) -> DataFrame:
+    """``(leaf, documents, subject_id, share, terms)``: the leaves' mixtures, each with its discriminative terms."""
+    m = model.read()
+    rows = [(j, int(m.sizes[j]), s, float(m.mixtures[j, k]), m.labels[j]) for j in range(len(m.sizes)) for k, s in enumerate(m.subjects) if m.mixtures[j, k] > 0]
+    return spark.createDataFrame(rows, "leaf int, documents long, subject_id string, share double, terms string")  # leaves x subjects

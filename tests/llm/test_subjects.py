@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillstone.llm.subjects import Sentences, assign_subjects, bisecting_kmeans, fit_subjects, subject_shares
+from quillstone.llm.subjects import Sentences, assign_subjects, bisecting_kmeans, describe_leaves, fit_subjects, subject_shares
 
 NOUNS = {s: [f"{s}{a} {s}{b}" for a, b in zip("abcdefgh", "ijklmnop", strict=True)] for s in ("fire", "water", "earth")}
 FRAMES = ["The {} shall check the {} at {} Hall.", "Before work begins, the {} must see that the {} is listed.", "Each {} of {} follows plan 7.2 in {}!", "Does the {} keep the {} near {}?"]
@@ -38,11 +38,11 @@ def tables(spark, docs, labels):
 
 
 def test_sentences():
-    texts = ["A cát. Heading\nB dog! | x | y?\nno stop", None, "", "é.", "one 1.5 two. three", "same", "word."]
+    texts = ["A cát. Heading\nB dog! | x | y?\nno stop", None, "", "é.", "one 1.5 two. three", "same", "word.", "Закон\u2014Суд спорт."]
     s = Sentences(pa.array(texts))
     words = [s.buf[a:b].tobytes().decode() for a, b in zip(s.start, s.end, strict=True)]
-    assert words == ["a", "cat", "b", "dog", "y", "e", "one", "two", "word"]
-    assert s.text.tolist() == [0, 0, 0, 3, 4, 6] and s.sentence.tolist() == [0, 0, 1, 1, 2, 3, 4, 4, 5]
+    assert words == ["a", "cat", "b", "dog", "y", "e", "one", "two", "word", "закон", "суд", "спорт"]
+    assert s.text.tolist() == [0, 0, 0, 3, 4, 6, 7] and s.sentence.tolist() == [0, 0, 1, 1, 2, 3, 4, 4, 5, 6, 6, 6]
 
 
 def test_kmeans_separates():
@@ -66,6 +66,30 @@ def test_held_out_documents(spark):
     assert right >= 190
 
 
+def test_leaves(spark):
+    docs, labels, truth = corpus()
+    d, l, a = tables(spark, docs, labels)
+    model = fit_subjects(d, l, a, leaves=12)
+    m = model.read()
+    assert len(m.sizes) <= 12 and m.sizes.sum() <= len({i for i, _ in labels}) and np.allclose(m.mixtures.sum(1), 1)
+    rows = subject_shares(d, model).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id, set()).add(r.leaf)
+    assert all(len(x) == 1 for x in by.values()) and len(set.union(*by.values())) > 3
+    # nearly every document's leaf has its subjects in its mixture
+    lacking = sum(m.mixtures[min(leaf), m.subjects.index(s)] <= 0.05 for i, leaf in by.items() for s in truth[i])
+    assert lacking <= 0.1 * sum(len(truth[i]) for i in by)
+    shown = describe_leaves(model, spark).collect()
+    nouns = {w for n in NOUNS.values() for x in n for w in x.split()}
+    assert all(set(w.split()) & nouns for r in shown for w in r.terms.split("|") if r.documents > 5)
+    # the sample is bounded by documents and by bytes, and nothing that was fitted before changes the result
+    few = fit_subjects(d, l, a, most_labelled=40).read()
+    small = fit_subjects(d, l, a, most_bytes=20_000).read()
+    assert few.sizes.sum() <= 40 and 0 < small.sizes.sum() < m.sizes.sum()
+    assert fit_subjects(d, l, a, most_bytes=10).uri is None
+
+
 def test_no_labels_and_empty_tables(spark):
     docs, labels, _ = corpus(20)
     d, l, a = tables(spark, docs, labels)
