@@ -21,6 +21,46 @@ def test_nothing_else_imports_the_training_data_part():
             assert not any(n.startswith("quillstone.llm") for n in names), path
 
 
+def test_a_missing_requirement_is_not_hidden(monkeypatch):
+    import importlib
+
+    import pytest
+
+    def missing(name):
+        def load(module):
+            if module.endswith("llm.queries"):
+                raise ModuleNotFoundError(f"No module named {name!r}", name=name)
+            return real(module)
+
+        return load
+
+    real = importlib.import_module
+    monkeypatch.setattr(entry.importlib, "import_module", missing("quillstone." + "llm"))
+    assert set(entry.queries()) == set(real("quillstone.plans.queries").QUERIES)
+    monkeypatch.setattr(entry.importlib, "import_module", missing("numpy"))
+    with pytest.raises(ModuleNotFoundError):
+        entry.queries()
+
+
+def test_no_shared_folder_on_a_cluster():
+    import pytest
+
+    from quillstone import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Fake:
+        sparkContext = Context()
+        conf = type("Conf", (), {"get": staticmethod(lambda k, d: d)})
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Fake())
+
+
 def test_flagship(spark):
     if not pathlib.Path("/root/testdata/sf0.001").exists():
         return

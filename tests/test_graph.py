@@ -97,10 +97,11 @@ def test_against_plain_models(spark, engine, name):
     hops = dijkstra([(a, b, 1) for a, b, _ in edges], n, 0) if n else {}
     assert {r.id: r.dist for r in graph.bfs(e, v, 0, engine).collect()} == hops
     level = peel(edges, n)
-    order = graph.topological_sort(e, v, engine).orderBy("pos").collect()
+    sorted_ = materialize(graph.topological_sort(e, v, engine))
+    order = sorted_.orderBy("pos").collect()
     assert {r.id: r.level for r in order} == level and [r.id for r in order] == sorted(level, key=lambda i: (level[i], i))
     assert [r.pos for r in order] == list(range(len(order)))
-    check = graph.cycle_check(graph.topological_sort(e, v, engine), v).first()
+    check = graph.cycle_check(sorted_, v).first()
     assert check.has_cycle == (len(level) < n) and check.levels == max(level.values(), default=-1) + 1
     ranks = {r.id: r["rank"] for r in graph.pagerank(e, v, tol=1e-9, engine=engine).collect()}
     want = power(edges, n) if n else []
@@ -150,6 +151,10 @@ def test_the_rest(spark):
     assert (s.edges, s.targets) == (3, 2) and s.total_weight == pytest.approx(0.6) and s.targets_pct == pytest.approx(200 / 3)
     assert [r.similarity for r in graph.top_links(forest, 1).collect()] == pytest.approx([0.9])
     assert [r.id for r in graph.strongest_paths(graph.sssp(e, v, 0), v).collect()] == [4, 3]
+    assert [tuple(r) for r in graph.top_ranked(graph.pagerank(e, v), 2).select("place", "id").collect()] == [(1, 4), (2, 3)]
+    r = graph.bfs_coverage(graph.bfs(e, v, 0), v).first()
+    assert (r.covered, r.targets) == (2, 3) and r.coverage_pct == pytest.approx(200 / 3)
+    assert sorted((r.src, r.dst) for r in graph.undirected(e).collect()) == sorted([(a, b) for a, b, _ in edges] + [(b, a) for a, b, _ in edges])
     c = graph.apsp_coverage(graph.apsp(e, v), v).first()
     assert (c.pairs, c.reachable, c.gaps) == (9, 3, 6)
     with pytest.raises(ValueError):
