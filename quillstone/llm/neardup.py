@@ -143,10 +143,10 @@ def near_duplicates(df: DataFrame, key: str, text: str, within: str | None = Non
     total = members.where("key = rep").agg(F.sum("n_words")).first()[0] or 0
     buckets = max(spark.sparkContext.defaultParallelism * 2, -(-int(total) // _BUCKET))
     chosen = members.where("key = rep").select("within", "key").distinct()
-    reps_rows = rows.join(chosen, ["within", "key"]).withColumn("salt", F.xxhash64("within"))
-    # equal rows side by side, so that a repeated one can be dropped on the way; always in the same order, as a task's
-    # chunks are named by their places
-    ordered = reps_rows.repartition(buckets, "within", "key").sortWithinPartitions("within", "key", F.xxhash64("text"))
+    # texts move once: both sides of the join are parted alike, and stay so. Equal rows are then side by side, so that a
+    # repeated one can be dropped on the way; always in the same order, as a task's chunks are named by their places
+    reps_rows = rows.repartition(buckets, "within", "key").join(chosen.repartition(buckets, "within", "key"), ["within", "key"])
+    ordered = reps_rows.withColumn("salt", F.xxhash64("within")).sortWithinPartitions("within", "key", F.xxhash64("text"))
     folder = shared_path(spark, "chunks")
 
     counted = _count(ordered, folder, buckets, k, least_words)
@@ -427,16 +427,27 @@ def _verified(candidates: DataFrame, folder: str, k: int, similarity: float) ->
     side = F.when(F.col("group.x") == F.col("group.y"), 2).when(F.col("e.p") == F.col("group.x"), 0).otherwise(1)
     asked = met.select(F.col("group.x.root").alias("g1"), F.col("group.x.part").alias("g2"), F.col("group.y.root").alias("g3"), F.col("group.y.part").alias("g4"), side.alias("side"), F.col("e.text").alias("text")).distinct()
     names = ["g1", "g2", "g3", "g4"]
-    wanted = place.select("text", F.shiftright("text", _ROWS).alias("chunk"))
 
-    def fetch(table: pa.Table) -> pa.Table:
-        name, at = table["chunk"][0].as_py(), pa.array(table["text"].to_numpy() & ((1 << _ROWS) - 1))
-        own, levels = _read_chunk(folder, name).take(at), _read_chunk(folder, name, ".sketch").select(["levels"]).take(at)
-        return pa.table({"text": table["text"], "within": own["within"], "key": own["key"], "salt": own["salt"], "body": own["text"], "levels": levels["levels"]})
-
-    texts = wanted.groupBy("chunk").applyInArrow(fetch, "text long, within string, key long, salt long, body string, levels binary")
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, rows = None, None
+        for batch in batches:
+            chunk = batch.column("chunk").to_numpy()
+            heads = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])) if len(chunk) else []
+            for a, b in zip(heads, [*heads[1:], len(chunk)], strict=True):
+                if chunk[a] != open_:
+                    open_ = chunk[a]
+                    rows = _read_chunk(folder, int(open_)).append_column("levels", _read_chunk(folder, int(open_), ".sketch")["levels"]).combine_chunks()
+                for c in range(a, b, 4096):  # a text comes once for each group it was asked for
+                    part = batch.slice(c, min(4096, b - c))
+                    own = rows.take(pa.array(part.column("text").to_numpy() & ((1 << _ROWS) - 1)))
+                    columns = [part.column(x) for x in (*names, "side", "text")] + [own[x].combine_chunks() for x in ("within", "key", "salt", "text", "levels")]
+                    made = pa.RecordBatch.from_arrays(columns, names=[*names, "side", "text", "within", "key", "salt", "body", "levels"])
+                    yield from slices(made, "body")
+
+    wanted = asked.withColumn("chunk", F.shiftright("text", _ROWS)).repartition("chunk").sortWithinPartitions("chunk", "text")
+    full = wanted.mapInArrow(fetch, ", ".join(f"{x} long" for x in names) + ", side int, text long, within string, key long, salt long, body string, levels binary")
     tasks = max(candidates.sparkSession.sparkContext.defaultParallelism * 2, -(-candidates.count() // 20_000))
-    full = asked.join(texts, "text").repartition(tasks, *names).sortWithinPartitions(*names, "side", "text")
+    full = full.repartition(tasks, *names).sortWithinPartitions(*names, "side", "text")
 
     def ordered(part: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Offsets of each text's set, and its members with their levels, by token."""
