@@ -104,6 +104,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _groups(spark, d).select("cluster_key", F.col("id").alias("global_idx"))
 
 
+def p4_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The groups of usable rows alone, without those placed by heading."""
+    from quillstone.llm.clusters import similarity_groups
+
+    found = similarity_groups(_read(spark, d, "sections"), "global_idx", "embedding", None, DIM, threshold=0.85)
+    return found.select("cluster_key", F.col("id").alias("global_idx"))
+
+
 def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
     from quillstone.llm.clusters import describe_groups
     from quillstone.session import materialize
@@ -206,7 +214,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
     return p8_subjects(spark, d).groupBy("subject_id").agg(F.count("*").alias("documents"), F.sum("sentences").alias("sentences"), F.round(F.avg("share"), 6).alias("mean_share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_neighbours, p2_exact, p3_found, p3_values, p3_candidates, p3_unmatched, p4_found, p4_clusters, p4_average, p5_found, p5_pieces, p6_found, p6_spans, p7_found, p7_mix, p7_shares, p7_targets, p8_found, p8_subjects, p8_leaves, p8_composition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_neighbours, p2_exact, p3_found, p3_values, p3_candidates, p3_unmatched, p4_found, p4_clusters, p4_vectors, p4_average, p5_found, p5_pieces, p6_found, p6_spans, p7_found, p7_mix, p7_shares, p7_targets, p8_found, p8_subjects, p8_leaves, p8_composition)}
 
 ORACLES: dict[str, str] = {}
 
@@ -246,6 +254,27 @@ runs as (select doc_id, n, array_to_string(w[i:i + n - 1], ' ') as p from (selec
 select distinct doc_id, item_id from runs join phrases using (n, p)
 """
 
+ORACLES["p1_classes"] = f"""
+with texts as (
+  select 'text' as field, section_key as key, {_WORDS.format("text")} as w from (select distinct section_key, text from parsed_sections where text is not null)
+  union all select 'text_preview', cast(global_idx as bigint), {_WORDS.format("text_preview")} from (select distinct global_idx, text_preview from sections where text_preview is not null)),
+members as (select field, key, w, min(key) over (partition by field, array_to_string(w, ' ')) as class_id from texts where len(w) >= 5),
+sets as (select distinct field, key, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] as s from (select field, key, w, unnest(range(1, len(w) - 3)) as i from members where key = class_id)),
+sizes as (select field, key, count(*) as n from sets group by field, key),
+met as (select a.field, a.key as a, b.key as b, count(*) as k from sets a join sets b on a.field = b.field and a.s = b.s and a.key < b.key group by all),
+linked as (select m.field, a, b from met m join sizes x on x.field = m.field and x.key = a join sizes y on y.field = m.field and y.key = b where k >= 0.8 * (x.n + y.n - k) - 1e-9),
+degrees as (select field, x, count(*) as links from (select field, a as x from linked union all select field, b from linked) group by field, x)
+select m.field, key, class_id, coalesce(links, 0) as links from members m left join degrees d on d.field = m.field and d.x = m.class_id
+"""
+
+ORACLES["p4_vectors"] = """
+with recursive u as materialized (select distinct cast(global_idx as bigint) as id, embedding::double[] as e from sections where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as materialized (select a.id as a, b.id as b from u a join u b on list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.85),
+r(id, root) as (select id, id from u union select l.b, r.root from r join l on l.a = r.id where r.root <= l.b),
+c as (select id, min(root) as cluster_key from r group by id)
+select cluster_key, id as global_idx from c where cluster_key in (select cluster_key from c group by 1 having count(*) >= 3)
+"""
+
 ORACLES["p6_spans"] = f"""
 with items as (select item_id, {_WORDS.format("text")} as w from eval_items where text is not null),
 phrases as (
