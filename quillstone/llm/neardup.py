@@ -217,7 +217,7 @@ def _count(ordered: DataFrame, folder: str, buckets: int, k: int, least_words: i
         return pa.table({"chunk": table["chunk"], "bucket": table["bucket"], "level": pa.array([level[e - len(t) : e].tobytes() for e, t in zip(ends, tokens, strict=True)], pa.binary())})
 
     sent = ordered.mapInArrow(chunks, "chunk long, bucket int, tokens binary, counts binary")
-    return sent.groupBy("bucket").applyInArrow(add, "chunk long, bucket int, level binary")
+    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(add, "chunk long, bucket int, level binary")
 
 
 def _bits(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -342,7 +342,8 @@ def _candidates(levels: DataFrame, folder: str, buckets: int, k: int, similarity
 
     fields = ", ".join(f"{c} binary" for c in widths)
     sent = levels.groupBy("chunk").applyInArrow(prefixes, f"chunk long, bucket int, {fields}")
-    return sent.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    # a bucket has about _BUCKET shingles however many there are; as many partitions keep buckets apart
+    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
 class Sets:
