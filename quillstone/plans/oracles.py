@@ -103,6 +103,39 @@ select cast(row_number() over (order by level, id) - 1 as integer) as pos, kind,
     "apsp_coverage": _c("select m * n as pairs, (select count(*) from edges) as reachable, m * n - (select count(*) from edges) as gaps, round(100.0 * (select count(*) from edges) / (m * n), 6) as reachable_pct from sizes"),
 }
 
+# the file's parts in order, each with the order of its lines
+_NODE = """'    "{0}-' || {1} || '" [label="' || left(stem, 20) || '\\n' || left('SEC-' || vec_id, 22) || '" shape={2} style=filled fillcolor={3}];'"""
+
+
+def _fixed(part: int, *lines: str) -> str:
+    return " union all ".join(f"select {part} as part, {i} as a, 0 as b, {repr(x) if chr(39) not in x else x} as line" for i, x in enumerate(lines))
+
+
+ORACLES["dot_file"] = _c(
+    f""", lines as (
+{_fixed(0, 'digraph coverage {', '  graph [rankdir=LR fontname="Helvetica" label="Similar sections" labelloc=t fontsize=14];', '  node [fontname="Helvetica" fontsize=10];', '  edge [fontname="Helvetica" fontsize=8];', '')}
+union all {_fixed(1, '  subgraph cluster_source {', '    label="Source Corpus"; style=filled; color=lightblue;')}
+union all select 2, reg_idx, 0, {_NODE.format('SRC', 'reg_idx', 'box', 'lightblue')} from regs
+union all {_fixed(3, '  }', '', '  subgraph cluster_target {', '    label="Target Corpus"; style=filled; color=lightgreen;')}
+union all select 4, proc_idx, 0, {_NODE.format('TGT', 'proc_idx', 'ellipse', 'lightgreen')} from procs
+union all {_fixed(5, '  }', '')}
+union all select 6, reg_idx, k, '  "SRC-' || reg_idx || '" -> "TGT-' || proc_idx || '" [label="' || printf('%.3f', sim) || '" color="' || case when sim >= 0.9 then '#006400' when sim >= 0.8 then '#228B22' else '#FF8C00' end || '" penwidth="' || printf('%.1f', 1 + (sim - 0.30) * 4) || '"];' from (select *, row_number() over (partition by reg_idx order by sim desc, proc_idx desc) as k from pairs where sim >= 0.30) where k <= 3
+union all {_fixed(7, '}')})
+select row_number() over (order by part, a, b) as n, line from lines"""
+)
+# stored under one stem each, so the order is that of the corpora; the document's id still is the stem it had
+_GAPPED = "select reg_idx, '[NO MATCH]  ' || reg_label as l1, repeat(' ', 11) || case when sim >= 0.01 then printf('nearest: %s (%.4f)', proc_label, sim) else 'nothing like it' end as l2 from x where sim < 0.35"
+ORACLES["report_file"] = _c(
+    f""", x as {_NAMED},
+cov as (select -2 as a, 0 as b, 'Best matches at threshold 0.35' as line union all select -1, 0, m || ' source sections, ' || n || ' target sections' from sizes
+  union all select reg_idx, 0, rpad(left(reg_label, 38), 38, ' ') || '  ' || rpad(case when sim >= 0.01 then left(proc_label, 38) else '—' end, 38, ' ') || '  ' || case when sim >= 0.01 then printf('%7.4f', sim) else '   —   ' end || '  ' || case when sim >= 0.35 then 'COVERED' when sim >= 0.5 then 'PARTIAL' else 'GAP' end from x
+  union all select 1000000000, 0, printf('Covered %d, partial 0, gap %d; coverage %.1f %%', count(*) filter (sim >= 0.35), count(*) filter (sim < 0.35), 100.0 * count(*) filter (sim >= 0.35) / count(*)) from x),
+gap as (select -2 as a, 0 as b, 'Gaps at threshold 0.35' as line union all select -1, 0, count(*) filter (sim < 0.35) || ' of ' || count(*) || ' source sections lack a match' from x
+  union all select reg_idx, 0, l1 from ({_GAPPED}) union all select reg_idx, 1, l2 from ({_GAPPED})
+  union all select 1000000000, 0, count(*) filter (sim < 0.35) || ' below 0.5, 0 between' from x)
+select 'coverage' as kind, row_number() over (order by a, b) as n, line from cov union all select 'gaps', row_number() over (order by a, b), line from gap"""
+)
+
 _PAGERANK = """, deg as (select src, count(*) as k from g group by src), c as (select count(*) as n from v),
 w as materialized (select g.src, g.dst, 0.85 / k as f from g join deg using (src)),
 r(it, id, rank) as (select 0, id, 0.15::double / n from v, c union all select it + 1, id, sum(x) from (select r.it, w.dst as id, r.rank * w.f as x from r join w on w.src = r.id where r.it < 60) group by it, id)
