@@ -26,7 +26,6 @@ import pyarrow.dataset as pads
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quillstone.session import materialize, shared_path
 
