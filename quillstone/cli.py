@@ -44,7 +44,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--batch-size", type=int, help="texts that the model gets at once")
     c.add_argument("--workers", type=int, help="tasks that decode and parse at the same time")
     c.add_argument("--section-limit", type=int, help="cut sections to so many characters before facts are looked for")
-    c.add_argument("--timeout", type=float, help="seconds after which a file's decoding is given up")
+    c.add_argument("--timeout", type=float, default=30.0, help="seconds after which a file's decoding is given up")
     c.add_argument("--follow", action="store_true", help="wait for more files")
     return p
 

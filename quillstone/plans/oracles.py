@@ -56,7 +56,7 @@ ORACLES: dict[str, str] = {
     "embed_input_text": "select distinct global_idx, coalesce(subject, '') || ' | ' || coalesce(heading, '') || ' | ' || coalesce(text_preview, '') as input from sections",
     "load_union": "with x as (select stem, count(*) as n from sections group by stem), y as (select *, sum(n) over (order by stem nulls first) - n as before, sum(n) over () as total from x) select source, stem, cast(before + source * total as integer) as first, cast(before + n - 1 + source * total as integer) as last, n as rows, n as numbers from y, (select unnest([0, 1]) as source)",
     "load_rows": "select stem, coalesce(nullif(doc_id, ''), stem) as doc_id, coalesce(doc_type, 'Order') as doc_type, coalesce(subject, '') as subject, section_id, coalesce(heading, '') as heading, coalesce(text_preview, '') as text_preview, coalesce(obligations, 0) as obligations, coalesce(citations, 0) as citations, cast(coalesce(len(embedding), -1) as integer) as dims, count(*) as rows from sections group by all",
-    "stored_sections": "select 1 as files, count(*) as sections, true as has_bytes from sections",
+    "stored_sections": "select cast(1 as bigint) as files, count(*) as sections, true as has_bytes from sections",
     "vector_problems": "select case when embedding is null then 'null' when len(embedding) <> 64 then 'length' when len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) > 0 then 'element' else 'none' end as problem, count(*) as rows from sections group by 1",
     "dirty_best": "with g as (select distinct global_idx, embedding::double[] as e from sections where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0) select a.global_idx as reg_idx, round(max(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e)) + 1e-8)), 6) as sim from g a join g b on a.global_idx % 4 = 0 and b.global_idx % 4 <> 0 group by 1",
     "relabelled": "select distinct stem, case when contains(lower(stem), '740') then 'First' when contains(lower(stem), 'o-') then 'Order' else 'Other' end as label, subject from parsed_documents",
