@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.operators import dot, graph, report, similarity
-from quillstone.session import build_session, materialize
+from quillstone.session import build_session, materialize, text_output
 from quillstone.sources.sections import load_sections, require_sections
 
 REPORTS = ("gaps", "coverage", "rankings", "hierarchy")
@@ -177,8 +177,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "report":
         lines = s.rankings(20) if args.type == "rankings" else getattr(s, args.type)()
         if args.output:
-            with open(args.output, "w", encoding="utf-8") as f:
-                f.write("\n".join(lines) + "\n")
+            with text_output(args.output) as write:
+                write("\n".join(lines) + "\n")
         else:
             print(*lines, sep="\n")
         return 0

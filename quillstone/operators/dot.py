@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.session import text_output
+
 #: Colours of edges by least similarity; fixed values.
 COLOURS = ((0.9, "#006400"), (0.8, "#228B22"))
 OTHER_COLOUR = "#FF8C00"
@@ -68,8 +70,8 @@ def write_dot(lines: DataFrame, path: str) -> int:
     """Writes the lines as one file; returns the number of edges. A file for a drawing program is one machine's: its
     lines come to the driver a partition at a time."""
     edges = 0
-    with open(path, "w", encoding="utf-8") as f:
+    with text_output(path) as write:
         for r in lines.orderBy("part", "idx", "k").toLocalIterator():
-            f.write(r.line + "\n")
+            write(r.line + "\n")
             edges += r.part == 6
     return edges

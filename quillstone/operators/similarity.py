@@ -15,7 +15,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,7 +159,7 @@ def _over_blocks(regs: DataFrame, procs: DataFrame, emit: Emit, schema: str, vec
 def _packed(df: DataFrame, key: str, dim: int) -> DataFrame:
     """Writes (key, v) in blocks of PACK_ROWS to the shared folder: ``(file, batch, lo, hi, n)`` of each block. A file
     is named by its attempt, and only the names of attempts that ended come out."""
-    from quillstone.session import materialize, shared_path
+    from quillstone.session import arrow_filesystem, materialize, shared_path
 
     uri = shared_path(df.sparkSession, "vectors")
     kind = pa.schema([("id", pa.int64()), ("x", pa.binary(8 * dim))])
@@ -180,7 +179,7 @@ def _packed(df: DataFrame, key: str, dim: int) -> DataFrame:
             yield np.concatenate(ids), np.concatenate(xs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = pafs.FileSystem.from_uri(uri)
+        fs, path = arrow_filesystem(uri)
         made = blocks(batches)
         while True:
             some = list(itertools.islice(made, PACK_BLOCKS))
@@ -199,7 +198,9 @@ def _packed(df: DataFrame, key: str, dim: int) -> DataFrame:
 
 
 def _read_blocks(file: str, batch: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    fs, path = pafs.FileSystem.from_uri(file)
+    from quillstone.session import arrow_filesystem
+
+    fs, path = arrow_filesystem(file)
     with fs.open_input_file(path) as f:
         reader = pa.ipc.open_file(f)
         got = [reader.get_batch(i) for i in (range(reader.num_record_batches) if batch is None else [batch])]

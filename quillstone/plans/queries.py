@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,11 +173,15 @@ def dot_file(spark: SparkSession, d: str) -> DataFrame:
     """The lines of the graph's file as it was written."""
     c = corpora(spark, d)
     top = dot.styled(dot.top_edges(similarity.pairwise_cosine(c.regs, c.procs, GRAPH_THRESHOLD), GRAPH_THRESHOLD), GRAPH_THRESHOLD)
-    with tempfile.TemporaryDirectory() as folder:  # the driver's own: the file is written and read by it
-        dot.write_dot(dot.dot_lines(top, c.regs, c.procs), f"{folder}/graph.dot")
-        with open(f"{folder}/graph.dot", encoding="utf-8") as f:
-            lines = f.read().splitlines()
-    return spark.createDataFrame(list(enumerate(lines, 1)), "n long, line string")
+    path = shared_path(spark, "drawing") + "/graph.dot"
+    dot.write_dot(dot.dot_lines(top, c.regs, c.procs), path)
+    return _lines(spark, path).select("n", "line")
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """The numbered lines of one file."""
+    text = spark.read.text(path, wholetext=True).select(F.split(F.rtrim("value", F.lit("\n")), "\n").alias("x"))
+    return text.select(F.posexplode("x").alias("i", "line")).select((F.col("i") + 1).cast("long").alias("n"), "line")
 
 
 @query
@@ -191,13 +193,11 @@ def report_file(spark: SparkSession, d: str) -> DataFrame:
     regs, procs = shared_path(spark, "regs"), shared_path(spark, "procs")
     write_sections(c.regs.withColumn("row_pos", F.col("reg_idx")).withColumn("stem", F.lit("REGS")), regs)
     write_sections(c.procs.withColumn("row_pos", F.col("proc_idx")).withColumn("stem", F.lit("PROCS")), procs)
-    rows = []
-    with tempfile.TemporaryDirectory() as folder:
-        for kind in ("coverage", "gaps"):
-            cli.main(["report", "--regs", regs, "--procs", procs, "--threshold", str(STATUS_THRESHOLD), "--type", kind, "--output", f"{folder}/{kind}"], spark)
-            with open(f"{folder}/{kind}", encoding="utf-8") as f:
-                rows += [(kind, i, line) for i, line in enumerate(f.read().splitlines(), 1)]
-    return spark.createDataFrame(rows, "kind string, n long, line string")
+    folder, out = shared_path(spark, "reports"), []
+    for kind in ("coverage", "gaps"):
+        cli.main(["report", "--regs", regs, "--procs", procs, "--threshold", str(STATUS_THRESHOLD), "--type", kind, "--output", f"{folder}/{kind}"], spark)
+        out.append(_lines(spark, f"{folder}/{kind}").select(F.lit(kind).alias("kind"), "n", "line"))
+    return out[0].unionByName(out[1])
 
 
 # ---- vectors and loading ----

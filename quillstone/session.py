@@ -8,7 +8,10 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -53,6 +56,29 @@ def ship_package(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(path)
 
 
+def arrow_filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system and path for a URI of the shared folder, or for a path of this machine. Hadoop's name for
+    object stores that Arrow calls ``s3`` is ``s3a``."""
+    if uri.startswith("file:/"):
+        uri = "file:///" + uri[5:].lstrip("/")
+    elif "://" not in uri:
+        uri = "file://" + os.path.abspath(uri)
+    return pafs.FileSystem.from_uri("s3" + uri[3:] if uri.startswith("s3a://") else uri)
+
+
+@contextmanager
+def text_output(path: str) -> Iterator[Callable[[str], object]]:
+    """Writes one text file, UTF-8, at a path of the driver's machine or a URI: yields what takes the next piece."""
+    if "://" in path or path.startswith("file:"):
+        fs, at = arrow_filesystem(path)
+        fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+        with fs.open_output_stream(at) as out:
+            yield lambda piece: out.write(piece.encode())
+    else:
+        with open(path, "w", encoding="utf-8", newline="") as f:
+            yield f.write
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor can read.
 
@@ -65,6 +91,11 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="quillstone-")
         spark.conf.set(CHECKPOINT_CONF, named)
+    if ":/" not in named:  # a path of the default file system: Arrow has to know which one that is
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
+        named = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if named.startswith("file:/"):
+        named = "file:///" + named[5:].lstrip("/")
     return named.rstrip("/")
 
 

@@ -6,11 +6,11 @@ import multiprocessing
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as tx
+from quillstone.session import arrow_filesystem
 
 #: Decoder of one file's bytes: text and number of pages.
 Decoder = Callable[[bytes], tuple[str, int]]
@@ -149,7 +149,7 @@ def write_files(df: DataFrame, name: str, content: str, folder: str) -> int:
     that is there already is replaced, so a repeated task does no harm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        fs, path = arrow_filesystem(folder)
         fs.create_dir(path, recursive=True)
         for batch in batches:
             for n, data in zip(batch.column("n").to_pylist(), batch.column("c").to_pylist(), strict=True):

@@ -163,3 +163,27 @@ def test_command_line(spark, tmp_path, capsys):
         assert cli.main(["report", *args, "--type", kind, "--output", str(tmp_path / kind)], spark) == 0
         assert (tmp_path / kind).read_text()
     assert cli.main(["report", "--regs", "/missing", "--procs", d, "--type", "gaps"], spark) == 1
+
+
+def test_timing_takes_the_median_of_later_runs():
+    calls = []
+    assert cli.median_of(lambda: calls.append(1), 3) < 1 and len(calls) == 4
+    assert set(cli.KERNELS) == {"cosine", "graph", "full"}
+
+
+def test_text_output(tmp_path):
+    from quillstone.session import text_output
+
+    for path in (str(tmp_path / "a"), f"file://{tmp_path}/new/b"):
+        with text_output(path) as write:
+            write("x\n")
+            write("é\n")
+    assert (tmp_path / "a").read_bytes() == (tmp_path / "new/b").read_bytes() == "x\né\n".encode()
+
+
+def test_paths_of_the_shared_folder(tmp_path):
+    from quillstone.session import arrow_filesystem
+
+    for uri in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
+        fs, path = arrow_filesystem(uri)
+        assert path == str(tmp_path) and fs.type_name == "local"
