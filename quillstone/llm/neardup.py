@@ -27,13 +27,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.words import Words, mix, slices
-from quillstone.session import materialize, release, shared_path
+from quillstone.session import arrow_filesystem, materialize, release, shared_path
 
 _BITS = 44  #: of a shingle's hash in steps 2 and 3; step 4 takes all 64
 _MASK = np.uint64((1 << _BITS) - 1)
@@ -159,12 +158,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, within: str | None = Non
     return NearDuplicates(members.select("within", "key", "rep", "n_words").distinct(), links)
 
 
-def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def _write_chunk(folder: str, name: int, rows: pa.Table, kind: str = "") -> None:
-    fs, path = _filesystem(folder)
+    fs, path = arrow_filesystem(folder)
     fs.create_dir(path, recursive=True)
     out = io.BytesIO()
     with pa.ipc.new_file(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
@@ -176,7 +171,7 @@ def _write_chunk(folder: str, name: int, rows: pa.Table, kind: str = "") -> None
 
 
 def _read_chunk(folder: str, name: int, kind: str = "") -> pa.Table:
-    fs, path = _filesystem(folder)
+    fs, path = arrow_filesystem(folder)
     with fs.open_input_file(f"{path}/{name:x}{kind}") as f:
         return pa.ipc.open_file(f).read_all()
 

@@ -23,13 +23,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.llm.words import _grow, _tables, mix, slices, utf8
-from quillstone.session import shared_path
+from quillstone.session import arrow_filesystem, shared_path
 
 #: Plain letters for U+00C0 to U+00FF, in order; a blank keeps the letter out of words. Fixed values.
 _LATIN = "aaaaaa ceeeeiiiidnooooo ouuuuy  aaaaaa ceeeeiiiidnooooo ouuuuy y"
@@ -183,7 +182,7 @@ class SubjectModel:
         return bears, (score[bears] * (0.25 + 0.75 * mixture / mixture.max(1, keepdims=True))).argmax(1), leaf
 
     def write(self, uri: str) -> None:
-        fs, path = pafs.FileSystem.from_uri(uri)
+        fs, path = arrow_filesystem(uri)
         fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
         table = {f: getattr(self, f) for f in ("terms", "weights", "idf", "centers", "mixtures", "sizes")}
         packed = io.BytesIO()
@@ -210,7 +209,7 @@ def empty_model(subjects: tuple[str, ...]) -> SubjectModel:
 
 @lru_cache(maxsize=2)
 def read_model(uri: str) -> SubjectModel:
-    fs, path = pafs.FileSystem.from_uri(uri)
+    fs, path = arrow_filesystem(uri)
     with fs.open_input_file(path) as f:
         got = np.load(io.BytesIO(f.read()))
     return SubjectModel(tuple(got["subjects"].tolist()), *(got[k] for k in ("terms", "weights", "idf", "centers", "mixtures", "sizes")), tuple(got["labels"].tolist()))

@@ -23,11 +23,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import pyarrow.dataset as pads
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.session import materialize, shared_path
+from quillstone.session import arrow_filesystem, materialize, shared_path
 
 BLOCK_ROWS = 4096  #: rows of a block
 GROUP_ROWS = 16384  #: rows of a cell that one task orders and writes; a larger cell is split by a hash
@@ -119,8 +118,8 @@ def units(raw: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=8)
-def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+def _filesystem(uri: str) -> tuple:
+    return arrow_filesystem(uri)
 
 
 class File:
