@@ -304,9 +304,9 @@ def similarity_groups(df: DataFrame, id_col: str, vector_col: str, heading_col:
       group have no row. An empty table gives none; other columns are not read, whatever their names.
     """
     index = build_index(df, id_col, vector_col, dim, keep_copies=1, link=threshold, seed=seed, tables=1)
-    members, edges = links(index, threshold)
+    members, edges = links(index, threshold, merge=lambda e: reciprocal_merge(e, threshold - 1e-5, "single"))
     members = materialize(members, "members")
-    joined = reciprocal_merge(edges, threshold - 1e-5, "single")  # w is in single precision; links were told exactly
+    joined = reciprocal_merge(edges, threshold - 1e-5, "single")
     members = members.join(joined.withColumnRenamed("node", "label"), "label", "left").select("id", F.coalesce("cluster", "label").alias("cluster"))
     if index.copies is not None:
         members = materialize(members, "members")

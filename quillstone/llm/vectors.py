@@ -9,29 +9,38 @@ all tables in the order of the queries' coordinates (multiprobe). How many cells
 where a vector as similar as its k-th best so far would have been hashed, in every table, with less than a small
 chance, and blocks that the triangle inequality of angles excludes are left out. What it meets is reranked exactly, in
 double precision. With ``exact``, only that inequality excludes blocks, and nothing is missed.
+
+Links above a high cosine are found without that search: all rows meet in the buckets of as many tables as it takes to
+miss none but by a small chance (see ``links``).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import pyarrow.dataset as pads
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.session import arrow_filesystem, materialize, shared_path
+from quillstone.session import arrow_filesystem, materialize, release, shared_path
 
 BLOCK_ROWS = 4096  #: rows of a block
 GROUP_ROWS = 16384  #: rows of a cell that one task orders and writes; a larger cell is split by a hash
 CELL_ROWS = 65536  #: mean rows of a cell above which hashes get another axis
 QUERY_ROWS = 8192  #: queries that a search task holds at once
+LABEL_ROWS = 512  #: rows of a block that are merged at once; the work is their square
+BUCKET_ROWS = 512  #: rows of a bucket of a join, up to twice as many
+PART_ROWS = 65536  #: rows of the buckets that a task of a join holds; twice as many at most
+SPREAD_ROWS = 65536  #: rows that a task spreads over buckets at once
+ROUND_TABLES = 3  #: tables of a join that are in the shared folder at once
 
 
 def usable(vector: Column, dim: int) -> Column:
@@ -122,6 +131,13 @@ def _filesystem(uri: str) -> tuple:
     return arrow_filesystem(uri)
 
 
+def _block(fs: pa.fs.FileSystem, path: str, batch: int, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    with fs.open_input_file(path) as f:
+        batch = pa.ipc.open_file(f).get_batch(batch)
+    x = np.frombuffer(batch.column(2).buffers()[1], np.float32).reshape(-1, dim)[: len(batch)]
+    return batch.column(0).to_numpy(), batch.column(1).to_numpy(), x
+
+
 class File:
     """What a task knows of a cell's file (or a part of a large cell): the mean direction of its rows, their
     coordinates towards the cell's axes, and the range of angles of each block."""
@@ -153,10 +169,7 @@ class Blocks:
     def load(self, file: str, batch: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, labels and raw vectors of a block."""
         fs, path = _filesystem(self.data_uri)
-        with fs.open_input_file(f"{path}/{file}") as f:
-            batch = pa.ipc.open_file(f).get_batch(batch)
-        x = np.frombuffer(batch.column(2).buffers()[1], np.float32).reshape(-1, self.dim)[: len(batch)]
-        return batch.column(0).to_numpy(), batch.column(1).to_numpy(), x
+        return _block(fs, f"{path}/{file}", batch, self.dim)
 
     def coordinates(self, x: np.ndarray) -> list[list[np.ndarray]]:
         """Coordinates of vectors towards all cells, for each axis of each table."""
@@ -222,9 +235,8 @@ def build_index(df: DataFrame, id_col: str, vector_col: str, dim: int, keep_copi
     once. Hashes have ``levels`` axes, as many as the number of rows asks for if not given.
 
     Of rows with the very same vector the ``keep_copies`` smallest ids are indexed, so a vector that a third of all
-    rows share costs no more than another; the rest are in ``copies``. With ``link``, rows of a block are labelled by
-    the smallest id of those that merging reciprocal neighbours within the block joins by links of at least that
-    cosine.
+    rows share costs no more than another; the rest are in ``copies``. With ``link``, each LABEL_ROWS rows of a block are labelled
+    by the smallest id of those that merging reciprocal neighbours among them joins by links of at least that cosine.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v"), dim))
@@ -293,7 +305,7 @@ def build_index(df: DataFrame, id_col: str, vector_col: str, dim: int, keep_copi
         tries = f"{path}/.{name}.{np.random.default_rng().integers(1 << 62)}"
         with fs.open_output_stream(tries) as out, pa.ipc.new_file(out, kind) as writer:
             for b, (s, e) in enumerate(zip(edges, edges[1:], strict=False)):
-                label = ids[s:e] if link is None else _labels(ids[s:e], x[s:e], link)
+                label = ids[s:e] if link is None else np.concatenate([_labels(ids[k : min(k + LABEL_ROWS, e)], x[k : min(k + LABEL_ROWS, e)], link) for k in range(s, e, LABEL_ROWS)])
                 vectors = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), e - s, [None, pa.py_buffer(np.ascontiguousarray(raw[s:e]))])
                 writer.write_batch(pa.RecordBatch.from_arrays([pa.array(ids[s:e]), pa.array(label), vectors], schema=kind))
                 values = (name, b, which, cell, e - s, mean.astype(np.float32).tobytes(), float(angle[s:e].min()), float(angle[s:e].max()), top, spread)
@@ -482,78 +494,260 @@ def most_similar(df: DataFrame, id_col: str, vector_col: str, dim: int, k: int =
     return out.select("id", (F.col("pos") + 1).alias("rank"), F.col("p.ids").alias("neighbour"), F.col("p.cosines").alias("cosine"))
 
 
-def links(index: VectorIndex, link: float, z: float = 4.0) -> tuple[DataFrame, DataFrame]:
+class Buckets:
+    """One table of a join: vectors meet in the bucket of their nearest signed axes, of a random rotation each; of the
+    last one only ``last`` axes count. Whether two vectors meet depends on nothing but their cosine."""
+
+    def __init__(self, dim: int, levels: int, last: int, table: int, seed: int = 0):
+        self.turns = []
+        for level in range(levels):
+            turn = np.linalg.qr(np.random.default_rng([seed, table, level, dim]).normal(size=(dim, dim)))[0]
+            self.turns.append(np.ascontiguousarray(turn[:, : last if level == levels - 1 else dim], np.float32))
+
+    def __call__(self, x32: np.ndarray) -> np.ndarray:
+        bucket = np.zeros(len(x32), np.int64)
+        for turn in self.turns:
+            y = x32 @ turn
+            size = np.abs(y)
+            axis = size.argmax(1)
+            bucket = bucket * (2 * turn.shape[1]) + 2 * axis + (y[np.arange(len(y)), axis] < 0)
+        return bucket
+
+
+def join_shape(rows: int, dim: int) -> tuple[int, int]:
+    """Axes of a bucket of a join, and how many count in the last rotation: about BUCKET_ROWS rows meet in a bucket,
+    however many there are."""
+    levels = 1
+    while rows > 2 * BUCKET_ROWS * (2 * dim) ** levels:
+        levels += 1
+    return levels, min(dim, max(1, -(-rows // (2 * BUCKET_ROWS * (2 * dim) ** (levels - 1)))))
+
+
+@lru_cache(maxsize=64)
+def tables_for(link: float, dim: int, levels: int, last: int, miss: float) -> int:
+    """Tables in which two vectors with a cosine of ``link`` meet at least once, but for a chance of ``miss``. What
+    they meet with in one is drawn, and three standard errors are taken off."""
+    rng = np.random.default_rng(0)
+    together = 1.0
+    for axes, power in ((dim, levels - 1), (last, 1)):
+        if not power:
+            continue
+        hits = tried = 0
+        while tried < 40_000:
+            n = min(4000, max(1, 400_000 // dim))
+            x = units(rng.normal(size=(n, dim)))
+            y = rng.normal(size=(n, dim))
+            y -= np.einsum("ij,ij->i", x, y)[:, None] * x
+            y = link * x + math.sqrt(max(0.0, 1 - link * link)) * y / np.maximum(1e-12, np.sqrt(np.einsum("ij,ij->i", y, y)))[:, None]
+            x, y = x[:, :axes], y[:, :axes]
+            r, i, j = np.arange(n), np.abs(x).argmax(1), np.abs(y).argmax(1)
+            hits += int(((i == j) & ((x[r, i] < 0) == (y[r, j] < 0))).sum())
+            tried += n
+        p = hits / tried
+        together *= max(1e-3, p - 3 * math.sqrt(p * (1 - p) / tried)) ** power
+    return math.ceil(math.log(miss) / math.log1p(-min(together, 1 - 1e-9)))
+
+
+def _joined(names: int, a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """``root``, the smallest member of each one's part, after joining the parts of ``a`` and ``b``."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b = a[apart], b[apart]
+        x, y = x[apart], y[apart]
+        parent = np.arange(names)
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
+        root = parent[root]
+
+
+def _across(label: np.ndarray, raw: np.ndarray, link: float) -> tuple[np.ndarray, np.ndarray]:
+    """The labels that links between these rows join, directly or through others: each one but the smallest of its
+    part, after that one. Rows whose labels are joined already are not compared."""
+    names, of = np.unique(label, return_inverse=True)
+    root = np.arange(len(names))
+    if len(names) > 1:
+        if len(of) > 4096:  # large labels first: what they join needs no comparing any more
+            order = np.lexsort((of, -np.bincount(of)[of]))
+            of, raw = of[order], raw[order]
+        x32 = _units32(raw)
+        low, high = np.float32(link - 4e-6), np.float32(link + 4e-6)
+        step = 1024 if len(of) > 4096 else 256
+        for s in range(0, len(of), step):
+            rows = np.arange(s, min(s + step, len(of)))
+            part = root[of[rows]]
+            counts = np.bincount(part)
+            main = counts.argmax() if counts.max() >= 64 else -1
+            for r, one in ((rows[part != main], False), (rows[part == main], True)):
+                if not len(r):
+                    continue
+                later = np.arange(s, len(of))
+                for c in range(0, len(later), 8192):
+                    cols = later[c : c + 8192]
+                    if one:
+                        cols = cols[root[of[cols]] != root[of[r[0]]]]
+                    if not len(cols):
+                        continue
+                    cosine = x32[r] @ x32[cols].T
+                    if not one and not c:
+                        cosine[np.arange(len(r)), r - s] = -1  # with itself
+                    some = np.flatnonzero(cosine.max(1) >= low)
+                    if not len(some):
+                        continue
+                    cosine = cosine[some]
+                    flat = np.flatnonzero(cosine >= low)
+                    p, q = np.divmod(flat, len(cols))
+                    p = some[p]
+                    apart = root[of[r[p]]] != root[of[cols[q]]]
+                    p, q, near = p[apart], q[apart], cosine.ravel()[flat[apart]] < high
+                    if near.any():  # too near to tell in single precision
+                        ok = ~near
+                        for k in range(0, len(at := np.flatnonzero(near)), 65_536):
+                            part_of = at[k : k + 65_536]
+                            ok[part_of] = np.einsum("ij,ij->i", units(raw[r[p[part_of]]]), units(raw[cols[q[part_of]]])) >= link
+                        p, q = p[ok], q[ok]
+                    root = _joined(len(names), of[r[p]], of[cols[q]], root)
+    away = np.flatnonzero(root != np.arange(len(names)))
+    return names[root[away]], names[away]
+
+
+def _units32(raw: np.ndarray) -> np.ndarray:
+    """``units`` in single precision, to a few units of its last place."""
+    square = np.einsum("ij,ij->i", raw, raw)
+    if not ((square > 1e-25) & (square < 1e25)).all():  # squares leave the range of single precision
+        return units(raw).astype(np.float32)
+    return raw * (1 / np.sqrt(square))[:, None]
+
+
+def links(index: VectorIndex, link: float, miss: float = 1e-6, merge: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """A sparse graph with the same connected parts as all pairs with a cosine of at least ``link``.
 
-    Returns the rows with their labels within their block, ``(id, label)``, and the strongest link between each two
-    labels, ``(a, b, w)`` with a < b. ``z`` sets the chance of missing a link of just that cosine, at 4 about 1 in
-    30,000 from either end. The index must have been built with the same ``link``, and with one table.
+    Returns the rows with their labels, ``(id, label)``, and links between labels, ``(a, b, w)`` with a < b: pairs that
+    links join, directly or through others within a bucket, ``w`` being ``link``. Labels are those of the index's
+    blocks; with ``merge``, which makes ``(node, cluster)`` of links, what the first tables join has one label, and
+    only what is left comes out as links.
+
+    All rows meet in the buckets of several tables. A link of just that cosine is missed with a chance of ``miss``, a
+    stronger one with less. As buckets keep their size, work grows with the rows and slowly more tables, not with the
+    pairs of rows. ROUND_TABLES tables are done at a time, so the shared folder holds the vectors as many
+    times. The index must have been built with the same ``link``, and with one table.
     """
-    plain, chance = index.plain(), shares_of_chance(z, index.tables, index.levels)
+    spark, dim, seed, data_uri = index.meta.sparkSession, index.dim, index.seed, index.data_uri
+    levels, last = join_shape(index.rows, dim)
+    tables = tables_for(link, dim, levels, last, miss)
+    parts = max(1, -(-index.rows // PART_ROWS))
+    kind = np.dtype([("bucket", np.int64), ("label", np.int64), ("x", np.float32, (dim,))])
+    n = max(3 * spark.sparkContext.defaultParallelism, -(-index.rows // SPREAD_ROWS))
+    blocks = index.meta.where("table = 0").select("file", "batch", F.array().cast("array<long>").alias("old"), F.array().cast("array<long>").alias("new"))
+
+    def loaded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        fs, path = _filesystem(data_uri)
+        for batch in batches:
+            for file, number, old, new in zip(*batch.columns, strict=True):
+                ids, label, raw = _block(fs, f"{path}/{file.as_py()}", number.as_py(), dim)
+                if len(old.values or ()):
+                    old, new = old.values.to_numpy(), new.values.to_numpy()
+                    order = np.argsort(old)
+                    at = np.minimum(np.searchsorted(old[order], label), len(old) - 1)
+                    label = np.where(old[order][at] == label, new[order][at], label)
+                yield ids, label, raw
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = None
-        for batch in batches:
-            blocks = blocks or Blocks(plain)
-            for file, number in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, labels, _ = blocks.load(file, number)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(labels)], names=["id", "label"])
+        for ids, label, _ in loaded(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(label)], names=["id", "label"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = None
+    def labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks = blocks or Blocks(plain)
-            for group in _task_blocks(batch):
-                yield from _links_of(group, blocks, link, chance)
-
-    tasks = index.query_tasks()
-    edges = tasks.mapInArrow(run, "a long, b long, w double")
-    edges = edges.groupBy("a", "b").agg(F.max("w").alias("w"))
-    return tasks.mapInArrow(members, "id long, label long"), edges
-
-
-def _links_of(group: list[tuple[str, int]], blocks: Blocks, link: float, z: float) -> Iterator[pa.RecordBatch]:
-    loaded = [blocks.load(*g) for g in group]
-    label = np.concatenate([x[1] for x in loaded])
-    home = np.repeat(np.arange(len(group)), [len(x[1]) for x in loaded])
-    x = units(np.concatenate([x[2] for x in loaded]))
-    order = np.argsort(label, kind="stable")
-    label, x, home = label[order], x[order], home[order]
-    x32 = x.astype(np.float32)
-    u = blocks.coordinates(x)
-    cosine, away = np.full(len(x), link), np.full(len(x), np.arccos(link) + 1e-6)
-    low, high = np.float32(link - 4e-6), np.float32(link + 4e-6)
-    own = {g: j for j, g in enumerate(group)}
-    for file, b, rows in ((f, b, rows) for f in blocks.files.values() for b, rows in blocks.near(f, u, x32, cosine, away, z)):
-        rows = rows[home[rows] != own.get((file.name, b), -1)]
-        if not len(rows):
-            continue
-        _, y_label, raw = blocks.load(file.name, b)
-        by = np.argsort(y_label, kind="stable")
-        y_label, y = y_label[by], units(raw[by])
-        y32 = y.astype(np.float32)
-        for a in range(0, len(rows), 2048):
-            r = rows[a : a + 2048]
-            s = x32[r] @ y32.T
-            over = s >= low
-            some = over.any(1)
-            if not some.any():
-                continue
-            r, s, over = r[some], s[some], over[some]
-            c = np.flatnonzero(over.any(0))
-            if len(c) < 0.5 * s.shape[1]:
-                s, over = s[:, c], over[:, c]
-            else:
-                c = np.arange(s.shape[1])
-            p, q = np.nonzero(over & (s < high))  # too near to tell in single precision
-            if len(p):
-                s[p, q] = np.where(np.einsum("ij,ij->i", x[r[p]], y[c[q]]) >= link, s[p, q], -1)
-            head = np.flatnonzero(np.concatenate([[True], label[r][1:] != label[r][:-1]]))
-            y_head = np.flatnonzero(np.concatenate([[True], y_label[c][1:] != y_label[c][:-1]]))
-            best = np.maximum.reduceat(np.maximum.reduceat(s, head, 0), y_head, 1)
-            p, q = np.nonzero(best >= low)
-            la, lb = label[r][head][p], y_label[c][y_head][q]
-            keep = la != lb
-            if keep.any():
-                la, lb, w = la[keep], lb[keep], best[p, q][keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(la, lb)), pa.array(np.maximum(la, lb)), pa.array(w.astype(np.float64))], names=["a", "b", "w"])
+            for k in range(len(batch)):
+                for _, label, _ in loaded(iter([batch.slice(k, 1)])):
+                    own = np.unique(label)
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(own)), pa.array(np.full(len(own), batch.column(1)[k].as_py(), np.int32)), pa.array(own)], names=["file", "batch", "label"])
+
+    def met(first: int, end: int) -> DataFrame:
+        """Links that the buckets of these tables show."""
+        uri = shared_path(spark, "buckets")
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = [Buckets(dim, levels, last, t, seed) for t in range(first, end)]
+            fs, path = _filesystem(uri)
+            fs.create_dir(path, recursive=True)
+            held, size = [], 0
+
+            def written() -> pa.RecordBatch:
+                label, raw = np.concatenate([y[1] for y in held]), np.concatenate([y[2] for y in held])
+                x32 = _units32(raw)
+                name, at, rows = f"{np.random.default_rng().integers(1 << 62)}.rows", 0, []
+                with fs.open_output_stream(f"{path}/{name}") as out:
+                    for t, h in zip(range(first, end), hashes, strict=True):
+                        bucket = np.concatenate([h(x32[s : s + 8192]) for s in range(0, len(x32), 8192)])
+                        part = ((bucket * 2_654_435_761) >> 16) % parts
+                        order = np.argsort(part, kind="stable")
+                        record = np.empty(len(order), kind)
+                        record["bucket"], record["label"], record["x"] = bucket[order], label[order], raw[order]
+                        out.write(pa.py_buffer(record))
+                        for p, many in enumerate(np.bincount(part, minlength=parts).tolist()):
+                            if many:
+                                rows.append((t, p, name, at, many))
+                            at += many
+                return pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["table", "part", "name", "at", "n"])
+
+            for block in loaded(batches):
+                held.append(block)
+                size += len(block[0])
+                if size >= SPREAD_ROWS:
+                    yield written()
+                    held, size = [], 0
+            if held:
+                yield written()
+
+        def meet(table: pa.Table) -> pa.Table:
+            fs, path = _filesystem(uri)
+            table = table.take(pa.compute.sort_indices(table, [("name", "ascending"), ("at", "ascending")]))
+            counts = table["n"].to_pylist()
+            record, at = np.empty(sum(counts), kind), 0
+            for name, start, many in zip(table["name"].to_pylist(), table["at"].to_pylist(), counts, strict=True):
+                with fs.open_input_file(f"{path}/{name}") as f:
+                    record[at : at + many] = np.frombuffer(f.read_at(many * kind.itemsize, start * kind.itemsize), kind)
+                at += many
+            bucket = record["bucket"].copy()
+            order = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) > 0, [True]]))
+            found = [(np.zeros(0, np.int64),) * 2]
+            for s, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if e - s > 1:
+                    own = record["label"][order[s:e]]
+                    if (own != own[0]).any():
+                        found.append(_across(own, record["x"][order[s:e]], link))
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            return pa.table({"a": a, "b": b})
+
+        places = materialize(blocks.repartition(n, "file", "batch").mapInArrow(spread, "table int, part int, name string, at long, n long"), "places")
+        # a part with more rows than a task should hold is cut into sets, and each two sets meet
+        total = places.groupBy("table", "part").agg(F.ceil(F.sum("n") / (2 * PART_ROWS)).alias("sets"))
+        placed = places.join(total, ["table", "part"]).withColumn("own", F.pmod(F.xxhash64("name"), F.col("sets")))
+        other = F.when(F.col("sets") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), F.col("sets") - 1), lambda o: o != F.col("own")))
+        placed = placed.withColumn("other", F.explode(other)).withColumn("pair", F.struct(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")))
+        placed = placed.select("table", "part", F.col("pair.x").alias("x"), F.col("pair.y").alias("y"), "name", "at", "n")
+        placed = placed.repartition(max(n, (end - first) * parts), "table", "part", "x", "y")
+        edges = materialize(placed.groupBy("table", "part", "x", "y").applyInArrow(meet, "a long, b long").distinct(), "met")
+        release(spark, uri)
+        release(spark, places._quillstone_path)
+        return edges
+
+    begin = 0
+    if merge is not None:
+        begin = min(ROUND_TABLES, tables)
+        joined = merge(met(0, begin).withColumn("w", F.lit(link)))
+        of_block = blocks.mapInArrow(labels, "file string, batch int, label long")
+        moved = of_block.join(joined.where("node != cluster"), F.col("label") == F.col("node")).groupBy("file", "batch").agg(F.collect_list(F.struct("node", "cluster")).alias("to"))
+        empty = F.array().cast("array<long>")
+        blocks = materialize(blocks.select("file", "batch").join(moved, ["file", "batch"], "left").select("file", "batch", F.coalesce("to.node", empty).alias("old"), F.coalesce("to.cluster", empty).alias("new")), "relabelled")
+    every = [met(t, min(t + ROUND_TABLES, tables)) for t in range(begin, tables, ROUND_TABLES)]
+    edges = reduce(DataFrame.unionByName, every) if every else spark.createDataFrame([], "a long, b long")
+    return blocks.repartition(n, "file", "batch").mapInArrow(members, "id long, label long"), edges.distinct().withColumn("w", F.lit(link))
