@@ -22,6 +22,10 @@ COSINE_EPS = 1e-8  #: added to the product of the norms
 BROADCAST_BYTES = 64 << 20  #: a target side up to this size is sent to every task
 PACK_ROWS = 2048  #: rows of a packed block
 PACK_BLOCKS = 64  #: blocks in a file of them
+SCREEN_ROWS = 256  #: sources whose products with a block are in a core's cache together
+SCREEN_PAIRS = 65536  #: pairs that are computed in double precision at once
+MOST_TASKS = 4096  #: tasks that pairs of blocks are dealt to
+PACK_RUN = 4  #: blocks of the left that meet a file of the right in one go
 
 
 def _placed(df: DataFrame, order: list[str]) -> tuple[DataFrame, list[tuple[int, int]]]:
@@ -111,11 +115,69 @@ def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 Emit = Callable[[np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch]
-
-
-def _over_blocks(regs: DataFrame, procs: DataFrame, emit: Emit, schema: str, vector: str, upper: bool = False) -> DataFrame:
+Block = tuple[np.ndarray, np.ndarray]  #: indices and vectors
+
+
+class _Best:
+    """Finds each source's best of all targets in blocks. Unit vectors in single precision tell how high a block goes,
+    within a bound of the error; the places that may be highest are then computed in double precision, so the result
+    is that of double precision throughout. Where there is no such bound
+    (very long or very short vectors), all are computed in double precision."""
+
+    def __init__(self, blocks: list[Block]):
+        self.blocks = []
+        for ids, y in blocks:
+            order = np.argsort(ids, kind="stable")
+            self.blocks.append((ids[order], y[order], *self._unit(y[order])))
+        some = [n[n > 0].min() for _, _, n, _ in self.blocks if (n > 0).any()]
+        self.least, self.finite = min(some, default=1.0), all(np.isfinite(n).all() for _, _, n, _ in self.blocks)
+
+    @staticmethod
+    def _unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        norms = np.sqrt((x * x).sum(1))
+        return norms, (x / np.where(norms > 0, norms, 1)[:, None]).astype(np.float32)
+
+    def _error(self, norms: np.ndarray, dim: int) -> float:
+        """By how much a product of unit vectors may miss the cosine: rounding of their elements and sums, and what is
+        added to the product of the norms."""
+        least = norms[norms > 0].min(initial=np.inf) * self.least
+        return 1.01 * (dim + 4) * 2.0**-24 + COSINE_EPS / least if self.finite and np.isfinite(norms).all() and least > 0 else np.inf
+
+    def __call__(self, own: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index and cosine of each source's best; equal ones go to the lowest index."""
+        norms, unit = self._unit(x)
+        error = self._error(norms, x.shape[1])
+        top = np.full((len(own), len(self.blocks)), np.inf, np.float32)  # without a bound, every place may be highest
+        if error < 1e-3:
+            for k, (_, _, _, y) in enumerate(self.blocks):
+                for a in range(0, len(own), SCREEN_ROWS):
+                    top[a : a + SCREEN_ROWS, k] = (unit[a : a + SCREEN_ROWS] @ y.T).max(1)
+        else:
+            error = np.inf
+        low = top.max(1).astype(np.float64) - 2 * error if error < np.inf else np.full(len(own), -np.inf)
+        best, sim = np.full(len(own), np.iinfo(np.int64).max), np.full(len(own), -np.inf)
+        zero = norms == 0  # equally far from everything
+        if zero.any():
+            best[zero], sim[zero] = min(int(ids[0]) for ids, *_ in self.blocks), 0.0
+        for k, (ids, y, lengths, single) in enumerate(self.blocks):
+            rows = np.flatnonzero((top[:, k] >= low) & ~zero)
+            for a in range(0, len(rows), SCREEN_ROWS):
+                part = rows[a : a + SCREEN_ROWS]
+                i, j = np.nonzero(unit[part] @ single.T >= low[part, None]) if error < np.inf else (g.ravel() for g in np.indices((len(part), len(ids))))
+                for c in range(0, len(i), SCREEN_PAIRS):
+                    r, q = part[i[c : c + SCREEN_PAIRS]], j[c : c + SCREEN_PAIRS]
+                    s = np.einsum("ij,ij->i", x[r], y[q]) / (norms[r] * lengths[q] + COSINE_EPS)
+                    order = np.lexsort((ids[q], -s, r))
+                    first = order[np.concatenate([[True], r[order][1:] != r[order][:-1]])]
+                    r, s, q = r[first], s[first], ids[q[first]]
+                    better = (s > sim[r]) | (s == sim[r]) & (q < best[r])
+                    best[r[better]], sim[r[better]] = q[better], s[better]
+        return best, sim
+
+
+def _over_blocks(regs: DataFrame, procs: DataFrame, emit: Emit | None, schema: str, vector: str, upper: bool = False) -> DataFrame:
     """Applies ``emit(reg_idx, proc_idx, cosines)`` to blocks that cover all pairs; with ``upper``, at least those
-    with reg_idx < proc_idx."""
+    with reg_idx < proc_idx. Without ``emit``, what comes out are sources' best ones of a file of blocks."""
     spark = regs.sparkSession
     left = regs.select("reg_idx", F.col(vector).cast("array<double>").alias("v"))
     right = procs.select("proc_idx", F.col(vector).cast("array<double>").alias("v"))
@@ -129,6 +191,13 @@ def _over_blocks(regs: DataFrame, procs: DataFrame, emit: Emit, schema: str, vec
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, target = shared.value
+            if emit is None and len(ids):
+                find = _Best([(ids[a : a + PACK_ROWS], target[a : a + PACK_ROWS]) for a in range(0, len(ids), PACK_ROWS)])
+                for batch in batches:
+                    for a in range(0, len(batch), PACK_ROWS):
+                        part = batch.slice(a, PACK_ROWS)
+                        yield _best_rows(find, part.column("reg_idx").to_numpy(), _matrix(part.column("v")))
+                return
             for batch in batches:
                 step = max(1, 4_000_000 // max(1, len(ids)))
                 for a in range(0, len(batch) if len(ids) else 0, step):
@@ -139,21 +208,37 @@ def _over_blocks(regs: DataFrame, procs: DataFrame, emit: Emit, schema: str, vec
 
         return left.mapInArrow(run, schema)
     a, b = _packed(left, "reg_idx", dim), _packed(right, "proc_idx", dim)
-    # what is paired are places of blocks; a task reads one block of the left and the blocks of a file of the right
-    b = b.groupBy("file").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))  # a file has at most PACK_BLOCKS
-    pairs = a.select(F.col("file").alias("file_a"), "batch", F.col("lo").alias("lo_a")).crossJoin(b.select(F.col("file").alias("file_b"), F.col("hi").alias("hi_b")))
+    # what is paired are places of blocks: a few blocks of the left and the blocks of a file of the right, which is
+    # read once for them
+    a = a.groupBy(F.col("file").alias("file_a"), F.floor(F.col("batch") / PACK_RUN).alias("run")).agg(F.min("lo").alias("lo_a"), F.array_sort(F.collect_list("batch")).alias("batches"))
+    b = b.groupBy(F.col("file").alias("file_b")).agg(F.max("hi").alias("hi_b"))  # a file has at most PACK_BLOCKS
+    pairs = a.crossJoin(b)
     if upper:
         pairs = pairs.where("lo_a < hi_b")
 
     def run_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for fa, k, fb in zip(*(batch.column(c).to_pylist() for c in ("file_a", "batch", "file_b")), strict=True):
-                own, x = _read_blocks(fa, k)[0]
-                for ids, y in _read_blocks(fb):
-                    if not upper or own.min() < ids.max():
-                        yield emit(own, ids, _cosines(x, y))
+            for fa, ks, fb in zip(*(batch.column(c).to_pylist() for c in ("file_a", "batches", "file_b")), strict=True):
+                right = _read_blocks(fb)
+                find = _Best(right) if emit is None else None
+                for k in ks:
+                    own, x = _read_blocks(fa, k)[0]
+                    if find:
+                        yield _best_rows(find, own, x)
+                        continue
+                    for ids, y in right:
+                        if not upper or own.min() < ids.max():
+                            yield emit(own, ids, _cosines(x, y))
+
+    # these rows are small and their work is large: a number that is given keeps adaptive execution from putting them
+    # all into one task
+    tasks = min(max(1, pairs.count()), MOST_TASKS)
+    return pairs.repartition(tasks).mapInArrow(run_pairs, schema)
+
 
-    return pairs.repartition("file_a", "batch", "file_b").mapInArrow(run_pairs, schema)
+def _best_rows(find: _Best, own: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    best, sim = find(own, x)
+    return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(best.astype(np.int32)), pa.array(sim)], names=["reg_idx", "proc_idx", "sim"])
 
 
 def _packed(df: DataFrame, key: str, dim: int) -> DataFrame:
@@ -223,15 +308,9 @@ def pairwise_cosine(regs: DataFrame, procs: DataFrame, min_sim: float | None = N
 
 
 def best_matches(regs: DataFrame, procs: DataFrame, vector: str = "embedding") -> DataFrame:
-    """``(reg_idx, proc_idx, sim)``: each source's most similar target; equal ones go to the lowest index. Each block
-    sends one row for a source."""
-
-    def emit(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(b, kind="stable")
-        j = order[s[:, order].argmax(1)] if s.shape[1] else np.zeros(0, int)
-        return pa.RecordBatch.from_arrays([pa.array(a[: len(j)].astype(np.int32)), pa.array(b[j].astype(np.int32)), pa.array(s[np.arange(len(j)), j])], names=["reg_idx", "proc_idx", "sim"])
-
-    found = _over_blocks(regs, procs, emit, "reg_idx int, proc_idx int, sim double", vector)
+    """``(reg_idx, proc_idx, sim)``: each source's most similar target; equal ones go to the lowest index. Each file of
+    blocks sends one row for a source."""
+    found = _over_blocks(regs, procs, None, "reg_idx int, proc_idx int, sim double", vector)
     key = F.struct(F.col("sim"), -F.col("proc_idx"))
     return found.groupBy("reg_idx").agg(F.max_by("proc_idx", key).alias("proc_idx"), F.max("sim").alias("sim"))
 

@@ -169,3 +169,29 @@ def test_running_numbers(spark):
     assert [r.i for r in got] == [0, 1, 2, 3, 4] and [r.k for r in got] == [None, None, 1, 3, 3] and {r.v for r in got} == {1, 2, 3, 4, 5}
     sums = similarity.running_total(df.withColumn("w", F.lit(2).cast("long")), "k", "w", "s").collect()
     assert all(r.s == 2 * r.k for r in sums) and len(sums) == 500
+
+
+def test_pairs_of_blocks_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(similarity, "PACK_ROWS", 3)
+    monkeypatch.setattr(similarity, "PACK_BLOCKS", 2)
+    monkeypatch.setattr(similarity, "PACK_RUN", 1, raising=False)
+    regs, procs, s = corpora(spark, 40, 30)
+    got = similarity.pairwise_cosine(regs, procs).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in got) == s.size and len(got) > 20 and max(r["count"] for r in got) < s.size / 5
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-5, 1e-160])
+def test_best_of_nearly_equal_ones(scale):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(50, 16))
+    y = np.concatenate([x[:20] + 1e-6 * rng.normal(size=(20, 16)) for _ in range(8)] + [-x, np.zeros((3, 16))]) * scale  # closer than single precision tells
+    x[7] = 0
+    ids = rng.permutation(len(y)).astype(np.int64)
+    y[11], y[31] = y[51], y[51]  # equal ones
+    norms = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))
+    s = np.stack([np.einsum("ij,ij->i", np.repeat(a[None], len(y), 0), y) for a in x]) / (norms + similarity.COSINE_EPS)
+    best, sim = similarity._Best([(ids[a : a + 30], y[a : a + 30]) for a in range(0, len(y), 30)])(np.arange(50), x)
+    top = s.max(1)
+    assert np.allclose(sim, top, rtol=0, atol=1e-15) and (s[np.arange(50), np.argsort(ids)[best]] >= top - 1e-15).all()
+    assert best[7] == ids.min() and best[11] == min(ids[[11, 31, 51]][s[11, [11, 31, 51]] == top[11]], default=best[11])
