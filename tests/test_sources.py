@@ -187,3 +187,23 @@ def test_paths_of_the_shared_folder(tmp_path):
     for uri in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
         fs, path = arrow_filesystem(uri)
         assert path == str(tmp_path) and fs.type_name == "local"
+
+
+def test_ingest_keeps_empty_files_and_takes_few_tasks(spark, tmp_path):
+    from quillstone.streaming.ingest import document_stream
+
+    (tmp_path / "in").mkdir()
+    for i in range(40):
+        (tmp_path / f"in/d {i}.txt").write_text("" if i % 10 == 3 else f"1. SCOPE. All {i} shall go. See 10 CFR {i}.")
+    source, out, parts = str(tmp_path / "in"), str(tmp_path / "out"), []
+    start_ingest(spark, source, out, str(tmp_path / "mark"), files_per_batch=25).awaitTermination()
+    rows = {r.stem: r for r in spark.read.parquet(out + "/sections").collect()}
+    assert set(rows) == {f"d {i}" for i in range(40)} and rows["d 4"].obligations == rows["d 4"].citations == 1
+    assert (rows["d 3"].heading, rows["d 3"].text_preview, rows["d 3"].citations) == ("FULL_TEXT", "", 0)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8m")
+    try:
+        query = document_stream(spark, source, files_per_batch=40).writeStream.foreachBatch(lambda df, n: parts.append(df.rdd.getNumPartitions())).option("checkpointLocation", str(tmp_path / "m"))
+        query.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(parts) == 1 and parts[0] <= spark.sparkContext.defaultParallelism
