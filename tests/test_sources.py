@@ -200,6 +200,8 @@ def test_ingest_keeps_empty_files_and_takes_few_tasks(spark, tmp_path):
     rows = {r.stem: r for r in spark.read.parquet(out + "/sections").collect()}
     assert set(rows) == {f"d {i}" for i in range(40)} and rows["d 4"].obligations == rows["d 4"].citations == 1
     assert (rows["d 3"].heading, rows["d 3"].text_preview, rows["d 3"].citations) == ("FULL_TEXT", "", 0)
+    state = ingest_state(spark, source, out)
+    assert (state.files, state.done, state.failed, state.sections) == (40, 40, 0, 40)
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8m")
     try:
         query = document_stream(spark, source, files_per_batch=40).writeStream.foreachBatch(lambda df, n: parts.append(df.rdd.getNumPartitions())).option("checkpointLocation", str(tmp_path / "m"))
